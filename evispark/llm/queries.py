@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pieces import op8_pieces
 from .simhash import op6_simhash
+from .token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
+    "op7_token_files": op7_token_files,
+    "op8_pieces": op8_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
