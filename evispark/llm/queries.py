@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP1_SQL, op1_perspectives
 from .pieces import op8_pieces
+from .sharding import op9_sharding
 from .simhash import op6_simhash
 from .token_files import op7_token_files
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perspectives": op1_perspectives,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_pieces": op8_pieces,
+    "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_perspectives": OP1_SQL,
+}
