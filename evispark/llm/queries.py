@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_perspectives
 from .embedding_dedup import op4_embedding_dedup
+from .line_dedup import op10_line_dedup
 from .neighbours import op2_neighbours
 from .pieces import op8_pieces
 from .sharding import op9_sharding
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
