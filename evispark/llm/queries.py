@@ -10,6 +10,7 @@ from .chat import OP1_SQL, op1_perspectives
 from .embedding_dedup import op4_embedding_dedup
 from .line_dedup import op10_line_dedup
 from .neighbours import op2_neighbours
+from .packing import op3_packing
 from .pieces import op8_pieces
 from .sharding import op9_sharding
 from .simhash import op6_simhash
@@ -19,6 +20,7 @@ from .toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspectives": op1_perspectives,
     "op2_neighbours": op2_neighbours,
+    "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
