@@ -6,9 +6,10 @@ matching lines share a word in their short prefixes; the places of that word, th
 a parity bitmap of the sets refuse most other pairs, and the rest are verified on the sets
 themselves. A line goes if any earlier line matches it.
 
-The corpus is scanned four times instead of being shuffled: for line classes and word counts,
-for counts of prefix words, for prefixes, and for the word sets of the few lines that are
-verified. Equal lines are one class, so copies are never compared with each other.
+The corpus is scanned three times instead of being shuffled: for line classes and word counts,
+for prefixes, and for the word sets of the few lines that are verified. Equal lines are one
+class, so copies are never compared with each other. A line is verified against its earliest
+candidate of each shared word; only where all of these fail and there were more, against all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import group_starts, whole_groups
-from .store import materialize, partitions
+from .store import materialize, partitions, release
 
 #: Lines with fewer distinct words are left alone.
 MIN_WORDS = 5
@@ -30,17 +31,20 @@ MIN_WORDS = 5
 #: the order stays total, so the join stays exact.
 COUNTERS = 1 << 16
 SLICE = 1 << 10
-#: Lines of one prefix word that a task compares at once; more are dealt in pairs of blocks.
-BLOCK = 4096
+#: Lines of one prefix word that a task compares at once; more are dealt in pairs of blocks. A word
+#: whose counter shows up to CALM lines has no more entries than that and is not counted again.
+BLOCK, CALM = 4096, 16_384
+#: Places that the entries of a busier word are spread over until they are counted.
+SPREAD = 1024
 #: Bits of the broadcast filter of lines to verify. It may only let more lines pass.
 FILTER_BITS = 1 << 24
 MEMO_WORDS = 600_000
 #: Hashes of words, and of lines already seen in a task, by Python worker.
-_WORDS: dict[str, int] = {}
+_WORDS: dict[str, bytes] = {}
 
 
-def _hash(word: str) -> int:
-    found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3)
+def _hash(word: str) -> bytes:
+    found = xxhash.xxh64_digest(word.encode("utf-8", "surrogatepass"), 3)
     if len(_WORDS) < MEMO_WORDS:
         _WORDS[word] = found
     return found
@@ -70,10 +74,13 @@ class Lines:
                     rows.append(r)
                     numbers.append(i)
                     sizes.append(len(words))
-                    flat.extend([get(w) or _hash(w) for w in words])
+                    got = list(map(get, words))
+                    if None in got:
+                        got = [g or _hash(w) for g, w in zip(got, words)]
+                    flat.append(b"".join(got))
         self.row, self.line = np.array(rows, np.int64), np.array(numbers, np.int32)
         self.size = np.array(sizes, np.int64)
-        self.words = np.array(flat, np.uint64)
+        self.words = np.frombuffer(b"".join(flat), np.uint64)
         self.start = np.cumsum(self.size) - self.size
         if len(sizes):
             self.cls = np.add.reduceat(_mix(self.words), self.start).view(np.int64)
@@ -99,7 +106,7 @@ class Lines:
         owner = self.owner()
         pick = chosen[owner]
         owner, words = owner[pick], self.words[pick]
-        order = np.lexsort((words, counts[counter(words)], owner))
+        order = np.lexsort((words, owner << 40 | np.minimum(counts[counter(words)], 2**40 - 1)))
         owner, words = owner[order], words[order]
         size = self.size[owner]
         first = np.zeros(len(self.size), np.int64)
@@ -137,15 +144,17 @@ def _sum_counters(parts: DataFrame) -> np.ndarray:
     return total
 
 
-def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterator[list]], schema: pa.Schema, sql: str, end: Callable[[dict], list] | None = None) -> DataFrame:
+def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterator[list]], schema: pa.Schema, sql: str, end: Callable[[dict], list] | None = None, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
     """Run ``make`` over the lines of batches of ``docs`` (columns k, th, t), with a dict that
-    lives as long as the task, and ``end`` after the last."""
+    lives as long as the task, and ``end`` after the last; only over rows that ``keep`` keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
+                if keep is not None:
+                    part = part.filter(pa.array(keep(part)))
                 for arrays in make(part, Lines(part.column(2).to_pylist()), held):
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         if end is not None and held:
@@ -175,79 +184,97 @@ def _classes(docs: DataFrame) -> DataFrame:
     return _scan(docs, make, schema, "k long, th long, line int, cls long, bitmap long, counts binary", end)
 
 
-def _prefix_counts(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """Number of prefix entries of each counter's words."""
-    schema = pa.schema([("s", pa.int32()), ("counts", pa.binary())])
+def _entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Prefix entries: ``word`` (32 bits of its hash), ``cell``, ``shape`` (size and place), ``cls``,
+    ``bitmap``. Entries of a busy word have negative cells and are not compared yet."""
+    schema = pa.schema([("word", pa.int32()), ("cell", pa.int64()), ("shape", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.int64())])
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        total = held.setdefault("total", np.zeros(COUNTERS, np.int64))
-        _, words, _ = lines.prefixes(counts, lines.new(held.setdefault("seen", set())))
-        total += np.bincount(counter(words), minlength=COUNTERS)
-        return iter(())
+        owner, words, place = lines.prefixes(counts, lines.new(held.setdefault("seen", set())))
+        cls = lines.cls[owner]
+        cell = np.where(counts[counter(words)] > CALM, -1 - (_mix(cls.view(np.uint64)) % np.uint64(SPREAD)).astype(np.int64), 0)
+        yield [pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cell), pa.array(lines.size[owner] << 32 | place), pa.array(cls), pa.array(lines.bitmap[owner])]
 
-    def end(held: dict) -> list:
-        rows = list(_counter_rows(held["total"]))
-        return [pa.array([s for s, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())]
+    return _scan(docs, make, schema, ENTRY)
 
-    return _sum_counters(_scan(docs, make, schema, "s int, counts binary", end))
 
+ENTRY = "word int, cell long, shape long, cls long, bitmap long"
 
-def _entries(docs: DataFrame, counts: np.ndarray, busy: np.ndarray) -> DataFrame:
-    """Prefix entries: ``word`` (32 bits of its hash), block pair ``cell``, ``shape`` (size and
-    place), ``cls``, ``bitmap``. An entry of a word with more than BLOCK entries goes to every
-    pair of blocks that holds its own."""
-    schema = pa.schema([("word", pa.int32()), ("cell", pa.int64()), ("shape", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.int64())])
 
-    def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        owner, words, place = lines.prefixes(counts, lines.new(held.setdefault("seen", set())))
-        blocks = -(-busy[counter(words)] // BLOCK)
-        own = (_mix(lines.cls[owner].view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
-        at = np.repeat(np.arange(len(owner)), np.maximum(blocks, 1))
-        other = np.arange(len(at)) - np.repeat(np.cumsum(np.maximum(blocks, 1)) - np.maximum(blocks, 1), np.maximum(blocks, 1))
-        i, j = np.minimum(own[at], other), np.maximum(own[at], other)
-        line = owner[at]
-        yield [pa.array((words[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(i << 32 | j), pa.array(lines.size[line] << 32 | place[at]), pa.array(lines.cls[line]), pa.array(lines.bitmap[line])]
-
-    return _scan(docs, make, schema, "word int, cell long, shape long, cls long, bitmap long")
+def _compare(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that pass the size, place and bitmap filters, step by step."""
+    keys = ["word", "cell"]
+    starts = group_starts(table, keys)
+    n = table.num_rows
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    shape, cls, bitmap, cell = (table.column(c).to_numpy() for c in ("shape", "cls", "bitmap", "cell"))
+    size, place = shape >> 32, shape & 0xFFFFFFFF
+    rows, step = np.flatnonzero(cell >= 0), 1
+    while True:
+        rows = rows[rows + step < ends[rows]]
+        if not len(rows):
+            return
+        other = rows + step
+        need = (4 * (size[rows] + size[other]) + 8) // 9
+        ok = np.minimum(size[rows] - place[rows], size[other] - place[other]) >= need
+        a, b, need = rows[ok], other[ok], need[ok]
+        ok = np.bitwise_count(bitmap[a].view(np.uint64) ^ bitmap[b].view(np.uint64)) <= size[a] + size[b] - 2 * need
+        ok &= (cls[a] != cls[b]) | (bitmap[a] != bitmap[b])
+        yield a[ok], b[ok]
+        step += 1
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
-    """Rows of ``entries`` that pass the prefix, size, place and bitmap filters with another
-    class of their word: ``word``, ``cell``, ``cls``, ``bitmap``."""
+    """Entries that pass the filters with another class of their word, and the busy ones."""
     keys = ["word", "cell"]
-    schema = pa.schema([("word", pa.int32()), ("cell", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
-            starts = group_starts(table, keys)
-            n = table.num_rows
-            ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-            shape, cls, bitmap = (table.column(c).to_numpy() for c in ("shape", "cls", "bitmap"))
-            size, place = shape >> 32, shape & 0xFFFFFFFF
-            hit = np.zeros(n, bool)
-            rows, step = np.arange(n), 1
-            while True:
-                rows = rows[rows + step < ends[rows]]
-                if not len(rows):
-                    break
-                other = rows + step
-                need = (4 * (size[rows] + size[other]) + 8) // 9
-                ok = np.minimum(size[rows] - place[rows], size[other] - place[other]) >= need
-                a, b = rows[ok], other[ok]
-                need = need[ok]
-                ok = np.bitwise_count(bitmap[a].view(np.uint64) ^ bitmap[b].view(np.uint64)) <= size[a] + size[b] - 2 * need
-                ok &= (cls[a] != cls[b]) | (bitmap[a] != bitmap[b])
-                hit[a[ok]] = hit[b[ok]] = True
-                step += 1
-            got = table.filter(pa.array(hit)).select(schema.names)
-            yield from got.cast(schema).to_batches()
+            hit = table.column("cell").to_numpy() < 0
+            for a, b in _compare(table):
+                hit[a] = hit[b] = True
+            yield from table.filter(pa.array(hit)).to_batches()
 
     dealt = entries.repartition(partitions(entries.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "word int, cell long, cls long, bitmap long")
+    return dealt.mapInArrow(run, ENTRY)
+
+
+def _deal_busy(busy: DataFrame) -> DataFrame:
+    """Busy entries with their words counted: an entry of a word with more than BLOCK entries goes
+    to every pair of blocks that holds its own."""
+    busy = busy.dropDuplicates(["word", "cls", "bitmap"])
+    counts = materialize(busy.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("m")).where("m > 1"), "busy-words")
+    own = F.pmod(F.xxhash64("cls", "bitmap"), F.col("blocks"))
+    rows = busy.join(counts, "word").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("word", (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("cell"), "shape", "cls", "bitmap")
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    """For each row its earliest earlier candidate in its cell: ``cls``, ``bitmap``, ``cls_x``,
+    ``bitmap_x``, and ``more``, whether there were others."""
+    keys = ["word", "cell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            best, n = np.full(len(order), len(order)), np.zeros(len(order), np.int64)
+            for a, b in _compare(table):
+                later, earlier = np.where(rank[a] < rank[b], b, a), np.minimum(rank[a], rank[b])
+                np.minimum.at(best, later, earlier)
+                np.add.at(n, later, 1)
+            y = np.flatnonzero(n)
+            x = order[best[y]]
+            cls, bitmap = table.column("cls").to_numpy(), table.column("bitmap").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(cls[y]), pa.array(bitmap[y]), pa.array(cls[x]), pa.array(bitmap[x]), pa.array(n[y] > 1)], ["cls", "bitmap", "cls_x", "bitmap_x", "more"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, more boolean")
 
 
-def _filter(classes: DataFrame) -> np.ndarray:
-    """Bits of the classes to verify, as a fixed table that is or-ed by slices."""
+def _filter(values: DataFrame) -> np.ndarray:
+    """Bits of the hashes in the one column ``cls``, as a fixed table that is or-ed by slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
@@ -259,30 +286,34 @@ def _filter(classes: DataFrame) -> np.ndarray:
 
     out = np.zeros((FILTER_BITS // 8) >> 14 << 14, np.uint8).reshape(-1, 1 << 14)
     n_slices = len(out)
-    dealt = classes.select("cls").withColumn("p", F.shiftrightunsigned("cls", 42).cast("int") % n_slices).repartition(min(n_slices, 4 * partitions(classes.sparkSession)), "p").select("cls")
+    dealt = values.distinct().withColumn("p", F.shiftrightunsigned("cls", 42).cast("int") % n_slices).repartition(min(n_slices, 4 * partitions(values.sparkSession)), "p").select("cls")
     for r in dealt.mapInArrow(run, "s int, bits binary").toLocalIterator():
         out[r.s] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+    return out.ravel()
 
 
 def _place_in_filter(cls: np.ndarray) -> np.ndarray:
     return (cls.view(np.uint64) >> np.uint64(40)).astype(np.int64)
 
 
-def _word_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``cls``, ``bitmap`` and ``words`` of the lines that the filter lets pass."""
+def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _place_in_filter(hashes)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _word_sets(docs: DataFrame, of_docs: np.ndarray, of_lines: np.ndarray) -> DataFrame:
+    """``cls``, ``bitmap`` and ``words`` of the lines that the filters of documents and of line
+    classes let pass."""
     schema = pa.schema([("cls", pa.int64()), ("bitmap", pa.int64()), ("words", pa.list_(pa.int64()))])
-    packed = np.packbits(wanted)
+    docs = docs.withColumn("kh", F.xxhash64("k"))
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        at = _place_in_filter(lines.cls)
-        pick = (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) if len(at) else np.zeros(0, bool)
-        pick[pick] &= lines.new(held.setdefault("seen", set()))[pick] if pick.any() else False
+        pick = _passes(of_lines, lines.cls)
         words = lines.words[pick[lines.owner()]].view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(lines.size[pick])]).astype(np.int32)
         yield [pa.array(lines.cls[pick]), pa.array(lines.bitmap[pick]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))]
 
-    return _scan(docs, make, schema, "cls long, bitmap long, words array<long>")
+    return _scan(docs, make, schema, "cls long, bitmap long, words array<long>", keep=lambda batch: _passes(of_docs, batch.column(3).to_numpy()))
 
 
 def _verify(rows: DataFrame) -> DataFrame:
@@ -308,9 +339,40 @@ def _verify(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "cls long, bitmap long")
 
 
+def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Classes that an earlier class matches, by ``pairs`` or, where none of a class's pairs holds
+    though it had more candidates, by all rows of its cells in ``found``."""
+    same = ["cls", "bitmap"]
+    named = pairs.select(*same).unionByName(pairs.select(F.col("cls_x").alias("cls"), F.col("bitmap_x").alias("bitmap"))).distinct()
+    sets = _sets_of(docs, classes, named)
+    x = sets.select(F.col("cls").alias("cls_x"), F.col("bitmap").alias("bitmap_x"), F.col("words").alias("words_x"))
+    both = F.size(F.array_intersect("words", "words_x"))
+    match = F.coalesce(9 * both >= 4 * (F.size("words") + F.size("words_x")), F.lit(False))
+    joined = pairs.join(x, ["cls_x", "bitmap_x"], "left").join(sets, same)
+    tested = materialize(joined.groupBy(*same).agg(F.bool_or(match).alias("dead"), F.bool_or("more").alias("more")), "line-matches")
+    dead = tested.where("dead").select(*same, "dead")
+    open_ = tested.where("more and not dead").select(*same)
+    if open_.isEmpty():
+        return dead
+    cells = found.join(open_, same, "left_semi").select("word", "cell").distinct()
+    rows = materialize(found.join(cells, ["word", "cell"], "left_semi"), "line-rest")
+    rest = _verify(rows.join(_sets_of(docs, classes, rows.select(*same).distinct()), same))
+    return dead.unionByName(rest.select(*same, F.lit(True).alias("dead"))).distinct()
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Word sets of the classes ``named``, each once."""
+    same = ["cls", "bitmap"]
+    named = materialize(named.join(classes, same).select(*same, "fk"), "lines-to-verify")
+    of_docs = _filter(named.select(F.xxhash64("fk").alias("cls")))
+    found = _word_sets(docs, of_docs, _filter(named.select("cls")))
+    return materialize(found.join(named.select(*same), same, "left_semi").dropDuplicates(same), "word-sets")
+
+
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``k`` (the key), ``th`` (hash of the text) and ``removed`` (line numbers from 0) of the
     documents that lose lines."""
+    spark = df.sparkSession
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
     scanned = materialize(_classes(docs), "lines")
     counts = _sum_counters(scanned.where("counts is not null").select(F.col("line").alias("s"), "counts"))
@@ -319,11 +381,13 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     classes = lines.groupBy(*same).agg(F.min(F.struct("k", "line", "th")).alias("f"), F.count("*").alias("n"))
     classes = materialize(classes.select(*same, F.col("f.k").alias("fk"), F.col("f.line").alias("fl"), F.col("f.th").alias("fh"), "n"), "line-classes")
 
-    found = materialize(_candidates(_entries(docs, counts, _prefix_counts(docs, counts))).distinct(), "line-candidates")
-    names = found.select(*same).distinct()
-    sets = materialize(_word_sets(docs, _filter(names)).join(names, same, "left_semi").dropDuplicates(same), "word-sets")
-    rows = found.join(sets, same).join(classes.select(*same, "fk", "fl", "fh"), same)
-    dead = materialize(_verify(rows).distinct().select(*same, F.lit(True).alias("dead")), "dead-lines")
+    compared = materialize(_candidates(_entries(docs, counts)), "line-candidates")
+    release(spark)
+    found = compared.where("cell >= 0").unionByName(_candidates(_deal_busy(compared.where("cell < 0"))))
+    found = materialize(found.join(classes.select(*same, "fk", "fl", "fh"), same), "line-candidates")
+    pairs = materialize(_earliest(found).groupBy(*same, "cls_x", "bitmap_x").agg(F.bool_or("more").alias("more")), "line-pairs")
+    release(spark)
+    dead = _verified(docs, classes, found, pairs)
 
     gone = materialize(classes.join(dead, same, "left").where("n > 1 or dead").select(F.col("cls").alias("c_"), F.col("bitmap").alias("b_"), "fk", "fl", "fh", F.coalesce("dead", F.lit(False)).alias("dead")), "gone-lines")
     later = F.col("dead") | (F.struct("k", "line", "th") > F.struct(F.col("fk").alias("k"), F.col("fl").alias("line"), F.col("fh").alias("th")))

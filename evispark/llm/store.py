@@ -6,6 +6,7 @@ such a table survives the loss of any executor, and it is computed once.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files whose plans are no longer referenced.
+
+    It does so when the driver's collector finds the handles dead, which a driver with little
+    work may not notice for long; steps that shuffle much ask for it once they are done.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
