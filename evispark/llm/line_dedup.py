@@ -328,7 +328,11 @@ def _verify(rows: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(starts, starts[1:]):
                 before: list[set] = []
+                last = None
                 for f, x in sorted(zip(first[a:b], words[a:b]), key=lambda r: r[0]):
+                    if f == last:  # the same class from another task
+                        continue
+                    last = f
                     s = set(x)
                     if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in reversed(before) if 5 * len(e) >= 4 * len(s) and 5 * len(s) >= 4 * len(e)):
                         out.append(f[3:])
