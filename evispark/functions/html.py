@@ -99,12 +99,13 @@ RELATIVE = re.compile(r"\b(mother|father|wife|husband|son|daughter|brother|siste
 def subject_birth_year(text: str | None, name: str | None, award_year: int | None) -> int | None:
     """Year of the first birth statement about the subject.
 
-    A statement within 90 characters after a relative's mention, a decade, or the award year
-    itself is skipped; the surname must stand near by unless the text opens with it.
+    A statement after a relative's mention in its sentence (90 characters back at most), a
+    decade, or the award year itself is skipped; the surname must stand near by or in the
+    opening of the text.
     """
     low, surname = fold(text or ""), (fold(name or "").split() or [""])[-1]
     for m in BORN.finditer(low):
-        near = low[max(0, m.start() - 90) : m.start()]
+        near = re.split(r"[.!?]", low[max(0, m.start() - 90) : m.start()])[-1]
         year = int(m[1])
         named = bool(surname) and (surname in near or surname in low[:500])
         if year != award_year and not RELATIVE.search(near) and named:

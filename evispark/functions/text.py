@@ -56,13 +56,16 @@ def extension(path: Column) -> Column:
     return F.when(low.endswith(".warc.gz"), F.lit(".warc.gz")).otherwise(F.regexp_extract(low, r"(\.[a-z0-9]+)$", 1))
 
 
-#: Categories of file extensions.
-CATEGORIES = {
-    ".html": "saved_web", ".htm": "saved_web", ".mhtml": "saved_web", ".warc": "web_archive", ".warc.gz": "web_archive", ".wacz": "web_archive",
-    ".pdf": "document", ".doc": "document", ".docx": "document", ".txt": "document", ".md": "document",
-    ".jpg": "image", ".jpeg": "image", ".png": "image", ".tif": "image", ".tiff": "image",
-    ".json": "data", ".csv": "data", ".xml": "data", ".ged": "genealogy", ".zip": "archive",
-}
+#: File extensions of each category.
+EXTENSIONS = {
+    "image": [".jpg", ".jpeg", ".png", ".tiff", ".webp"],
+    "document": [".pdf", ".txt", ".md", ".doc", ".docx"],
+    "web_snapshot": [".html", ".htm"],
+    "archive": [".warc", ".warc.gz", ".wacz", ".zip"],
+    "genealogy": [".ged"],
+    "sidecar": [".json", ".yaml", ".yml", ".csv"],
+}
+CATEGORIES = {ext: name for name, exts in EXTENSIONS.items() for ext in exts}
 
 
 def category(ext: Column) -> Column:

@@ -55,25 +55,36 @@ def shared_origin_groups(df: DataFrame, key: str, origins: list[Column]) -> Data
 def relation_counts(edges: DataFrame, claim: str, relation: str) -> DataFrame:
     """Zero-filled counts of the three relations of each claim and its evidence state."""
     counts = edges.groupBy(claim).agg(*[F.count_if(F.col(relation) == r).alias(r) for r in ("supports", "contradicts", "contextualizes")])
-    state = F.when((F.col("supports") > 0) & (F.col("contradicts") > 0), "contested").when(F.col("contradicts") > 0, "contradicted").when(F.col("supports") > 0, "supported").otherwise("unsupported")
+    state = F.when((F.col("supports") > 0) & (F.col("contradicts") > 0), "mixed_evidence").when(F.col("contradicts") > 0, "contradiction_present").when(F.col("supports") > 0, "support_present").when(F.col("contextualizes") > 0, "context_only").otherwise("no_evidence_links")
     return counts.withColumn("state", state)
 
 
-def presence(df: DataFrame, event: str, category: str, group: str) -> DataFrame:
-    """Status of presence at each event from its sources' categories.
+def presence(df: DataFrame, event: str = "event_id") -> DataFrame:
+    """Status of presence at each event from its sources.
 
-    contested (direct and contradicting) > confirmed > contradicted > supported (two independent
-    groups of contemporaneous sources) > reported > unknown.
+    Sources have category, subject_specific, human_reviewed, authenticated, complete and
+    independent_group; a null flag is false. Direct evidence is a reviewed, subject-specific
+    record that is authenticated, or roster that is complete. contested (direct and contradicting)
+    > confirmed > contradicted > supported (a reviewed contemporaneous report, and reports of two
+    independent groups) > reported > unknown.
     """
-    cat = F.col(category)
+    flag = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("subject_specific", "human_reviewed", "authenticated", "complete")}
+    cat, own = F.col("category"), flag["subject_specific"]
+    reviewed = own & flag["human_reviewed"]
+    direct = reviewed & (((cat == "direct_record") & flag["authenticated"]) | ((cat == "complete_roster") & flag["complete"]))
+    contemporary = reviewed & (cat == "contemporaneous_named_report")
+    report = own & cat.isin("first_person_report", "family_report")
+    group = F.when(contemporary | report, F.nullif(F.col("independent_group").cast("string"), F.lit("")))
     counts = df.groupBy(event).agg(
-        F.count_if(cat == "direct").alias("n_direct"),
-        F.count_if(cat == "contradiction").alias("n_contradiction"),
-        F.count_distinct(F.when(cat == "contemporaneous", F.col(group))).alias("n_groups"),
-        F.count_if(cat.isin("contemporaneous", "retrospective")).alias("n_reports"),
+        F.count_if(direct).alias("n_direct"),
+        F.count_if(reviewed & (cat == "contradiction")).alias("n_contradiction"),
+        F.count_if(contemporary).alias("n_contemporary"),
+        F.count_if(report).alias("n_reports"),
+        F.count_distinct(group).alias("n_groups"),
+        F.count_if(cat.isin("opportunity_context", "public_scene_context")).alias("n_non_proof"),
     )
     d, c = F.col("n_direct") > 0, F.col("n_contradiction") > 0
-    status = F.when(d & c, "contested").when(d, "confirmed").when(c, "contradicted").when(F.col("n_groups") >= 2, "supported").when(F.col("n_reports") > 0, "reported").otherwise("unknown")
+    status = F.when(d & c, "contested").when(d, "confirmed").when(c, "contradicted").when((F.col("n_contemporary") > 0) & (F.col("n_groups") >= 2), "supported").when(F.col("n_reports") > 0, "reported").otherwise("unknown")
     return counts.withColumn("status", status)
 
 

@@ -155,30 +155,30 @@ def whitelist_missing(t):
 
 
 LABEL_SQL = """doc AS (SELECT d.doc_id, source, lang, quality, toxic,
-  coalesce(CASE WHEN toxic = 1 THEN 'do_not_share' WHEN quality = 1 THEN 'public' WHEN quality = 0 THEN 'sensitive' END,
-    CASE lang WHEN 'en' THEN 'public_candidate' WHEN 'fr' THEN 'private_research' END, 'private_family_only') AS label,
+  coalesce(CASE WHEN toxic = 1 THEN 'do_not_share' WHEN quality = 1 THEN 'public_ok' WHEN quality = 0 THEN 'expert_review_only' END,
+    CASE lang WHEN 'en' THEN 'public_summary_only' WHEN 'fr' THEN 'living_person_redacted' END, 'private_family_only') AS label,
   d.doc_id % 97 = 0 AS raw, d.doc_id % 4 = 0 AS living FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 def _labelled(t) -> DataFrame:
-    link = F.when(F.col("toxic") == 1, "do_not_share").when(F.col("quality") == 1, "public").when(F.col("quality") == 0, "sensitive")
-    own = F.when(F.col("lang") == "en", "public_candidate").when(F.col("lang") == "fr", "private_research")
+    link = F.when(F.col("toxic") == 1, "do_not_share").when(F.col("quality") == 1, "public_ok").when(F.col("quality") == 0, "expert_review_only")
+    own = F.when(F.col("lang") == "en", "public_summary_only").when(F.col("lang") == "fr", "living_person_redacted")
     rows = t("documents").select("doc_id", "source", "lang").join(t("labels"), "doc_id", "left")
     return rows.withColumns({"label": policy.effective_label(link, own), "raw": F.col("doc_id") % 97 == 0, "living": F.col("doc_id") % 4 == 0})
 
 
 @query(f"""WITH {LABEL_SQL} SELECT doc_id, label, CASE WHEN raw THEN 'raw_dna' WHEN label = 'do_not_share' THEN 'do_not_share'
-  ELSE concat_ws(',', CASE WHEN label NOT IN ('public', 'public_candidate') THEN 'label_not_public' END, CASE WHEN living THEN 'potentially_living' END) END AS reasons,
-  NOT raw AND label IN ('public', 'public_candidate') AND NOT living AS include,
+  ELSE concat_ws(',', CASE WHEN label NOT IN ('public_ok', 'public_summary_only') THEN 'label_not_public' END, CASE WHEN living THEN 'potentially_living' END, CASE WHEN label = 'living_person_redacted' THEN 'living_redacted' END) END AS reasons,
+  NOT raw AND label IN ('public_ok', 'public_summary_only') AND NOT living AS include,
   CASE WHEN living THEN 'withheld' ELSE source END AS display FROM doc""")
 def export_decision(t):
     d = _labelled(t).withColumn("d", policy.export_decision(F.col("label"), F.col("raw"), F.col("living"), "public"))
     return d.select("doc_id", "label", "d.reasons", "d.include", F.when(F.col("living"), "withheld").otherwise(F.col("source")).alias("display"))
 
 
-@query(f"""WITH {LABEL_SQL} SELECT doc_id, label, NOT raw AS private_full, NOT raw AND label <> 'do_not_share' AS family, NOT raw AND label IN ('public', 'public_candidate') AS public FROM doc""")
+@query(f"""WITH {LABEL_SQL} SELECT doc_id, label, NOT raw AS private_full, NOT raw AND label IN ('public_ok', 'public_summary_only', 'expert_review_only') AS expert_review, NOT raw AND label IN ('public_ok', 'public_summary_only') AS public FROM doc""")
 def packet_artifacts(t):
-    return _labelled(t).select("doc_id", "label", *[policy.packet_keeps(F.col("label"), F.col("raw"), p).alias(p) for p in ("private_full", "family", "public")])
+    return _labelled(t).select("doc_id", "label", *[policy.packet_keeps(F.col("label"), F.col("raw"), p).alias(p) for p in ("private_full", "expert_review", "public")])
 
 
 @query("""SELECT o_custkey AS person, CAST(o_orderdate AS DATE) AS date, 'ordered' AS kind, o_orderpriority AS detail FROM orders
@@ -196,16 +196,15 @@ def packet_timeline(t):
 @query(f"""WITH {LABEL_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND quality = 1 AND lang = 'en' THEN source END AS summary FROM doc""")
 def public_preview(t):
     tier = F.when(F.col("doc_id") % 3 == 0, "P0").otherwise("R2")
-    consent = F.when(F.col("lang") == "en", "internal,public_release").otherwise("internal")
+    consent = F.when(F.col("lang") == "en", F.array(F.lit("private_research"), F.lit("public_release"))).otherwise(F.array(F.lit("private_research")))
     return _labelled(t).select("doc_id", policy.preview(tier, consent, F.col("quality") == 1, F.col("source")).alias("summary"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'x/private/y.csv' WHEN 2 THEN 'docs/genome.txt' WHEN 3 THEN 't.ged' WHEN 4 THEN 'b.wacz' WHEN 5 THEN 's.xlsx' WHEN 6 THEN 'scan.pdf' ELSE url END AS path FROM pages)
-  SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'environment_file' WHEN 1 THEN 'private_folder' WHEN 2 THEN 'genome_data' WHEN 3 THEN 'family_tree' WHEN 4 THEN 'archive_bundle' WHEN 5 THEN 'spreadsheet' WHEN 6 THEN 'document_scan' END AS rule,
-  CASE WHEN page_id % 8 < 4 THEN 'blocker' WHEN page_id % 8 < 7 THEN 'review' END AS severity FROM p""")
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'secret_or_environment_file' WHEN 1 THEN 'controlled_evidence_folder' WHEN 2 THEN 'raw_dna_file' WHEN 3 THEN 'genealogy_export' WHEN 4 THEN 'private_archive_bundle' WHEN 5 THEN 'local_output_folder' WHEN 6 THEN 'media_or_document_file' END AS rule,
+  CASE WHEN page_id % 8 < 4 THEN 'blocker' WHEN page_id % 8 < 7 THEN 'review' END AS severity FROM pages""")
 def path_rules_first_match(t):
-    paths = ["a/.env", "x/private/y.csv", "docs/genome.txt", "t.ged", "b.wacz", "s.xlsx", "scan.pdf"]
-    path = F.coalesce(F.try_element_at(F.array(*map(F.lit, paths)), (F.col("page_id") % 8 + 1).cast("int")), F.col("url"))
+    paths = ["a/.env.local", "x\\raw\\y.csv", "docs/AncestryDNA.txt", "raw/t.GED", "out/b.wacz", "exports/s.pdf", "scan.pdf"]
+    path = F.coalesce(F.try_element_at(F.array(*map(F.lit, paths)), (F.col("page_id") % 8 + 1).cast("int")), F.lit(".env.example"))
     return t("pages").withColumn("f", policy.path_finding(path)).select("page_id", "f.rule", "f.severity")
 
 
@@ -216,7 +215,7 @@ def _relations(t) -> DataFrame:
 
 @query("""WITH c AS (SELECT user_id AS claim, count(*) FILTER (event_type = 'purchase') AS supports, count(*) FILTER (event_type = 'error') AS contradicts,
   count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS contextualizes FROM events GROUP BY 1)
-  SELECT *, CASE WHEN supports > 0 AND contradicts > 0 THEN 'contested' WHEN contradicts > 0 THEN 'contradicted' WHEN supports > 0 THEN 'supported' ELSE 'unsupported' END AS state FROM c""")
+  SELECT *, CASE WHEN supports > 0 AND contradicts > 0 THEN 'mixed_evidence' WHEN contradicts > 0 THEN 'contradiction_present' WHEN supports > 0 THEN 'support_present' WHEN contextualizes > 0 THEN 'context_only' ELSE 'no_evidence_links' END AS state FROM c""")
 def claim_relation_counts(t):
     return evidence.relation_counts(_relations(t), "claim", "relation")
 
@@ -227,14 +226,17 @@ def claim_edges(t):
     return _relations(t).select(F.concat(F.lit("claim-"), F.col("claim").cast("string")).alias("to_node"), F.concat(F.lit("evidence-"), (F.col("event_id") % 50).cast("string")).alias("from_node"), "relation").distinct()
 
 
-@query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'signup' AND user_id % 2 = 0 AND value > 90) AS n_direct, count(*) FILTER (event_type = 'error' AND user_id % 3 = 0) AS n_contradiction,
-  count(DISTINCT CASE WHEN event_type = 'view' THEN event_id % 3 END) AS n_groups, count(*) FILTER (event_type IN ('view', 'click')) AS n_reports FROM events GROUP BY 1)
+@query("""WITH e AS (SELECT user_id AS event_id, event_type AS e, user_id % 2 = 0 AND value > 90 AS reviewed, event_id % 3 AS g FROM events), c AS (
+  SELECT event_id, count(*) FILTER (e = 'signup' AND reviewed) AS n_direct, count(*) FILTER (e = 'error' AND reviewed AND event_id % 3 = 0) AS n_contradiction, count(*) FILTER (e = 'view' AND reviewed) AS n_contemporary,
+  count(*) FILTER (e = 'click' AND event_id % 5 <> 0) AS n_reports, count(DISTINCT CASE WHEN (e = 'view' AND reviewed) OR (e = 'click' AND event_id % 5 <> 0) THEN g END) AS n_groups, count(*) FILTER (e = 'purchase') AS n_non_proof FROM e GROUP BY 1)
   SELECT *, CASE WHEN n_direct > 0 AND n_contradiction > 0 THEN 'contested' WHEN n_direct > 0 THEN 'confirmed' WHEN n_contradiction > 0 THEN 'contradicted'
-  WHEN n_groups >= 2 THEN 'supported' WHEN n_reports > 0 THEN 'reported' ELSE 'unknown' END AS status FROM c""")
+  WHEN n_contemporary > 0 AND n_groups >= 2 THEN 'supported' WHEN n_reports > 0 THEN 'reported' ELSE 'unknown' END AS status FROM c""")
 def presence_status(t):
     e, u = F.col("event_type"), F.col("user_id")
-    cat = F.when((e == "signup") & (u % 2 == 0) & (F.col("value") > 90), "direct").when((e == "error") & (u % 3 == 0), "contradiction").when(e == "view", "contemporaneous").when(e == "click", "retrospective")
-    return evidence.presence(t("events").select("user_id", cat.alias("cat"), (F.col("event_id") % 3).alias("g")), "user_id", "cat", "g")
+    reviewed = (u % 2 == 0) & (F.col("value") > 90)
+    cat = F.when(e == "signup", "direct_record").when((e == "error") & (u % 3 == 0), "contradiction").when(e == "view", "contemporaneous_named_report").when((e == "click") & (u % 5 != 0), "first_person_report").when(e == "purchase", "public_scene_context").otherwise("opportunity_contextless")
+    rows = t("events").select(u.alias("event_id"), cat.alias("category"), F.lit(True).alias("subject_specific"), reviewed.alias("human_reviewed"), F.lit(True).alias("authenticated"), F.lit(None).cast("boolean").alias("complete"), (F.col("event_id") % 3).alias("independent_group"))
+    return evidence.presence(rows)
 
 
 @query("""SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS birth, arg_min(coalesce(p, '?'), o_orderkey) AS death,
@@ -462,7 +464,7 @@ def duplicate_keys(t):
 
 @query("""WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'A/x.HTML' WHEN 1 THEN 'b.warc.gz' WHEN 2 THEN 'c.PDF' WHEN 3 THEN 'FOO_BAR_12_x.jpg' WHEN 4 THEN 'noext' ELSE './Ab\\c.ged' END AS p FROM pages)
   SELECT page_id, CASE page_id % 6 WHEN 0 THEN '.html' WHEN 1 THEN '.warc.gz' WHEN 2 THEN '.pdf' WHEN 3 THEN '.jpg' WHEN 4 THEN '' ELSE '.ged' END AS extension,
-  CASE page_id % 6 WHEN 0 THEN 'saved_web' WHEN 1 THEN 'web_archive' WHEN 2 THEN 'document' WHEN 3 THEN 'image' WHEN 4 THEN 'unknown' ELSE 'genealogy' END AS category,
+  CASE page_id % 6 WHEN 0 THEN 'web_snapshot' WHEN 1 THEN 'archive' WHEN 2 THEN 'document' WHEN 3 THEN 'image' WHEN 4 THEN 'unknown' ELSE 'genealogy' END AS category,
   CASE WHEN page_id % 6 = 3 THEN 'FOO-BAR-12' END AS artifact_id, CASE WHEN page_id % 6 = 5 THEN 'ab/c.ged' ELSE lower(p) END AS path_key FROM f""")
 def manifest_fields(t):
     names = ["A/x.HTML", "b.warc.gz", "c.PDF", "FOO_BAR_12_x.jpg", "noext", ".\\Ab\\c.ged"]
