@@ -14,6 +14,7 @@ candidate of each shared word; only where all of these fail and there were more,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,8 +63,9 @@ class Lines:
     ``row`` and ``line`` of each line, its ``size`` and ``start`` in ``words``, and its class
     (``cls``, an order-free hash, and ``bitmap``, the parity of its words' last six bits)."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], keep_sets: bool = False):
         rows, numbers, sizes, flat = [], [], [], []
+        self.sets: list[set[str]] = []
         get = _WORDS.get
         for r, text in enumerate(texts):
             if not text:
@@ -78,6 +80,8 @@ class Lines:
                     if None in got:
                         got = [g or _hash(w) for g, w in zip(got, words)]
                     flat.append(b"".join(got))
+                    if keep_sets:
+                        self.sets.append(words)
         self.row, self.line = np.array(rows, np.int64), np.array(numbers, np.int32)
         self.size = np.array(sizes, np.int64)
         self.words = np.frombuffer(b"".join(flat), np.uint64)
@@ -155,7 +159,7 @@ def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterato
                 part = batch.slice(at, 1000)
                 if keep is not None:
                     part = part.filter(pa.array(keep(part)))
-                for arrays in make(part, Lines(part.column(2).to_pylist()), held):
+                for arrays in make(part, Lines(part.column(2).to_pylist(), keep is not None), held):
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         if end is not None and held:
             yield pa.RecordBatch.from_arrays(end(held), schema=schema)
@@ -266,11 +270,12 @@ def _earliest(rows: DataFrame) -> DataFrame:
                 np.add.at(n, later, 1)
             y = np.flatnonzero(n)
             x = order[best[y]]
-            cls, bitmap = table.column("cls").to_numpy(), table.column("bitmap").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(cls[y]), pa.array(bitmap[y]), pa.array(cls[x]), pa.array(bitmap[x]), pa.array(n[y] > 1)], ["cls", "bitmap", "cls_x", "bitmap_x", "more"])
+            col = {c: table.column(c).to_numpy() for c in ("cls", "bitmap", "fk", "fl", "fh")}
+            found = [col["cls"][y], col["bitmap"][y], *(col[c][x] for c in ("cls", "bitmap", "fk", "fl", "fh")), n[y] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["cls", "bitmap", "cls_x", "bitmap_x", "fk", "fl", "fh", "more"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, more boolean")
+    return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, fk long, fl int, fh long, more boolean")
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -302,18 +307,52 @@ def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _word_sets(docs: DataFrame, of_docs: np.ndarray, of_lines: np.ndarray) -> DataFrame:
-    """``cls``, ``bitmap`` and ``words`` of the lines that the filters of documents and of line
-    classes let pass."""
-    schema = pa.schema([("cls", pa.int64()), ("bitmap", pa.int64()), ("words", pa.list_(pa.int64()))])
+    """``cls``, ``bitmap`` and ``body``, the compressed words, of the lines that the filters of
+    documents and of line classes let pass."""
+    schema = pa.schema([("cls", pa.int64()), ("bitmap", pa.int64()), ("body", pa.binary())])
     docs = docs.withColumn("kh", F.xxhash64("k"))
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
         pick = _passes(of_lines, lines.cls)
-        words = lines.words[pick[lines.owner()]].view(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lines.size[pick])]).astype(np.int32)
-        yield [pa.array(lines.cls[pick]), pa.array(lines.bitmap[pick]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))]
+        bodies = [zlib.compress("\n".join(sorted(lines.sets[i])).encode("utf-8", "surrogatepass"), 1) for i in np.flatnonzero(pick)]
+        yield [pa.array(lines.cls[pick]), pa.array(lines.bitmap[pick]), pa.array(bodies, pa.binary())]
 
-    return _scan(docs, make, schema, "cls long, bitmap long, words array<long>", keep=lambda batch: _passes(of_docs, batch.column(3).to_numpy()))
+    return _scan(docs, make, schema, "cls long, bitmap long, body binary", keep=lambda batch: _passes(of_docs, batch.column(3).to_numpy()))
+
+
+def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _place_in_filter(hashes)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _words_of(body: bytes) -> set[str]:
+    return set(zlib.decompress(body).decode("utf-8", "surrogatepass").split("\n"))
+
+
+def _similar(a: set[str], b: set[str]) -> bool:
+    return 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+
+def _verify_led(rows: DataFrame) -> DataFrame:
+    """``cls``, ``bitmap``, ``more`` and ``dead`` of each member: whether its leader matches it."""
+    keys = ["cls_x", "bitmap_x", "salt"]
+    names = ["cls", "bitmap", "more", "dead"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys, 4096):
+            starts = [*group_starts(table, keys).tolist(), table.num_rows]
+            member, body = table.column("member").to_pylist(), table.column("body")
+            dead = np.zeros(table.num_rows, bool)
+            for a, b in zip(starts, starts[1:]):
+                lead = _words_of(body[a].as_py()) if not member[a] else None
+                for i in range(a, b):
+                    if member[i] and lead is not None:
+                        dead[i] = _similar(lead, _words_of(body[i].as_py()))
+            out = table.append_column("dead", pa.array(dead)).filter(table.column("member")).select(names)
+            yield from out.to_batches()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "member")
+    return dealt.mapInArrow(run, "cls long, bitmap long, more boolean, dead boolean")
 
 
 def _verify(rows: DataFrame) -> DataFrame:
@@ -324,7 +363,7 @@ def _verify(rows: DataFrame) -> DataFrame:
         for table in whole_groups(batches, keys, 4096):
             starts = [*group_starts(table, keys).tolist(), table.num_rows]
             first = list(zip(*(table.column(c).to_pylist() for c in ("fk", "fl", "fh", "cls", "bitmap"))))
-            words = table.column("words").to_pylist()
+            words = table.column("body").to_pylist()
             out = []
             for a, b in zip(starts, starts[1:]):
                 before: list[set] = []
@@ -333,8 +372,8 @@ def _verify(rows: DataFrame) -> DataFrame:
                     if f == last:  # the same class from another task
                         continue
                     last = f
-                    s = set(x)
-                    if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in reversed(before) if 5 * len(e) >= 4 * len(s) and 5 * len(s) >= 4 * len(e)):
+                    s = _words_of(x)
+                    if any(_similar(s, e) for e in reversed(before)):
                         out.append(f[3:])
                     before.append(s)
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([m for _, m in out], pa.int64())], ["cls", "bitmap"])
@@ -344,33 +383,35 @@ def _verify(rows: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Classes that an earlier class matches, by ``pairs`` or, where none of a class's pairs holds
-    though it had more candidates, by all rows of its cells in ``found``."""
-    same = ["cls", "bitmap"]
-    named = pairs.select(*same).unionByName(pairs.select(F.col("cls_x").alias("cls"), F.col("bitmap_x").alias("bitmap"))).distinct()
-    sets = _sets_of(docs, classes, named)
-    x = sets.select(F.col("cls").alias("cls_x"), F.col("bitmap").alias("bitmap_x"), F.col("words").alias("words_x"))
-    both = F.size(F.array_intersect("words", "words_x"))
-    match = F.coalesce(9 * both >= 4 * (F.size("words") + F.size("words_x")), F.lit(False))
-    joined = pairs.join(x, ["cls_x", "bitmap_x"], "left").join(sets, same)
-    tested = materialize(joined.groupBy(*same).agg(F.bool_or(match).alias("dead"), F.bool_or("more").alias("more")), "line-matches")
+    """Classes that an earlier class matches: the earliest candidate of each, its leader, or,
+    where that fails though there were more, any of the cells in ``found``.
+
+    The members of a leader are dealt in parts of BLOCK, each with its own copy of the leader.
+    """
+    same, lead = ["cls", "bitmap"], ["cls_x", "bitmap_x"]
+    sizes = materialize(pairs.groupBy(*lead).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")), "line-leaders")
+    salt = F.pmod(F.xxhash64(*same), F.col("parts"))
+    members = pairs.join(sizes, lead).select(*same, *lead, salt.alias("salt"), F.lit(True).alias("member"), "more")
+    leaders = sizes.select(F.col("cls_x").alias("cls"), F.col("bitmap_x").alias("bitmap"), *lead, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(False).alias("more"))
+    roles = materialize(members.unionByName(leaders), "line-roles")
+    tested = materialize(_verify_led(roles.join(_sets_of(docs, classes, roles.select(*same)), same)), "line-matches")
+    release(docs.sparkSession)
     dead = tested.where("dead").select(*same, "dead")
     open_ = tested.where("more and not dead").select(*same)
     if open_.isEmpty():
         return dead
     cells = found.join(open_, same, "left_semi").select("word", "cell").distinct()
     rows = materialize(found.join(cells, ["word", "cell"], "left_semi"), "line-rest")
-    rest = _verify(rows.join(_sets_of(docs, classes, rows.select(*same).distinct()), same))
+    rest = _verify(rows.join(_sets_of(docs, classes, rows.select(*same)), same))
     return dead.unionByName(rest.select(*same, F.lit(True).alias("dead"))).distinct()
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
     """Word sets of the classes ``named``, each once."""
     same = ["cls", "bitmap"]
-    named = materialize(named.join(classes, same).select(*same, "fk"), "lines-to-verify")
+    named = materialize(named.distinct().join(classes, same).select(*same, "fk", "fl", "fh"), "lines-to-verify")
     of_docs = _filter(named.select(F.xxhash64("fk").alias("cls")))
-    found = _word_sets(docs, of_docs, _filter(named.select("cls")))
-    return materialize(found.join(named.select(*same), same, "left_semi").dropDuplicates(same), "word-sets")
+    return _word_sets(docs, of_docs, _filter(named.select("cls"))).dropDuplicates(same)
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,7 +430,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     release(spark)
     found = compared.where("cell >= 0").unionByName(_candidates(_deal_busy(compared.where("cell < 0"))))
     found = materialize(found.join(classes.select(*same, "fk", "fl", "fh"), same), "line-candidates")
-    pairs = materialize(_earliest(found).groupBy(*same, "cls_x", "bitmap_x").agg(F.bool_or("more").alias("more")), "line-pairs")
+    several = F.bool_or("more") | (F.min("cls_x") != F.max("cls_x"))
+    pairs = _earliest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.struct("fk", "fl", "fh", "cls_x")).alias("x"), several.alias("more"))
+    pairs = materialize(pairs.select(*same, "x.*", "more"), "line-pairs")
     release(spark)
     dead = _verified(docs, classes, found, pairs)
 
