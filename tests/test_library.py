@@ -261,3 +261,68 @@ def test_longest_prefix_and_queue(spark):
     assert sizes == [50, 50, 23]
     log = spark.createDataFrame([("q", 1, "failed", "rate"), ("q", 2, "failed", "rate"), ("r", 1, "searched", None), ("s", 3, "failed", "x")], "query_id string, attempt int, status string, failure string")
     assert {r.query_id: r.status for r in queue.replay(log).collect()} == {"q": "pending", "r": "searched", "s": "failed"}
+
+
+def test_hypotheses(spark):
+    from evispark.operators import research
+
+    base = research.RANK_A_VALUES | {"hypothesis_id": "h", "status": "confirmatory_ready", "rank_band": "A", "privacy_label": "R4", "share_status": "do_not_share", "unknowns": [], "cannot_support": "It cannot prove kinship.", "cannot_support_categories": research.MUST_NOT_SUPPORT, "source_urls": ["https://x.org/a"], "origin_evidence_roles": ["public_record"], "array_confirmation_status": "not_applicable", "reference_build": None, "orientation_status": None, "access_verified_on": "2026-01-02"}
+    cases = [({}, []), ({"rank_band": "Z"}, ["rank_band_invalid"]), ({"rank_band": "B", "power_status": "pending"}, []), ({"power_status": "pending"}, ["rank_a_power_status_not_met"]), ({"source_urls": ["http://x.org"]}, ["source_url_not_clean", "source_url_not_https"]), ({"origin_evidence_roles": ["array_call"]}, ["rank_a_array_confirmation_not_met", "rank_a_genome_harmonization_missing"]), ({"access_verified_on": "soon"}, ["rank_a_access_date_invalid"]), ({"unknowns": ["x"]}, ["rank_a_unknowns_present"])]
+    names = sorted(base)
+    arrays = {"unknowns", "cannot_support_categories", "source_urls", "origin_evidence_roles"}
+    schema = ", ".join(f"{n} {'array<string>' if n in arrays else 'string'}" for n in names)
+    df = spark.createDataFrame([tuple((base | c | {"hypothesis_id": str(i)})[n] for n in names) for i, (c, _) in enumerate(cases)], schema)
+    got = {}
+    for r in research.hypothesis_findings(df).collect():
+        got.setdefault(int(r.record_id), []).append(r.code)
+    assert {i: sorted(v) for i, v in got.items()} == {i: want for i, (_, want) in enumerate(cases) if want}
+    assert research.rank_counts(df).first().asDict() == {"A": 6, "B": 1, "C": 0, "D": 0}
+
+
+def test_scenario_and_citations(spark):
+    from evispark.operators import research
+
+    schema = "scenario_id string, id string, role string, low double, high double, evidence_level string, independence string, source_url string"
+    factors = spark.createDataFrame([("s", "f1", "share", 0.0001, 0.01, "assumption", "independent", "https://x"), ("s", "f2", "event_presence", 0.1, 2.0, "observed", "overlapping", "http://x")], schema)
+    r = research.scenario(10.0, 20.0, factors).first()
+    assert (r.display_low, r.display_high, r.warnings) == (0, 1, "f1 is an assumption; f2 may overlap other factors") and abs(r.high - 0.4) < 1e-12
+    assert sorted(r.code for r in research.factor_findings(factors).collect()) == ["interval_invalid", "role_prohibited", "source_url_missing"]
+    sources = spark.createDataFrame([("u", "h", "some  long\ntext")], "source_url string, source_sha256 string, text string")
+    citations = spark.createDataFrame([("1", "u", "h", "long text", "r"), ("2", "u", "x", "long", "r"), ("3", "u", "h", "other", "r"), ("4", "u", "h", "some", None)], "citation_id string, source_url string, source_sha256 string, excerpt string, rationale string")
+    assert sorted((r.record_id, r.code) for r in research.citation_findings(citations, sources).collect()) == [("2", "source_not_registered"), ("3", "excerpt_not_in_source"), ("4", "excerpt_missing")]
+    ranges = spark.createDataFrame([("c", "x", 1900, 1910), ("c", "y", 1905, 1920)], "convention string, label string, start_year int, end_year int")
+    assert sorted(r.label for r in research.generation_matches(spark.createDataFrame([(1, 1907)], "p int, y int"), "y", ranges).collect()) == ["x", "y"]
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "url string")
+    assert sorted(map(tuple, research.coverage(keys("a", "b", "b", "z"), keys("a", "b", "c"), "url").collect())) == [("b", "repeated"), ("c", "missing"), ("z", "unexpected")]
+    texts = spark.createDataFrame([("p/Secret.txt", "fine"), ("q.txt", "a Codename here")], "path string, text string")
+    assert sorted(map(tuple, research.forbidden_terms(texts, texts, ["codename", "secret"]).collect())) == [("path", "p/Secret.txt", "secret"), ("text", "q.txt", "codename")]
+
+
+def test_batch_executor(spark, tmp_path):
+    from evispark.plans.executor import Adapter, ProviderError, run_batch
+
+    df = spark.createDataFrame([(f"q{i}", "web" if i else "off", f"x{i}", i % 2, 0) for i in range(6)], "query_id string, provider string, query string, priority int, source_priority int")
+    calls = []
+
+    def search(q):
+        calls.append(q)
+        if q in ("x1", "x3", "x5"):
+            raise ProviderError("rate")
+        return [] if q == "x4" else [{"url": "u"}]
+
+    web = {"web": Adapter(search, "https://terms", True, 1, 0.0)}
+    state = run_batch(df, web, str(tmp_path / "c.json"), limit=4)
+    assert calls == ["x2", "x4", "x1"] and {k: v["status"] for k, v in state.items()} == {"q0": "manual_followup", "q2": "searched", "q4": "not_found", "q1": "failed"}
+    state = run_batch(df, web, str(tmp_path / "c.json"), limit=9)
+    assert calls[3:] == ["x3", "x5"] and state["q5"]["halt"] == "three_failures"
+    assert run_batch(df, web, str(tmp_path / "c.json")) == state and len(calls) == 5
+    assert {r["status"] for r in run_batch(df, {}, str(tmp_path / "d.json"), dry_run=True).values()} == {"dry_run"} and not (tmp_path / "d.json").exists()
+
+
+def test_json_walk(spark):
+    from evispark.sources.json_walk import secret_paths, walk
+
+    df = spark.createDataFrame([(1, '{"a": [{"userPassword": "x"}, "t"], "apiKeys": 1, "api_key": 2}'), (2, "{")], "id int, body string")
+    walked = walk(df, "id", "body")
+    assert sorted((r.key, r.path) for r in secret_paths(walked).collect()) == [("1", "a[0].userPassword"), ("1", "api_key")]
+    assert [r.text for r in walked.where("path = 'a[1]'").collect()] == ["t"] and walked.where("path is null").count() == 1
