@@ -8,8 +8,8 @@ themselves. A line goes if any earlier line matches it.
 
 The corpus is scanned three times instead of being shuffled: for line classes and word counts,
 for prefixes, and for the word sets of the few lines that are verified. Equal lines are one
-class, so copies are never compared with each other. A line is verified against its earliest
-candidate of each shared word; only where all of these fail and there were more, against all.
+class, so copies are never compared with each other. A line is verified against its nearest
+earlier candidate; only where that fails and there were more, against all.
 """
 
 from __future__ import annotations
@@ -92,6 +92,15 @@ class Lines:
         else:
             self.cls = self.bitmap = np.zeros(0, np.int64)
 
+    def wide(self) -> np.ndarray:
+        """256 parity bits of each line's words, as four integers."""
+        place = (self.words >> np.uint64(6)) & np.uint64(255)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        zero = np.uint64(0)
+        if not len(self.size):
+            return np.zeros((0, 4), np.uint64)
+        return np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == np.uint64(w), bit, zero), self.start) for w in range(4)], 1)
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size)
 
@@ -170,7 +179,7 @@ def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterato
 def _classes(docs: DataFrame) -> DataFrame:
     """A row per line, and in rows with ``counts`` the number of lines of each counter's words
     (equal lines of a task count once)."""
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("bitmap", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("bitmap", pa.int64()), ("wide", pa.binary()), ("counts", pa.binary())])
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
         total = held.setdefault("total", np.zeros(COUNTERS, np.int64))
@@ -178,14 +187,15 @@ def _classes(docs: DataFrame) -> DataFrame:
         total += np.bincount(counter(lines.words[new[lines.owner()]]), minlength=COUNTERS)
         n = len(lines.size)
         k, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.row] for i in (0, 1))
-        yield [pa.array(k, pa.int64()), pa.array(th, pa.int64()), pa.array(lines.line), pa.array(lines.cls), pa.array(lines.bitmap), pa.nulls(n, pa.binary())]
+        wide = [w.tobytes() if f else None for w, f in zip(lines.wide(), new)]  # one task of several is enough
+        yield [pa.array(k, pa.int64()), pa.array(th, pa.int64()), pa.array(lines.line), pa.array(lines.cls), pa.array(lines.bitmap), pa.array(wide, pa.binary()), pa.nulls(n, pa.binary())]
 
     def end(held: dict) -> list:
         rows = list(_counter_rows(held["total"]))
         none = pa.nulls(len(rows), pa.int64())
-        return [none, none, pa.array([s for s, _ in rows], pa.int32()), none, none, pa.array([c for _, c in rows], pa.binary())]
+        return [none, none, pa.array([s for s, _ in rows], pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array([c for _, c in rows], pa.binary())]
 
-    return _scan(docs, make, schema, "k long, th long, line int, cls long, bitmap long, counts binary", end)
+    return _scan(docs, make, schema, "k long, th long, line int, cls long, bitmap long, wide binary, counts binary", end)
 
 
 def _entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -253,29 +263,42 @@ def _deal_busy(busy: DataFrame) -> DataFrame:
     return rows.select("word", (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("cell"), "shape", "cls", "bitmap")
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
-    """For each row its earliest earlier candidate in its cell: ``cls``, ``bitmap``, ``cls_x``,
-    ``bitmap_x``, and ``more``, whether there were others."""
+def _nearest(rows: DataFrame) -> DataFrame:
+    """For each row its most similar earlier candidate in its cell, by 256 parity bits, which also
+    refuse more pairs: ``cls``, ``bitmap``, ``cls_x``, ``bitmap_x``, ``apart``, the share of words
+    that the bits show to differ, and ``more``, whether there were other candidates."""
     keys = ["word", "cell"]
+    names = ["cls", "bitmap", "cls_x", "bitmap_x", "apart", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
+            n = table.num_rows
             order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            best, n = np.full(len(order), len(order)), np.zeros(len(order), np.int64)
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(n, 4)
+            size = table.column("shape").to_numpy() >> 32
+            best, lead, count = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for a, b in _compare(table):
-                later, earlier = np.where(rank[a] < rank[b], b, a), np.minimum(rank[a], rank[b])
-                np.minimum.at(best, later, earlier)
-                np.add.at(n, later, 1)
-            y = np.flatnonzero(n)
-            x = order[best[y]]
-            col = {c: table.column(c).to_numpy() for c in ("cls", "bitmap", "fk", "fl", "fh")}
-            found = [col["cls"][y], col["bitmap"][y], *(col[c][x] for c in ("cls", "bitmap", "fk", "fl", "fh")), n[y] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["cls", "bitmap", "cls_x", "bitmap_x", "fk", "fl", "fh", "more"])
+                differ = np.bitwise_count(wide[a] ^ wide[b]).sum(1).astype(np.int64)
+                total = size[a] + size[b]
+                ok = differ <= total - 2 * ((4 * total + 8) // 9)
+                a, b, apart = a[ok], b[ok], differ[ok] / total[ok]
+                later, earlier = np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b)
+                # within a step a row is once the first and once the second of a pair at most
+                for side in (later == a, later == b):
+                    y, x, d = later[side], earlier[side], apart[side]
+                    better = d < best[y]
+                    best[y[better]], lead[y[better]] = d[better], x[better]
+                    count[y] += 1
+            y = np.flatnonzero(count)
+            x = lead[y]
+            cls, bitmap = table.column("cls").to_numpy(), table.column("bitmap").to_numpy()
+            found = [cls[y], bitmap[y], cls[x], bitmap[x], best[y], count[y] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names)
 
     dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, fk long, fl int, fh long, more boolean")
+    return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, apart double, more boolean")
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -383,7 +406,7 @@ def _verify(rows: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Classes that an earlier class matches: the earliest candidate of each, its leader, or,
+    """Classes that an earlier class matches: the nearest candidate of each, its leader, or,
     where that fails though there were more, any of the cells in ``found``.
 
     The members of a leader are dealt in parts of BLOCK, each with its own copy of the leader.
@@ -423,15 +446,15 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     counts = _sum_counters(scanned.where("counts is not null").select(F.col("line").alias("s"), "counts"))
     lines = scanned.where("counts is null").select("k", "th", "line", "cls", "bitmap")
     same = ["cls", "bitmap"]
-    classes = lines.groupBy(*same).agg(F.min(F.struct("k", "line", "th")).alias("f"), F.count("*").alias("n"))
-    classes = materialize(classes.select(*same, F.col("f.k").alias("fk"), F.col("f.line").alias("fl"), F.col("f.th").alias("fh"), "n"), "line-classes")
+    classes = scanned.where("counts is null").groupBy(*same).agg(F.min(F.struct("k", "line", "th")).alias("f"), F.count("*").alias("n"), F.max("wide").alias("wide"))
+    classes = materialize(classes.select(*same, F.col("f.k").alias("fk"), F.col("f.line").alias("fl"), F.col("f.th").alias("fh"), "n", "wide"), "line-classes")
 
     compared = materialize(_candidates(_entries(docs, counts)), "line-candidates")
     release(spark)
     found = compared.where("cell >= 0").unionByName(_candidates(_deal_busy(compared.where("cell < 0"))))
-    found = materialize(found.join(classes.select(*same, "fk", "fl", "fh"), same), "line-candidates")
+    found = materialize(found.join(classes.select(*same, "fk", "fl", "fh", "wide"), same), "line-candidates")
     several = F.bool_or("more") | (F.min("cls_x") != F.max("cls_x"))
-    pairs = _earliest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.struct("fk", "fl", "fh", "cls_x")).alias("x"), several.alias("more"))
+    pairs = _nearest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.struct("apart", "cls_x")).alias("x"), several.alias("more"))
     pairs = materialize(pairs.select(*same, "x.*", "more"), "line-pairs")
     release(spark)
     dead = _verified(docs, classes, found, pairs)

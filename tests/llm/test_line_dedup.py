@@ -53,8 +53,8 @@ def test_matches_brute_force(spark, monkeypatch, block, calm, blind):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     monkeypatch.setattr(line_dedup, "CALM", calm)
     if blind:  # first candidates that fail: all of their cells are verified
-        real = line_dedup._earliest
-        monkeypatch.setattr(line_dedup, "_earliest", lambda rows: real(rows).selectExpr("cls", "bitmap", "0L cls_x", "0L bitmap_x", "fk", "fl", "fh", "true more").where("pmod(cls, 2) = 0").unionAll(real(rows).where("pmod(cls, 2) = 1")))
+        real = line_dedup._nearest
+        monkeypatch.setattr(line_dedup, "_nearest", lambda rows: real(rows).selectExpr("cls", "bitmap", "0L cls_x", "0L bitmap_x", "apart", "true more").where("pmod(cls, 2) = 0").unionAll(real(rows).where("pmod(cls, 2) = 1")))
     rows = corpus(150) + [(None, "a b c d e f"), (None, None), (5000, None), (5001, ""), (5002, "\n\n"), (1, corpus(9)[8][1])]
     rows += [rows[9], rows[9]]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS cls", "1 AS k", "2 AS n_removed").repartition(3)
