@@ -326,3 +326,31 @@ def test_json_walk(spark):
     walked = walk(df, "id", "body")
     assert sorted((r.key, r.path) for r in secret_paths(walked).collect()) == [("1", "a[0].userPassword"), ("1", "api_key")]
     assert [r.text for r in walked.where("path = 'a[1]'").collect()] == ["t"] and walked.where("path is null").count() == 1
+
+
+def test_command_line(spark, tmp_path):
+    from evispark.cli import main
+
+    (tmp_path / "paths.txt").write_text("ok.py\nsecret/.env\nscan.pdf\n")
+    assert main(["privacy-audit", str(tmp_path / "paths.txt"), str(tmp_path / "out"), "--strict"], spark) == 1
+    assert sorted(r.rule for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["media_or_document_file", "secret_or_environment_file"]
+    (tmp_path / "t.ged").write_text(GED)
+    assert main(["parse-gedcom", str(tmp_path / "t.ged"), str(tmp_path / "people")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "people")).count() == 3
+    assert main(["nothing"], spark) == 2
+
+
+def test_award_groups_and_publication(spark):
+    from evispark.operators import publish
+
+    members = spark.createDataFrame([("a", "exact_below"), ("a", "bounded_below"), ("b", "exact_below"), ("b", "possible_above"), ("c", "exact_below")], "award_id string, status string")
+    groups = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", False)], "award_id string, open boolean")
+    assert {r.award_id: r.fully_excluded for r in awards.award_status(groups, members).collect()} == {"a": True, "b": False, "c": False, "d": False}
+    day = datetime.date(2000, 5, 1)
+    screen = spark.createDataFrame([(day, 40, 5), (day, 40, 4), (day, 95, 5)], "as_of date, stated_age int, tolerance int")
+    assert [r.screened for r in awards.group_screen(screen, 107_307, "2026-10-22").collect()] == [True, False, False]
+    plans = awards.finder_plans(spark.createDataFrame([("p", "A B")], "person_id string, name string"), [1940, 1950], [("f", "https://x.org/?n={name}&y={year}")])
+    assert sorted(r.url for r in plans.collect()) == ["https://x.org/?n=A+B&y=1940", "https://x.org/?n=A+B&y=1950"]
+    df = spark.createDataFrame([("a/x.pdf", "x.pdf", None, "document", "public_ok", "h", "confirmed"), ("private/y.pdf", "y.pdf", "I", "document", "public_ok", "h", "confirmed"), ("z.pdf", "z.pdf", None, "document", None, "h", "confirmed")], "relative_path string, filename string, artifact_id string, file_category string, privacy_label string, sha256 string, source_confidence string")
+    assert [r.title for r in publish.static_site_rows(df).collect()] == ["x.pdf"]
+    assert [r.payload.title for r in publish.bibliography_items(df).collect()] == ["x.pdf", "I", "z.pdf"]
