@@ -161,7 +161,7 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "d
     unit = length // UNITS
     part = F.shiftright("uid", 33).alias("part")
     docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length), "packing-docs")
-    some = F.coalesce("rest", F.lit(0)) > 0  # not pushed to the reader: its page filter did not end on these files
+    some = F.coalesce("rest", F.lit(0)) > 0  # kept from the Parquet reader, which was seen to stall on this filter once
     light = docs.select("k", "uid", part, "n", "rest", "crc", "cls", "lane")
     histogram = docs.where(some).groupBy("cls", F.least("lane", F.lit(LANES)).alias("lane")).agg(F.count("*").alias("c"), F.sum("rest").alias("t")).collect()
     tokens = sum(r.t for r in histogram)
