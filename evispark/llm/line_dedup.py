@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import group_starts, whole_groups
+from .memory import claim
 from .store import materialize, partitions, release
 
 #: Lines with fewer distinct words are left alone.
@@ -39,7 +40,7 @@ BLOCK, CALM = 4096, 16_384
 SPREAD = 1024
 #: Bits of the broadcast filter of lines to verify. It may only let more lines pass.
 FILTER_BITS = 1 << 24
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: Hashes of words, and of lines already seen in a task, by Python worker.
 _WORDS: dict[str, bytes] = {}
 
@@ -110,7 +111,7 @@ class Lines:
         for i, c in enumerate(self.cls.tolist()):
             if c not in seen:
                 out[i] = True
-                if len(seen) < 2_000_000:
+                if len(seen) < 500_000:
                     seen.add(c)
         return out
 
@@ -162,6 +163,7 @@ def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterato
     lives as long as the task, and ``end`` after the last; only over rows that ``keep`` keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines", _WORDS.clear)
         held: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

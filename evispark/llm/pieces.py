@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import claim
+
 #: Chunks a worker remembers. Later chunks are encoded each time they come.
 MEMO_CHUNKS = 700_000
 SPACE = "▁"
@@ -192,6 +194,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def piece_encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker."""
+    claim("pieces", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .blocks import chain, forest, group_starts, whole_groups
 from .components import connected_components
+from .memory import claim
 from .store import materialize, partitions
 
 SEED = 42
@@ -78,9 +79,12 @@ def add_fingerprints(df: DataFrame, key: str, text: str, shingle_words: int) ->
     """``key`` and ``fp`` (the fingerprint's bits as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash", lambda: None)
         for batch in batches:
-            fps = fingerprints(batch.column(1).to_pylist(), shingle_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["key", "fp"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                fps = fingerprints(part.column(1).to_pylist(), shingle_words)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["key", "fp"])
 
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "key long, fp long")
 

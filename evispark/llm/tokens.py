@@ -15,6 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from .memory import claim  # noqa: E402
+
 #: Words a worker remembers. Later words are encoded each time they come.
 MEMO_WORDS = 700_000
 ODD_SPACE = re.compile(r" \s")
@@ -76,6 +78,7 @@ _ENCODERS: dict[tuple, TextEncoder] = {}
 
 def encoder(path: str, spaces: bool, end_id: int | None = None) -> TextEncoder:
     """One encoder per Python worker."""
+    claim("tokens", _ENCODERS.clear)
     found = _ENCODERS.get((path, spaces, end_id))
     if found is None:
         found = _ENCODERS[(path, spaces, end_id)] = TextEncoder(path, spaces, end_id)

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import claim
+
 #: Most labelled rows that a model is fitted on: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 SLOT_BITS = 22
@@ -26,7 +28,7 @@ LEAST_CHI2 = 15.0
 LEAST_DOCS = 3
 FACTORS = 8
 EPOCHS = 12
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -196,6 +198,7 @@ _MEMOS: dict[int, dict] = {}
 
 def _memo(at: dict) -> dict:
     """Words seen by this worker under this model."""
+    claim("toxicity", _MEMOS.clear)
     if id(at) not in _MEMOS:
         _MEMOS.clear()
         _MEMOS[id(at)] = {"": ()}
