@@ -8,7 +8,8 @@ themselves. A line goes if any earlier line matches it.
 
 The corpus is scanned three times instead of being shuffled: for line classes and word counts,
 for prefixes, and for the word sets of the few lines that are verified. Equal lines are one
-class, so copies are never compared with each other. A line is verified against its nearest
+class, so copies are never compared with each other; lines of up to three words match nothing
+but copies. A line is verified against its nearest
 earlier candidate; only where that fails and there were more, against all.
 """
 
@@ -27,8 +28,10 @@ from .blocks import group_starts, whole_groups
 from .memory import claim
 from .store import materialize, partitions, release
 
-#: Lines with fewer distinct words are left alone.
-MIN_WORDS = 5
+#: Lines with fewer distinct words, which is those without any, are left alone.
+MIN_WORDS = 1
+#: Sets of fewer words match equal sets only: they are in classes, but not in the join.
+JOIN_WORDS = 4
 #: Counters that the broadcast word counts are hashed into. Words that share one share a rarity:
 #: the order stays total, so the join stays exact.
 COUNTERS = 1 << 16
@@ -180,12 +183,12 @@ def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterato
 
 def _classes(docs: DataFrame) -> DataFrame:
     """A row per line, and in rows with ``counts`` the number of lines of each counter's words
-    (equal lines of a task count once)."""
+    (equal lines of a task count once, and those that the join leaves out do not)."""
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("bitmap", pa.int64()), ("wide", pa.binary()), ("counts", pa.binary())])
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
         total = held.setdefault("total", np.zeros(COUNTERS, np.int64))
-        new = lines.new(held.setdefault("seen", set()))
+        new = lines.new(held.setdefault("seen", set())) & (lines.size >= JOIN_WORDS)
         total += np.bincount(counter(lines.words[new[lines.owner()]]), minlength=COUNTERS)
         n = len(lines.size)
         k, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.row] for i in (0, 1))
@@ -206,7 +209,7 @@ def _entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     schema = pa.schema([("word", pa.int32()), ("cell", pa.int64()), ("shape", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.int64())])
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        owner, words, place = lines.prefixes(counts, lines.new(held.setdefault("seen", set())))
+        owner, words, place = lines.prefixes(counts, lines.new(held.setdefault("seen", set())) & (lines.size >= JOIN_WORDS))
         cls = lines.cls[owner]
         cell = np.where(counts[counter(words)] > CALM, -1 - (_mix(cls.view(np.uint64)) % np.uint64(SPREAD)).astype(np.int64), 0)
         yield [pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cell), pa.array(lines.size[owner] << 32 | place), pa.array(cls), pa.array(lines.bitmap[owner])]
@@ -473,8 +476,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Lines are ordered by key, then line number; where rows with one key have different texts,
     then by the text's hash. Rows that repeat key and text are one document and keep the same
-    lines. Lines with fewer than MIN_WORDS distinct words stay, as do all other rows, columns
-    and null values; a null text has no lines, and a row with a null key has no place in the
+    lines. Lines without words stay, as do all other rows, columns and null values; a null text has no lines, and a row with a null key has no place in the
     order: it is left alone and removes nothing. An empty table gives an empty result.
     """
     gone = materialize(removed_lines(df, key, text).select(F.col("k").alias("k_"), F.col("th").alias("th_"), F.col("removed").alias("removed_")), "removed-lines")

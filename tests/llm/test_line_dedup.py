@@ -84,3 +84,9 @@ def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in op10_line_dedup(spark, sf).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_short_lines(spark):
+    rows = [(1, "All rights reserved.\n\na b c d"), (2, "all RIGHTS  reserved.\n\nd c b a e"), (3, "x\n \na b c\nno no no no no yes"), (4, "X\n\na b\nyes no"), (5, "a b c x\na b c d e f")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 2), 3: (rows[2][1], 0), 4: ("\na b", 2), 5: ("a b c x", 1)}
