@@ -95,3 +95,26 @@ def test_near_dedup_keeps_columns_and_first(spark):
     kept = near_dedup(df)
     assert kept.columns == df.columns
     assert sorted(map(str, [r.doc_id for r in kept.collect()])) == ["1", "9", "None"]
+
+
+def test_near_dedup_links_exactly_at_jaccard(spark):
+    rng, rows = random.Random(8), []
+    for g in range(60):
+        words = [f"w{g}x{i}" for i in range(rng.randrange(30, 300))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(5):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(1, 8) // 200)):
+                changed[at] = f"n{rng.random()}"
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(changed)))
+    rows += [(len(rows), ""), (len(rows) + 1, " \n")]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a == b or a & b and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert 100 < len(set(root)) < 300
