@@ -24,15 +24,20 @@ def parents(df: DataFrame, record: list[str], order: str, level: str, deepest: i
 def read_nodes(spark: SparkSession, path: str, deepest: int = 9) -> DataFrame:
     """Nodes (file, rec, n, parent, level, pointer, tag, value) of GEDCOM files.
 
-    A record starts at level 0. A line without level and tag fails the query.
+    A record starts at level 0. A line without level and tag fails the query. The files are read
+    once before for their largest level; parents are found for all levels up to it, 99 (the
+    format's own bound) at most. A line above that is an error.
     """
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
     lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
     level = F.regexp_extract("line", LINE, 1)
     checked = F.when(level == "", F.raise_error(F.concat(F.lit("not a GEDCOM line: "), F.col("line")))).otherwise(level)
     nodes = lines.select("file", "n", checked.cast("int").alias("level"), strip_pointer(F.nullif(F.regexp_extract("line", LINE, 2), F.lit(""))).alias("pointer"), F.regexp_extract("line", LINE, 3).alias("tag"), F.regexp_extract("line", LINE, 4).alias("value"))
+    found = lines.agg(F.max(F.nullif(level, F.lit("")).try_cast("long"))).first()[0] or 0
+    if found > 99:
+        raise ValueError(f"GEDCOM level {found} is over 99")
     start = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return parents(nodes.withColumn("rec", F.count_if(F.col("level") == 0).over(start)), ["file", "rec"], "n", "level", deepest)
+    return parents(nodes.withColumn("rec", F.count_if(F.col("level") == 0).over(start)), ["file", "rec"], "n", "level", max(deepest, found))
 
 
 def assembled(nodes: DataFrame) -> DataFrame:

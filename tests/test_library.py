@@ -354,3 +354,12 @@ def test_award_groups_and_publication(spark):
     df = spark.createDataFrame([("a/x.pdf", "x.pdf", None, "document", "public_ok", "h", "confirmed"), ("private/y.pdf", "y.pdf", "I", "document", "public_ok", "h", "confirmed"), ("z.pdf", "z.pdf", None, "document", None, "h", "confirmed")], "relative_path string, filename string, artifact_id string, file_category string, privacy_label string, sha256 string, source_confidence string")
     assert [r.title for r in publish.static_site_rows(df).collect()] == ["x.pdf"]
     assert [r.payload.title for r in publish.bibliography_items(df).collect()] == ["x.pdf", "I", "z.pdf"]
+
+
+def test_gedcom_below_level_nine(spark, tmp_path):
+    from evispark.sources.gedcom import assembled, read_nodes
+
+    (tmp_path / "deep.ged").write_text("\n".join(["0 @I1@ INDI", *[f"{i} NOTE n{i}" for i in range(1, 13)], "13 CONT more"]))
+    nodes = read_nodes(spark, str(tmp_path / "deep.ged"))
+    assert [(r.level, r.parent) for r in nodes.orderBy("n").collect()] == [(0, None), *[(i, i - 1) for i in range(1, 14)]]
+    assert {r.level: r.value for r in assembled(nodes).collect()}[12] == "n12\nmore"
