@@ -62,7 +62,7 @@ def min_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``key``, ``id`` (of the set), ``fp``, ``bands`` and ``sketch`` of rows ``k``, ``t``."""
+    """``key``, ``th``, ``id`` (of the set), ``fp``, ``bands`` and ``sketch`` of rows ``k``, ``th``, ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-copies", lambda: None)
@@ -70,16 +70,16 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids, fps, bands, sketch = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     h, fp = shingle_set(text, shingle_words)
                     low = min_hashes(h)
                     ids.append(set_id(h))
                     fps.append(fp)
                     bands.append(np.add.reduce(_mix(low.reshape(BANDS, BAND) + np.arange(BAND, dtype=np.uint64)), 1).view(np.int64))
                     sketch.append(low[:SKETCH].astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["key", "id", "fp", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["key", "th", "id", "fp", "bands", "sketch"])
 
-    return docs.select("k", "t").mapInArrow(run, "key long, id long, fp long, bands array<long>, sketch binary")
+    return docs.select("k", "th", "t").mapInArrow(run, "key long, th long, id long, fp long, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:

@@ -186,25 +186,26 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group kept: the one with the group's smallest key.
+    """``docs`` with one document of each group kept: the one with the smallest key, and where that
+    has several texts in the group, the smallest text hash.
 
     Texts are linked if the Jaccard similarity of their shingle sets is 0.8 or more, which is
     verified exactly; candidates are those within ``radius`` bits and those that share a MinHash
     band (near_copies). Texts without words are one group. Rows with a null key are all kept;
-    rows that repeat a kept key are kept with it.
+    rows that repeat a kept key and text are kept with it.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
     drawn = materialize(sketches(rows, shingle_words), "sketches")
-    one = drawn.groupBy("id").agg(F.min("key").alias("low"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    one = drawn.groupBy("id").agg(F.min("key").alias("low"), F.min(F.struct("key", "th")).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(one, "nodes")
     links = near_links(rows, nodes, [_signed(m) for m in covering_masks(radius)], shingle_words)
     found = connected_components(links)
-    member = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    member = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     member = materialize(member, "members")
-    lowest = materialize(member.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    member = materialize(member.join(lowest, "root").select("id", "component_id"), "members")
-    gone = materialize(drawn.select("key", "id").join(member, "id").where("key != component_id").select(F.col("key").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    lowest = materialize(member.groupBy("root").agg(F.min("first").alias("kept")), "lowest")
+    member = materialize(member.select("id", "root").join(lowest, "root").select("id", "kept"), "members")
+    gone = materialize(drawn.select("key", "th", "id").join(member, "id").where(F.struct("key", "th") != F.col("kept")).select(F.col("key").alias("_gone"), F.col("th").alias("_th")).distinct(), "gone")
+    return docs.join(gone, (docs[key] == gone["_gone"]) & (F.xxhash64(docs[text].cast("string")) == gone["_th"]), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,10 @@ def test_near_dedup_links_exactly_at_jaccard(spark):
     kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     assert 100 < len(set(root)) < 300
+
+
+def test_near_dedup_one_key_with_two_texts(spark):
+    same, other = "same text of many words here", "quite another one of five words"
+    rows = [(1, same), (2, same), (2, other), (3, other), (3, other), (2, other)]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, same), (2, other), (2, other)]
