@@ -3,8 +3,10 @@
 A bounded sample is split by balanced bisection; the parts' means are centroids, held in memory
 with a neighbour graph. Every vector goes to the list of its nearest centroid and, if it
 lies near a border, to others too. A query walks the graph to the nearest centroids and
-searches the lists whose distance is within a ratio of the nearest one's. Equal vectors are
-one entry, and large lists are dealt in blocks, so no task depends on how vectors repeat.
+searches those lists whose distance is within a ratio of the nearest one's, up to a number
+that grows slower than the lists. The number of lists grows with the square root of the
+vectors. Equal vectors are one entry, and large lists are dealt in blocks, so no task depends
+on how vectors repeat.
 """
 
 from __future__ import annotations
@@ -21,17 +23,18 @@ from .blocks import group_starts, whole_groups
 from .store import materialize, partitions
 from .vectors import cosines, matrix, unit, usable
 
-#: Most distinct vectors that the centroids are fitted on: those with the smallest hash.
-SAMPLE = 20_000
-#: Vectors of the sample in each part; the number of lists follows, up to MAX_LISTS.
-PART = 64
-MAX_LISTS = 256
+#: Vectors of the sample in each list at least, and most lists; their product bounds the sample
+#: that the centroids are fitted on: the vectors with the smallest hash.
+PART, MAX_LISTS = 16, 16_384
+#: Lists for n vectors: LISTS times the square root of n.
+LISTS = 4
 #: A vector is replicated to at most REPLICAS lists, within BORDER of its nearest distance.
-REPLICAS, BORDER = 6, 1.12
-#: A query searches the lists within RATIO of its nearest centroid's distance.
-RATIO = 1.2
-#: Links of each centroid in the graph, and how many candidates a walk holds.
-DEGREE, BEAM = 24, 192
+REPLICAS, BORDER = 3, 1.2
+#: A query searches the nearest lists within RATIO of its nearest centroid's distance, at most EXTRA
+#: and TIMES the number of lists to the power PROBES.
+RATIO, EXTRA, TIMES, PROBES = 1.4, 12, 2.3, 0.6
+#: Links of each centroid in the graph.
+DEGREE = 24
 #: Entries of a list, and queries, that a task compares at once.
 BLOCK = 4096
 
@@ -82,7 +85,7 @@ class Lists:
     def homes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the nearest list, and further ones near a border unless an already
         chosen list's centroid is nearer to theirs than the vector is."""
-        ids, dist = self.walk(rows, min(BEAM, 4 * REPLICAS))
+        ids, dist = self.walk(rows, 6 * REPLICAS)
         take = np.zeros(ids.shape, bool)
         take[:, 0] = True
         for c in range(1, ids.shape[1]):
@@ -96,25 +99,35 @@ class Lists:
 
     def routes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs that a query searches."""
-        ids, dist = self.walk(rows, BEAM)
+        lists = len(self.centroids)
+        most = min(lists, EXTRA + int(np.ceil(TIMES * lists**PROBES)))
+        ids, dist = self.walk(rows, most + most // 4)
+        ids, dist = ids[:, :most], dist[:, :most]
         row, at = np.nonzero(np.isfinite(dist) & (dist <= RATIO * dist[:, :1] + 1e-12))
         return row, ids[row, at]
 
 
-def build_lists(sample: np.ndarray, seed: int = 5) -> Lists:
-    """Centroids of equal parts of the sample and their graph."""
+def n_lists(vectors: int) -> int:
+    """The power of two nearest to LISTS times the square root of ``vectors``, so that each list
+    has PART of them at least."""
+    most = max(1, min(MAX_LISTS, vectors // PART))
+    return min(1 << max(0, round(np.log2(max(1.0, LISTS * vectors**0.5)))), 1 << (most.bit_length() - 1))
+
+
+def build_lists(sample: np.ndarray, lists: int, seed: int = 5) -> Lists:
+    """Centroids of ``lists`` (a power of two) equal parts of the sample and their graph."""
     rng = np.random.default_rng(seed)
     rows = unit(sample)
-    depth = max(0, min(int(np.log2(MAX_LISTS)), int(np.log2(max(1, len(rows) / PART)))))
     parts = [np.arange(len(rows))]
-    for _ in range(depth):
+    while len(parts) < lists:
         parts = [half for part in parts for half in _halves(rows, part, rng)]
     means = np.stack([rows[p].mean(0) for p in parts])
     means[np.abs(means).max(1) < 1e-12] = rows[0]
     centroids = unit(means)
     k = len(centroids)
     degree = min(DEGREE, k)
-    near = np.argsort(-(centroids @ centroids.T), axis=1)[:, : max(1, degree - degree // 4)]
+    most = max(1, degree - degree // 4)
+    near = np.concatenate([np.argsort(-(centroids[s : s + 512] @ centroids.T), axis=1)[:, :most] for s in range(0, k, 512)])
     ring = (np.arange(k)[:, None] + np.array([1, *(k // d for d in range(2, degree // 4 + 1))])[None]) % k
     return Lists(centroids, np.concatenate([near, ring], 1))
 
@@ -150,28 +163,33 @@ def nearest(df: DataFrame, queries: F.Column, k: int = 5, key: str = "vec_id", v
     first = F.row_number().over(Window.partitionBy("h", "v").orderBy("k"))
     few = rows.withColumn("h", F.xxhash64("v")).withColumn("r", first).where(F.col("r") <= k + 1)
     entries = materialize(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("k")).alias("keys")).select("h", "v", "keys"), "vectors")
-    sample = entries.orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
+    many = n_lists(entries.count())
+    sample = entries.orderBy("h", "v").limit(PART * many).select("v").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = build_lists(matrix(sample.column("v")))
+    lists = build_lists(matrix(sample.column("v")), many)
     width = lists.centroids.shape[1]
 
-    def place(found: str, routed: bool):
+    def place(routed: bool):
+        """Adds ``lists``, those of each row."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     x = unit(matrix(part.column("v"), width)[:, :width])
                     row, home = (lists.routes if routed else lists.homes)(x)
-                    out = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *out.columns], ["list", *part.schema.names])
+                    ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(home, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "lists"])
 
         return run
 
-    postings = entries.select("v", "keys").mapInArrow(place("keys", False), f"list int, v {entries.schema['v'].dataType.simpleString()}, keys array<long>")
-    postings = materialize(postings, "postings")
-    asked = rows.where("q").select("v", "k").mapInArrow(place("k", True), f"list int, v {entries.schema['v'].dataType.simpleString()}, k long")
-    asked = materialize(asked, "routes")
+    vector_type = entries.schema["v"].dataType.simpleString()
+    postings = entries.select("v", "keys").mapInArrow(place(False), f"v {vector_type}, keys array<long>, lists array<int>")
+    postings = materialize(postings, "postings").select("v", "keys", F.explode("lists").alias("list"))
+    asked = rows.where("q").select("v", "k").mapInArrow(place(True), f"v {vector_type}, k long, lists array<int>")
+    asked = materialize(asked, "routes").select("v", "k", F.explode("lists").alias("list"))
 
     def blocks(kind: DataFrame, name: str) -> DataFrame:
         return kind.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -196,15 +214,19 @@ def nearest(df: DataFrame, queries: F.Column, k: int = 5, key: str = "vec_id", v
                 asks, has = np.flatnonzero(is_query[a:b]) + a, np.flatnonzero(~is_query[a:b]) + a
                 if not len(asks) or not len(has):
                     continue
-                s = u[asks] @ u[has].T
-                top = min(len(has), 3 * k + 1)
-                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                exact = cosines(np.repeat(x[asks], top, 0), x[has[best.ravel()]]).reshape(-1, top)
-                for r, q in enumerate(asks):
-                    got = sorted((-exact[r, c], kk) for c in range(top) for kk in keys[has[best[r, c]]] if kk != ids[q])[:k]
-                    out_q.extend([ids[q]] * len(got))
-                    out_k.extend(kk for _, kk in got)
-                    out_s.extend(-ss for ss, _ in got)
+                for at in range(0, len(asks), 256):
+                    some = asks[at : at + 256]
+                    s = u[some] @ u[has].T
+                    # entries within rounding of the k-th best are all scored, whatever their number; one may be the query's own
+                    least = np.partition(s, len(has) - 1 - k, axis=1)[:, len(has) - 1 - k] if len(has) > k + 1 else np.full(len(some), -2.0)
+                    r, c = np.nonzero(s >= least[:, None] - 1e-9)
+                    exact = -cosines(x[some[r]], x[has[c]])
+                    ends = np.searchsorted(r, np.arange(len(some) + 1))
+                    for i, q in enumerate(some):
+                        got = sorted((exact[e], kk) for e in range(ends[i], ends[i + 1]) for kk in keys[has[c[e]]] if kk != ids[q])[:k]
+                        out_q.extend([ids[q]] * len(got))
+                        out_k.extend(kk for _, kk in got)
+                        out_s.extend(-ss for ss, _ in got)
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_k, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
