@@ -6,6 +6,36 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of text, and rows, that a worker holds as Python objects at once; one longer text is held
+#: by itself.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that are bounded by the bytes of their text column and by their rows."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(before, before[at] + SLICE_BYTES, side="right")) - 1
+        end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of ``df`` that clash with none of its own."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least_rows: int = 20_000) -> Iterator[pa.Table]:

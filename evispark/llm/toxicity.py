@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-cased words. Words are hashed into slots; the slots whose
-presence depends most on the label (chi-square over the sample) become features. The score is
-the logistic of w0 + sum w_i + sum over pairs of <v_i, v_j>: the factors give a pair such as an
-insult and a group mention a weight of its own, which additive weights cannot.
+A text is the set of its lower-cased words. Words are hashed into slots. Features are the slots
+whose presence depends most on the label (chi-square over the sample), and those of frequent
+words that tell something only together: pairs whose odds ratio with the label differs between
+texts with and without the other word. The score is the logistic of w0 + sum w_i + sum over
+pairs of <v_i, v_j>: the factors give a pair such as an insult and a group mention a weight of
+its own, which additive weights cannot.
 """
 
 from __future__ import annotations
@@ -18,16 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import slices
 from .memory import claim
+from .store import materialize
 
-#: Most labelled rows that a model is fitted on: those with the smallest hash of their id.
-SAMPLE_ROWS = 20_000
+#: Most labelled rows that a model is fitted on, and most distinct terms of all of them (four bytes
+#: each on the driver): those with the smallest hash of their id.
+SAMPLE_ROWS, SAMPLE_TERMS = 20_000, 8_000_000
 SLOT_BITS = 22
 MAX_FEATURES = 16_384
 LEAST_CHI2 = 15.0
 LEAST_DOCS = 3
+#: Most frequent words that are tested in pairs, and the least deviate of a pair's interaction.
+PAIR_WORDS, LEAST_Z = 1024, 5.0
 FACTORS = 8
-EPOCHS = 12
+EPOCHS, LEAST_STEPS = 12, 600
 MEMO_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,7 +71,7 @@ class FactorizationMachine:
 
 def select_features(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Slots in at least LEAST_DOCS rows whose chi-square with the label is LEAST_CHI2 or more,
-    the MAX_FEATURES largest."""
+    the MAX_FEATURES largest, and those of pairs that interact."""
     if not rows or labels.all() or not labels.any():
         return np.zeros(0, np.int32)
     flat = np.concatenate(rows)
@@ -77,7 +84,45 @@ def select_features(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
     chi2[a + b < LEAST_DOCS] = 0
     best = np.argsort(-chi2, kind="stable")[:MAX_FEATURES]
-    return np.sort(known[best[chi2[best] >= LEAST_CHI2]])
+    often = np.argsort(-(a + b), kind="stable")[:PAIR_WORDS]
+    often = np.sort(known[often[(a + b)[often] >= LEAST_DOCS]])
+    return np.union1d(known[best[chi2[best] >= LEAST_CHI2]], often[interacting(rows, labels, often)]).astype(np.int32)
+
+
+def interacting(rows: list[np.ndarray], labels: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of the sorted slots ``words`` are in a pair whose log odds ratio with the label differs
+    by LEAST_Z standard deviations between texts with and without the partner."""
+    m = len(words)
+    if not m:
+        return np.zeros(0, bool)
+    alone, joint = np.zeros((2, m)), np.zeros((2, m, m), np.float32)
+    for y in (0, 1):
+        mine = np.flatnonzero(labels == y)
+        for s in range(0, len(mine), 1024):
+            x = np.zeros((min(1024, len(mine) - s), m), np.float32)
+            for i, r in enumerate(mine[s : s + 1024]):
+                at = np.searchsorted(words, rows[r])
+                at[at == m] = 0
+                x[i, at[words[at] == rows[r]]] = 1
+            alone[y] += x.sum(0)
+            joint[y] += x.T @ x
+    n = [float((labels == 0).sum()), float((labels == 1).sum())]
+    found = np.zeros(m, bool)
+    for s in range(0, m, 128):  # rows of the pair table at once
+        part, ratios, spread = slice(s, s + 128), [], 0.0
+        for partner in (1, 0):
+            cells = []
+            for y in (1, 0):
+                both = joint[y][part].astype(float)
+                with_a = both if partner else alone[y][part, None] - both
+                without = (alone[y][None] if partner else n[y] - alone[y][None]) - with_a
+                cells += [with_a + 0.5, without + 0.5]
+            ratios.append(np.log(cells[0]) - np.log(cells[1]) - np.log(cells[2]) + np.log(cells[3]))
+            spread = spread + sum(1 / c for c in cells)
+        z = np.abs(ratios[0] - ratios[1]) / np.sqrt(spread)
+        z[np.arange(len(z)), np.arange(s, s + len(z))] = 0
+        found[part] = (z >= LEAST_Z).any(1)
+    return found
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> FactorizationMachine:
@@ -89,7 +134,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
     rng = np.random.default_rng(seed)
     m = len(chosen)
     bias = float(np.log(rate / (1 - rate)))
-    w, v = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))
+    w, v = np.zeros(m), rng.normal(0, 0.05, (m, FACTORS))
     if not m:
         return FactorizationMachine(chosen, bias, w, v)
     kept = []
@@ -99,10 +144,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
         kept.append(at[chosen[at] == r])
     theta = [np.array([bias]), w, v]
     moments = [(np.zeros_like(t), np.zeros_like(t)) for t in theta]
-    step = 0
-    for epoch in range(EPOCHS):
+    step, n_batches = 0, max(1, len(rows) // 128)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // n_batches))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        for batch in np.array_split(order, max(1, len(rows) // 128)):
+        for batch in np.array_split(order, n_batches):
             step += 1
             sizes = np.array([len(kept[i]) for i in batch])
             ids = np.concatenate([kept[i] for i in batch]).astype(np.int64)
@@ -117,7 +163,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
             gv = np.zeros((m, FACTORS))
             np.add.at(gv, ids, err[owner][:, None] * (sums[owner] - vi))
             gv += 1e-4 * theta[2]
-            rate_now = 0.03 * (1 - epoch / EPOCHS)
+            rate_now = 0.03 * (1 - epoch / epochs)
             for t, g, (m1, m2) in zip(theta, (np.array([err.sum()]), gw, gv), moments):
                 m1 += 0.1 * (g - m1)
                 m2 += 0.001 * (g * g - m2)
@@ -131,10 +177,12 @@ def held_out(key) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> FactorizationMachine:
-    """Fit on at most SAMPLE_ROWS labelled rows of the training part.
+    """Fit on at most SAMPLE_ROWS labelled rows of the training part with at most SAMPLE_TERMS
+    terms in all, which bounds what reaches the driver.
 
     Rows with a null key or label are not learned from; a key with both labels counts as
-    toxic. The bound holds too where keys repeat in ``docs``.
+    toxic; rows that repeat key and text count once. The bounds hold too where keys repeat in
+    ``docs``.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
@@ -144,14 +192,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .limit(SAMPLE_ROWS)
     )
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), F.col("_id") == F.col("_k"))
+    order = ["h", "id", "th"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [term_slots(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2)], ["id", "terms", "y"])
-
-    found = rows.select("_id", "_t", "_y").mapInArrow(run, "id long, terms binary, y int").orderBy(F.xxhash64("id"), "id", "terms").limit(SAMPLE_ROWS).collect()
-    return fit([np.frombuffer(bytes(r.terms), np.int32) for r in found], np.array([r.y for r in found]))
+            for part in slices(batch, 3):
+                terms = [term_slots(t.as_py()) for t in part.column(3)]
+                columns = [*part.columns[:3], pa.array([t.tobytes() for t in terms], pa.binary()), pa.array([len(t) for t in terms], pa.int64()), part.column(4)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "id", "th", "terms", "n", "y"])
+
+    found = rows.select(F.xxhash64("_id").alias("h"), "_id", F.xxhash64("_t").alias("th"), "_t", "_y").mapInArrow(run, "h long, id long, th long, terms binary, n long, y int")
+    found = materialize(found.dropDuplicates(order), "toxicity-sample")
+    sizes = found.select(*order, "n").orderBy(*order).limit(SAMPLE_ROWS).collect()
+    taken = int(np.searchsorted(np.cumsum([r.n for r in sizes]), SAMPLE_TERMS, side="right")) if sizes else 0
+    if not taken:
+        return fit([], np.zeros(0, int))
+    last = F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(order, sizes[taken - 1])])
+    got = found.where(F.struct(*order) <= last).select(*order, "terms", "y").orderBy(*order).collect()
+    return fit([np.frombuffer(bytes(r.terms), np.int32) for r in got], np.array([r.y for r in got]))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -159,10 +217,11 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
     scores the model's bias. With ``keep``, the columns of ``docs`` of the rows that are not
     toxic instead (the model decides from the text alone)."""
     columns = docs.columns
+    name = xxhash.xxh64_hexdigest(model.slots.tobytes())
     at = {int(s): i for i, s in enumerate(model.slots)}
 
     def scores(texts) -> list[float]:
-        memo, out = _memo(at), []
+        memo, out = _memo(name), []
         for t in texts:
             features: set[int] = set()
             for chunk in set((t.as_py() or "").lower().split()):
@@ -193,16 +252,16 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string"), held_out(F.col(key))).mapInArrow(run, f"`{key}` long, held_out boolean, score double, predicted int")
 
 
-_MEMOS: dict[int, dict] = {}
+_MEMOS: dict[str, dict] = {}
 
 
-def _memo(at: dict) -> dict:
-    """Words seen by this worker under this model."""
+def _memo(name: str) -> dict:
+    """Features of the words seen by this worker under the model whose features have this hash."""
     claim("toxicity", _MEMOS.clear)
-    if id(at) not in _MEMOS:
+    if name not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[id(at)] = {"": ()}
-    return _MEMOS[id(at)]
+        _MEMOS[name] = {"": ()}
+    return _MEMOS[name]
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

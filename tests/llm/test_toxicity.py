@@ -79,3 +79,34 @@ def test_given_held_out_accuracy(spark):
     print("auc", auc, "recall", hit / n1, "precision", hit / max(1, (scores >= 0.5).sum()), "n", len(got))
     assert auc > 0.9
     assert hit / n1 > 0.7 and hit / (scores >= 0.5).sum() > 0.9
+
+
+def test_two_models_in_one_session(spark):
+    """Workers keep words by model: a second model of the same session must not read the first's."""
+    docs = spark.createDataFrame([(i, ("red" if i % 2 else "blue") + " word") for i in range(400)], "doc_id long, text string").coalesce(1)
+    truth = [spark.createDataFrame([(i, int(i % 2 == side)) for i in range(400)], "doc_id long, toxic int") for side in (0, 1)]
+    other = spark.createDataFrame([(i, f"{'red' if i % 4 < 2 else 'blue'} {'up' if i % 2 else 'down'}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    third = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    for side in (0, 1):
+        assert all(r.predicted == int(r.doc_id % 2 == side) for r in score(docs, train(docs, truth[side])).collect())
+        assert all(r.predicted == r.doc_id % 2 for r in score(other, train(other, third)).collect())
+
+
+def test_words_that_tell_only_together(spark):
+    """Toxic where insult and group are both there or both absent: additive weights alone fail."""
+    rows, unseen = pair_corpus(1500, 1), pair_corpus(400, 2)
+    model = fit([term_slots(t) for _, t, _ in rows], np.array([y for *_, y in rows]))
+    additive = toxicity.FactorizationMachine(model.slots, model.bias, model.weights, 0 * model.factors)
+    truth = {i: y for i, _, y in unseen}
+    df = spark.createDataFrame(unseen, "doc_id long, text string, y int")
+    right = [np.mean([r.predicted == truth[r.doc_id] for r in score(df, m).collect()]) for m in (model, additive)]
+    assert right[0] > 0.98 and right[1] < 0.7, right
+
+
+def test_terms_bound_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 25)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: seen.append(sum(map(len, rows))))
+    docs = spark.createDataFrame([(i, f"a b c d e{chr(97 + i % 26)}") for i in range(60)], "doc_id long, text string")
+    train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert seen == [25]
