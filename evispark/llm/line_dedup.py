@@ -7,10 +7,13 @@ a parity bitmap of the sets refuse most other pairs, and the rest are verified o
 themselves. A line goes if any earlier line matches it.
 
 The corpus is scanned three times instead of being shuffled: for line classes and word counts,
-for prefixes, and for the word sets of the few lines that are verified. Equal lines are one
-class, so copies are never compared with each other; lines of up to three words match nothing
-but copies. A line is verified against its nearest
-earlier candidate; only where that fails and there were more, against all.
+for prefixes, and for the word sets of the few lines that are verified. Words are hashed as
+arrays over the bytes of many texts (words.py), and prefix entries travel as packed blocks, so
+neither costs an object per word. Equal lines are one class (equal in the 64-bit hash of the
+set and in 64 parity bits; two of n classes are confused with probability under n^2 / 2^100),
+so copies are never compared with each other; lines of up to three words match nothing but
+copies. A line is verified against its nearest earlier candidate; only where that fails and
+there were more, against all.
 """
 
 from __future__ import annotations
@@ -20,248 +23,270 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import group_starts, whole_groups
+from .blocks import fresh, group_starts, slices, whole_groups
 from .memory import claim
 from .store import materialize, partitions, release
+from .words import Lines, counter, mix
 
 #: Lines with fewer distinct words, which is those without any, are left alone.
 MIN_WORDS = 1
 #: Sets of fewer words match equal sets only: they are in classes, but not in the join.
 JOIN_WORDS = 4
-#: Counters that the broadcast word counts are hashed into. Words that share one share a rarity:
-#: the order stays total, so the join stays exact.
-COUNTERS = 1 << 16
-SLICE = 1 << 10
+#: Counters of words for each document; their number is a power of two within these bounds, and a
+#: byte of each is broadcast. Words that share one share a rarity: the order stays total, so the
+#: join stays exact.
+COUNTERS, LEAST_COUNTERS, MOST_COUNTERS = 16, 1 << 16, 1 << 24
+SLICE = 1 << 16
 #: Lines of one prefix word that a task compares at once; more are dealt in pairs of blocks. A word
 #: whose counter shows up to CALM lines has no more entries than that and is not counted again.
 BLOCK, CALM = 4096, 16_384
 #: Places that the entries of a busier word are spread over until they are counted.
 SPREAD = 1024
-#: Bits of the broadcast filter of lines to verify. It may only let more lines pass.
-FILTER_BITS = 1 << 24
-MEMO_WORDS = 300_000
-#: Hashes of words, and of lines already seen in a task, by Python worker.
-_WORDS: dict[str, bytes] = {}
-
-
-def _hash(word: str) -> bytes:
-    found = xxhash.xxh64_digest(word.encode("utf-8", "surrogatepass"), 3)
-    if len(_WORDS) < MEMO_WORDS:
-        _WORDS[word] = found
-    return found
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        z = (z ^ (z >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return z ^ (z >> np.uint64(33))
-
-
-class Lines:
-    """Word sets of all lines of some texts that have MIN_WORDS words, as flat arrays:
-    ``row`` and ``line`` of each line, its ``size`` and ``start`` in ``words``, and its class
-    (``cls``, an order-free hash, and ``bitmap``, the parity of its words' last six bits)."""
-
-    def __init__(self, texts: list[str | None], keep_sets: bool = False):
-        rows, numbers, sizes, flat = [], [], [], []
-        self.sets: list[set[str]] = []
-        get = _WORDS.get
-        for r, text in enumerate(texts):
-            if not text:
-                continue
-            for i, line in enumerate(text.lower().split("\n")):
-                words = set(line.split())
-                if len(words) >= MIN_WORDS:
-                    rows.append(r)
-                    numbers.append(i)
-                    sizes.append(len(words))
-                    got = list(map(get, words))
-                    if None in got:
-                        got = [g or _hash(w) for g, w in zip(got, words)]
-                    flat.append(b"".join(got))
-                    if keep_sets:
-                        self.sets.append(words)
-        self.row, self.line = np.array(rows, np.int64), np.array(numbers, np.int32)
-        self.size = np.array(sizes, np.int64)
-        self.words = np.frombuffer(b"".join(flat), np.uint64)
-        self.start = np.cumsum(self.size) - self.size
-        if len(sizes):
-            self.cls = np.add.reduceat(_mix(self.words), self.start).view(np.int64)
-            self.bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (self.words & np.uint64(63)), self.start).view(np.int64)
-        else:
-            self.cls = self.bitmap = np.zeros(0, np.int64)
-
-    def wide(self) -> np.ndarray:
-        """256 parity bits of each line's words, as four integers."""
-        place = (self.words >> np.uint64(6)) & np.uint64(255)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        zero = np.uint64(0)
-        if not len(self.size):
-            return np.zeros((0, 4), np.uint64)
-        return np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == np.uint64(w), bit, zero), self.start) for w in range(4)], 1)
-
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.size)), self.size)
-
-    def new(self, seen: set[int]) -> np.ndarray:
-        """Which lines' classes are not in ``seen``, to which they are added."""
-        out = np.zeros(len(self.size), bool)
-        for i, c in enumerate(self.cls.tolist()):
-            if c not in seen:
-                out[i] = True
-                if len(seen) < 500_000:
-                    seen.add(c)
-        return out
-
-    def prefixes(self, counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, word, place) of the prefix words of the chosen lines, rarest first."""
-        owner = self.owner()
-        pick = chosen[owner]
-        owner, words = owner[pick], self.words[pick]
-        order = np.lexsort((words, owner << 40 | np.minimum(counts[counter(words)], 2**40 - 1)))
-        owner, words = owner[order], words[order]
-        size = self.size[owner]
-        first = np.zeros(len(self.size), np.int64)
-        first[chosen] = np.cumsum(self.size[chosen]) - self.size[chosen]
-        place = np.arange(len(owner)) - first[owner]
-        inside = place < size - (4 * size + 4) // 5 + 1
-        return owner[inside], words[inside], place[inside]
-
-
-def counter(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(48)).astype(np.int64)
-
-
-def _counter_rows(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    for s in range(0, COUNTERS, SLICE):
-        part = total[s : s + SLICE]
-        if part.any():
-            yield s // SLICE, part.astype("<i8").tobytes()
-
-
-def _sum_counters(parts: DataFrame) -> np.ndarray:
-    """Sum of slices ``s``, ``counts``: one row per slice reaches the driver."""
+#: Prefix entries in a bucket, about, and in the blocks that a task holds before it sends them.
+BUCKET, HELD = 1_000_000, 1_000_000
+#: Bits of the broadcast filter of lines to verify for each, within bounds. It may only let more pass.
+FILTER_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 17, 1 << 28
+#: Line classes that a task remembers in order to send each once; others are sent again.
+SEEN = 300_000
+ENTRY = "word int, cell long, shape long, cls long, bitmap long"
+PACKED = np.dtype([("word", "<u4"), ("cell", "<i4"), ("size", "<u4"), ("place", "<u4"), ("cls", "<i8"), ("bitmap", "<u8")])
+
+
+def _power(n: float, least: int, most: int) -> int:
+    """The power of two at or over ``n``, within bounds that are powers of two."""
+    return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eight steps to a doubling, one byte each."""
+    return np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)
+
+
+def _sum_counters(parts: DataFrame, counters: int) -> tuple[np.ndarray, int]:
+    """Levels of the sums of slices ``s``, ``counts`` and the sum of all: a row per slice of SLICE
+    counters reaches the driver, a byte each."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[s] = held.get(s, 0) + np.frombuffer(raw, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["s", "counts"])
+                pairs = np.frombuffer(raw, "<u4").reshape(2, -1)
+                held.setdefault(s, np.zeros(SLICE, np.int64))[pairs[0]] += pairs[1]
+        rows = [pa.array(list(held), pa.int32()), pa.array([levels(v).tobytes() for v in held.values()], pa.binary()), pa.array([int(v.sum()) for v in held.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(rows, ["s", "levels", "total"])
 
-    total = np.zeros(COUNTERS, np.int64)
-    dealt = parts.repartition(min(COUNTERS // SLICE, 4 * partitions(parts.sparkSession)), "s")
-    for r in dealt.mapInArrow(add, "s int, counts binary").collect():
-        total[r.s * SLICE : (r.s + 1) * SLICE] += np.frombuffer(bytes(r.counts), "<i8")
-    return total
+    out, total = np.zeros(counters, np.uint8), 0
+    dealt = parts.repartition(min(counters // SLICE, 4 * partitions(parts.sparkSession)), "s")
+    for r in dealt.mapInArrow(add, "s int, levels binary, total long").toLocalIterator():
+        out[r.s * SLICE : (r.s + 1) * SLICE] = np.frombuffer(bytes(r.levels), np.uint8)
+        total += r.total
+    return out, total
 
 
-def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterator[list]], schema: pa.Schema, sql: str, end: Callable[[dict], list] | None = None, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
-    """Run ``make`` over the lines of batches of ``docs`` (columns k, th, t), with a dict that
+def _scan(docs: DataFrame, make: Callable[[pa.RecordBatch, Lines, dict], Iterator[list]], schema: pa.Schema, sql: str, end: Callable[[dict], Iterator[list]] | None = None, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """Run ``make`` over the lines of slices of ``docs`` (columns k, th, t), with a dict that
     lives as long as the task, and ``end`` after the last; only over rows that ``keep`` keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("lines", _WORDS.clear)
+        claim("lines", lambda: None)
         held: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 2):
                 if keep is not None:
                     part = part.filter(pa.array(keep(part)))
-                for arrays in make(part, Lines(part.column(2).to_pylist(), keep is not None), held):
+                for arrays in make(part, Lines(part.column(2).to_pylist()), held):
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-        if end is not None and held:
-            yield pa.RecordBatch.from_arrays(end(held), schema=schema)
+        if end is not None:
+            for arrays in end(held):
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.mapInArrow(run, sql)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, counters: int) -> DataFrame:
     """A row per line, and in rows with ``counts`` the number of lines of each counter's words
     (equal lines of a task count once, and those that the join leaves out do not)."""
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("bitmap", pa.int64()), ("wide", pa.binary()), ("counts", pa.binary())])
+    least, seen = JOIN_WORDS, SEEN
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        total = held.setdefault("total", np.zeros(COUNTERS, np.int64))
-        new = lines.new(held.setdefault("seen", set())) & (lines.size >= JOIN_WORDS)
-        total += np.bincount(counter(lines.words[new[lines.owner()]]), minlength=COUNTERS)
-        n = len(lines.size)
+        new = lines.new(held.setdefault("seen", set()), seen) & (lines.size >= least)
+        total = held.setdefault("total", np.zeros(counters, np.uint32))
+        at, n = np.unique(counter(lines.words[new[lines.owner]], counters), return_counts=True)
+        total[at] += n.astype(np.uint32)
         k, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.row] for i in (0, 1))
         wide = [w.tobytes() if f else None for w, f in zip(lines.wide(), new)]  # one task of several is enough
-        yield [pa.array(k, pa.int64()), pa.array(th, pa.int64()), pa.array(lines.line), pa.array(lines.cls), pa.array(lines.bitmap), pa.array(wide, pa.binary()), pa.nulls(n, pa.binary())]
-
-    def end(held: dict) -> list:
-        rows = list(_counter_rows(held["total"]))
+        yield [pa.array(k, pa.int64()), pa.array(th, pa.int64()), pa.array(lines.line), pa.array(lines.cls), pa.array(lines.bitmap), pa.array(wide, pa.binary()), pa.nulls(len(wide), pa.binary())]
+
+    def end(held: dict) -> Iterator[list]:
+        rows = []
+        for s in range(0, counters if held else 0, SLICE):
+            part = held["total"][s : s + SLICE]
+            at = np.flatnonzero(part)
+            if len(at):
+                rows.append((s // SLICE, np.stack([at.astype("<u4"), part[at]]).tobytes()))
         none = pa.nulls(len(rows), pa.int64())
-        return [none, none, pa.array([s for s, _ in rows], pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array([c for _, c in rows], pa.binary())]
+        yield [none, none, pa.array([s for s, _ in rows], pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array([c for _, c in rows], pa.binary())]
 
     return _scan(docs, make, schema, "k long, th long, line int, cls long, bitmap long, wide binary, counts binary", end)
 
 
-def _entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Prefix entries: ``word`` (32 bits of its hash), ``cell``, ``shape`` (size and place), ``cls``,
-    ``bitmap``. Entries of a busy word have negative cells and are not compared yet."""
-    schema = pa.schema([("word", pa.int32()), ("cell", pa.int64()), ("shape", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.int64())])
+def _firsts(lines: DataFrame) -> DataFrame:
+    """Each class (``cls``, ``bitmap``) once: its first line (``fk``, ``fl``, ``fh``), the number ``n``
+    of its lines and ``wide``. Nearly all classes have one line, so lines are sorted once after
+    the shuffle; a class is counted as it streams by, whatever its size."""
+    schema = pa.schema([("cls", pa.int64()), ("bitmap", pa.int64()), ("fk", pa.int64()), ("fl", pa.int32()), ("fh", pa.int64()), ("n", pa.int64()), ("wide", pa.binary())])
 
-    def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        owner, words, place = lines.prefixes(counts, lines.new(held.setdefault("seen", set())) & (lines.size >= JOIN_WORDS))
-        cls = lines.cls[owner]
-        cell = np.where(counts[counter(words)] > CALM, -1 - (_mix(cls.view(np.uint64)) % np.uint64(SPREAD)).astype(np.int64), 0)
-        yield [pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cell), pa.array(lines.size[owner] << 32 | place), pa.array(cls), pa.array(lines.bitmap[owner])]
+    def groups(batch: pa.RecordBatch) -> pa.RecordBatch:
+        starts = group_starts(pa.Table.from_batches([batch]), ["cls", "bitmap"])
+        n = np.diff(np.append(starts, batch.num_rows))
+        wide = batch.column(batch.schema.get_field_index("wide"))
+        some = np.append(np.flatnonzero(wide.is_valid().to_numpy(zero_copy_only=False)), batch.num_rows)
+        at = some[np.searchsorted(some, starts)]
+        first = batch.select(["cls", "bitmap", "k", "line", "th"]).take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([*first.columns, pa.array(n), wide.take(pa.array(at, mask=at >= starts + n))], schema=schema)
 
-    return _scan(docs, make, schema, ENTRY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = groups(batch)
+            head = found.slice(0, 1).to_pylist()[0]
+            if last is not None and (last["cls"], last["bitmap"]) == (head["cls"], head["bitmap"]):
+                head = last | {"n": last["n"] + head["n"], "wide": last["wide"] or head["wide"]}
+            elif last is not None:
+                yield pa.RecordBatch.from_pylist([last], schema=schema)
+            if found.num_rows == 1:
+                last = head
+                continue
+            yield pa.RecordBatch.from_pylist([head], schema=schema)
+            yield found.slice(1, found.num_rows - 2)
+            last = found.slice(found.num_rows - 1).to_pylist()[0]
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([last], schema=schema)
 
+    dealt = lines.repartition(partitions(lines.sparkSession), "cls", "bitmap").sortWithinPartitions("cls", "bitmap", "k", "line", "th")
+    return dealt.mapInArrow(run, "cls long, bitmap long, fk long, fl int, fh long, n long, wide binary")
 
-ENTRY = "word int, cell long, shape long, cls long, bitmap long"
 
+def _entries(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
+    """Prefix entries as packed blocks: ``bucket`` and ``data``, rows of PACKED. Entries of a busy
+    word have negative cells, which spread them, and are not compared yet."""
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+    calm, least, seen, spread, most = levels(np.array([CALM]))[0], JOIN_WORDS, SEEN, SPREAD, HELD
 
-def _compare(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a group that pass the size, place and bitmap filters, step by step."""
-    keys = ["word", "cell"]
-    starts = group_starts(table, keys)
-    n = table.num_rows
-    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    shape, cls, bitmap, cell = (table.column(c).to_numpy() for c in ("shape", "cls", "bitmap", "cell"))
-    size, place = shape >> 32, shape & 0xFFFFFFFF
-    rows, step = np.flatnonzero(cell >= 0), 1
+    def send(held: dict) -> Iterator[list]:
+        if not held.get("n"):
+            return
+        rows = np.concatenate(held.pop("rows"))
+        held["n"] = 0
+        bucket = (mix(rows["word"].astype(np.uint64) << np.uint64(32) | rows["cell"].astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        yield [pa.array(names), pa.array([x.tobytes() for x in np.split(rows[order], starts[1:])], pa.binary())]
+
+    def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
+        owner, words, place = lines.prefixes(level, lines.new(held.setdefault("seen", set()), seen) & (lines.size >= least))
+        rows = np.empty(len(owner), PACKED)
+        cls = lines.cls[owner]
+        busy = level[counter(words, len(level))] > calm
+        rows["word"], rows["size"], rows["place"], rows["cls"], rows["bitmap"] = words & np.uint64(0xFFFFFFFF), lines.size[owner], place, cls, lines.bitmap[owner].view(np.uint64)
+        rows["cell"] = np.where(busy, -1 - (mix(cls.view(np.uint64)) % np.uint64(spread)).astype(np.int64), 0)
+        held.setdefault("rows", []).append(rows)
+        held["n"] = held.get("n", 0) + len(rows)
+        if held["n"] >= most:
+            yield from send(held)
+
+    return _scan(docs, make, schema, "bucket int, data binary", send)
+
+
+def _compare(group: np.ndarray, size: np.ndarray, place: np.ndarray, cls: np.ndarray, bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that pass the size, place and bitmap filters, step by step. Rows are
+    sorted by group (numbers from 0) and size, so those that a row's size allows follow it."""
+    key = group.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
+    ends = np.searchsorted(key, group.astype(np.uint64) << np.uint64(32) | np.minimum(size * 5 // 4, 2**32 - 1).astype(np.uint64), side="right")
+    left = 9 * (size - place)
+    rows, step = np.flatnonzero(left >= 8 * size), 1
     while True:
         rows = rows[rows + step < ends[rows]]
         if not len(rows):
             return
         other = rows + step
-        need = (4 * (size[rows] + size[other]) + 8) // 9
-        ok = np.minimum(size[rows] - place[rows], size[other] - place[other]) >= need
-        a, b, need = rows[ok], other[ok], need[ok]
-        ok = np.bitwise_count(bitmap[a].view(np.uint64) ^ bitmap[b].view(np.uint64)) <= size[a] + size[b] - 2 * need
+        total = size[rows] + size[other]
+        ok = np.minimum(left[rows], left[other]) >= 4 * total
+        a, b = rows[ok], other[ok]
+        total = total[ok]
+        ok = np.bitwise_count(bitmap[a] ^ bitmap[b]) <= total - 2 * ((4 * total + 8) // 9)
         ok &= (cls[a] != cls[b]) | (bitmap[a] != bitmap[b])
         yield a[ok], b[ok]
         step += 1
 
 
+def _compare_packed(rows: np.ndarray) -> np.ndarray:
+    """The rows that pass the filters with another class of their word."""
+    order = np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rows["size"])
+    rows = rows[order]
+    word = rows["word"]
+    group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    hit = np.zeros(len(rows), bool)
+    for a, b in _compare(group, rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["cls"], rows["bitmap"]):
+        hit[a] = hit[b] = True
+    return rows[hit]
+
+
 def _candidates(entries: DataFrame) -> DataFrame:
     """Entries that pass the filters with another class of their word, and the busy ones."""
-    keys = ["word", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
-            hit = table.column("cell").to_numpy() < 0
-            for a, b in _compare(table):
+        for table in whole_groups(batches, ["bucket"], 1):
+            starts = [*group_starts(table, ["bucket"]).tolist(), table.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                rows = np.concatenate([np.frombuffer(x.as_buffer(), PACKED) for x in table.column("data").slice(a, b - a)])
+                busy = rows["cell"] < 0
+                for out in (rows[busy], _compare_packed(rows[~busy])):
+                    shape = out["size"].astype(np.int64) << 32 | out["place"]
+                    columns = [out["word"].view(np.int32) if len(out) else np.zeros(0, np.int32), out["cell"].astype(np.int64), shape, out["cls"], out["bitmap"].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["word", "cell", "shape", "cls", "bitmap"])
+
+    dealt = entries.repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, ENTRY)
+
+
+def _compare_table(table: pa.Table) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A table of whole groups of word and cell, sorted by group and size, and its pairs."""
+    starts = group_starts(table, ["word", "cell"])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+    shape = table.column("shape").to_numpy()
+    order = np.lexsort((shape >> 32, group))
+    table, shape = table.take(pa.array(order)), shape[order]
+    return table, _compare(group, shape >> 32, shape & 0xFFFFFFFF, table.column("cls").to_numpy(), table.column("bitmap").to_numpy().view(np.uint64))
+
+
+def _busy_candidates(busy: DataFrame) -> DataFrame:
+    """As ``_candidates``, of entries dealt to cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["word", "cell"]):
+            table, pairs = _compare_table(table)
+            hit = np.zeros(table.num_rows, bool)
+            for a, b in pairs:
                 hit[a] = hit[b] = True
             yield from table.filter(pa.array(hit)).to_batches()
 
-    dealt = entries.repartition(partitions(entries.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = busy.repartition(partitions(busy.sparkSession), "word", "cell").sortWithinPartitions("word", "cell")
     return dealt.mapInArrow(run, ENTRY)
 
 
 def _deal_busy(busy: DataFrame) -> DataFrame:
     """Busy entries with their words counted: an entry of a word with more than BLOCK entries goes
-    to every pair of blocks that holds its own."""
-    busy = busy.dropDuplicates(["word", "cls", "bitmap"])
+    to every pair of blocks that holds its own. Of a class that several tasks sent, the earliest
+    place of a word counts."""
+    busy = busy.groupBy("word", "cls", "bitmap").agg(F.min("shape").alias("shape"))
+    busy = materialize(busy, "busy-entries")
     counts = materialize(busy.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("m")).where("m > 1"), "busy-words")
     own = F.pmod(F.xxhash64("cls", "bitmap"), F.col("blocks"))
     rows = busy.join(counts, "word").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -278,13 +303,14 @@ def _nearest(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             n = table.num_rows
+            table, pairs = _compare_table(table)
             order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
             rank = np.empty(n, np.int64)
             rank[order] = np.arange(n)
             wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(n, 4)
             size = table.column("shape").to_numpy() >> 32
             best, lead, count = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for a, b in _compare(table):
+            for a, b in pairs:
                 differ = np.bitwise_count(wide[a] ^ wide[b]).sum(1).astype(np.int64)
                 total = size[a] + size[b]
                 ok = differ <= total - 2 * ((4 * total + 8) // 9)
@@ -306,31 +332,33 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "cls long, bitmap long, cls_x long, bitmap_x long, apart double, more boolean")
 
 
-def _filter(values: DataFrame) -> np.ndarray:
-    """Bits of the hashes in the one column ``cls``, as a fixed table that is or-ed by slices."""
+def _filter(values: DataFrame, count: int) -> np.ndarray:
+    """Packed bits of the hashes in the one column ``cls``, FILTER_BITS for each of ``count``."""
+    bits = _power(FILTER_BITS * count, LEAST_FILTER, MOST_FILTER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits[_place_in_filter(batch.column(0).to_numpy())] = True
-        packed = np.packbits(bits).reshape(-1, 1 << 14)
-        rows = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([packed[r].tobytes() for r in rows], pa.binary())], ["s", "bits"])
-
-    out = np.zeros((FILTER_BITS // 8) >> 14 << 14, np.uint8).reshape(-1, 1 << 14)
-    n_slices = len(out)
-    dealt = values.distinct().withColumn("p", F.shiftrightunsigned("cls", 42).cast("int") % n_slices).repartition(min(n_slices, 4 * partitions(values.sparkSession)), "p").select("cls")
+            at = _place_in_filter(batch.column(0).to_numpy(), bits)
+            for s in np.unique(at >> 17).tolist():
+                found.setdefault(s, np.zeros(1 << 17, bool))[at[at >> 17 == s] & 0x1FFFF] = True
+        packed = [np.packbits(v).tobytes() for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], ["s", "bits"])
+
+    out = np.zeros((bits >> 17, 1 << 14), np.uint8)
+    slot = F.shiftright(F.pmod("cls", F.lit(bits)), 17)
+    dealt = values.distinct().withColumn("p", slot).repartition(min(len(out), 4 * partitions(values.sparkSession)), "p").select("cls")
     for r in dealt.mapInArrow(run, "s int, bits binary").toLocalIterator():
         out[r.s] |= np.frombuffer(bytes(r.bits), np.uint8)
     return out.ravel()
 
 
-def _place_in_filter(cls: np.ndarray) -> np.ndarray:
-    return (cls.view(np.uint64) >> np.uint64(40)).astype(np.int64)
+def _place_in_filter(cls: np.ndarray, bits: int) -> np.ndarray:
+    return cls & (bits - 1)
 
 
 def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _place_in_filter(hashes)
+    at = _place_in_filter(hashes, 8 * len(packed))
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -341,18 +369,13 @@ def _word_sets(docs: DataFrame, of_docs: np.ndarray, of_lines: np.ndarray) -> Da
     docs = docs.withColumn("kh", F.xxhash64("k"))
 
     def make(batch: pa.RecordBatch, lines: Lines, held: dict) -> Iterator[list]:
-        pick = _passes(of_lines, lines.cls)
-        bodies = [zlib.compress("\n".join(sorted(lines.sets[i])).encode("utf-8", "surrogatepass"), 1) for i in np.flatnonzero(pick)]
+        pick = np.flatnonzero(_passes(of_lines, lines.cls))
+        bodies = [zlib.compress("\n".join(lines.text_of(i)).encode("utf-8", "surrogatepass"), 1) for i in pick]
         yield [pa.array(lines.cls[pick]), pa.array(lines.bitmap[pick]), pa.array(bodies, pa.binary())]
 
     return _scan(docs, make, schema, "cls long, bitmap long, body binary", keep=lambda batch: _passes(of_docs, batch.column(3).to_numpy()))
 
 
-def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _place_in_filter(hashes)
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _words_of(body: bytes) -> set[str]:
     return set(zlib.decompress(body).decode("utf-8", "surrogatepass").split("\n"))
 
@@ -384,27 +407,24 @@ def _verify_led(rows: DataFrame) -> DataFrame:
 
 
 def _verify(rows: DataFrame) -> DataFrame:
-    """Classes (``cls``, ``bitmap``) of which a class with an earlier first line is a match."""
+    """Classes (``cls``, ``bitmap``) of which a class with an earlier first line is a match: the
+    pairs of each cell that pass the filters, until a match is found."""
     keys = ["word", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, 4096):
-            starts = [*group_starts(table, keys).tolist(), table.num_rows]
-            first = list(zip(*(table.column(c).to_pylist() for c in ("fk", "fl", "fh", "cls", "bitmap"))))
-            words = table.column("body").to_pylist()
-            out = []
-            for a, b in zip(starts, starts[1:]):
-                before: list[set] = []
-                last = None
-                for f, x in sorted(zip(first[a:b], words[a:b]), key=lambda r: r[0]):
-                    if f == last:  # the same class from another task
-                        continue
-                    last = f
-                    s = _words_of(x)
-                    if any(_similar(s, e) for e in reversed(before)):
-                        out.append(f[3:])
-                    before.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([m for _, m in out], pa.int64())], ["cls", "bitmap"])
+            table, pairs = _compare_table(table)
+            n = table.num_rows
+            order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            body, dead = table.column("body"), np.zeros(n, bool)
+            for a, b in pairs:
+                later, earlier = np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b)
+                for y, x in zip(later.tolist(), earlier.tolist()):
+                    if not dead[y]:
+                        dead[y] = _similar(_words_of(body[y].as_py()), _words_of(body[x].as_py()))
+            yield from table.select(["cls", "bitmap"]).filter(pa.array(dead)).to_batches()
 
     dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "cls long, bitmap long")
@@ -438,8 +458,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame
     """Word sets of the classes ``named``, each once."""
     same = ["cls", "bitmap"]
     named = materialize(named.distinct().join(classes, same).select(*same, "fk", "fl", "fh"), "lines-to-verify")
-    of_docs = _filter(named.select(F.xxhash64("fk").alias("cls")))
-    return _word_sets(docs, of_docs, _filter(named.select("cls"))).dropDuplicates(same)
+    n = named.count()
+    of_docs = _filter(named.select(F.xxhash64("fk").alias("cls")), n)
+    return _word_sets(docs, of_docs, _filter(named.select("cls"), n)).dropDuplicates(same)
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,16 +468,17 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     documents that lose lines."""
     spark = df.sparkSession
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
-    scanned = materialize(_classes(docs), "lines")
-    counts = _sum_counters(scanned.where("counts is not null").select(F.col("line").alias("s"), "counts"))
+    counters = _power(COUNTERS * df.count(), LEAST_COUNTERS, MOST_COUNTERS)
+    scanned = materialize(_classes(docs, counters), "lines")
+    level, total = _sum_counters(scanned.where("counts is not null").select(F.col("line").alias("s"), "counts"), counters)
     lines = scanned.where("counts is null").select("k", "th", "line", "cls", "bitmap")
     same = ["cls", "bitmap"]
-    classes = scanned.where("counts is null").groupBy(*same).agg(F.min(F.struct("k", "line", "th")).alias("f"), F.count("*").alias("n"), F.max("wide").alias("wide"))
-    classes = materialize(classes.select(*same, F.col("f.k").alias("fk"), F.col("f.line").alias("fl"), F.col("f.th").alias("fh"), "n", "wide"), "line-classes")
+    classes = materialize(_firsts(scanned.where("counts is null").drop("counts")), "line-classes")
 
-    compared = materialize(_candidates(_entries(docs, counts)), "line-candidates")
+    buckets = max(4 * partitions(spark), total // (4 * BUCKET))  # about a quarter of the words are in prefixes
+    compared = materialize(_candidates(_entries(docs, level, buckets)), "line-candidates")
     release(spark)
-    found = compared.where("cell >= 0").unionByName(_candidates(_deal_busy(compared.where("cell < 0"))))
+    found = compared.where("cell >= 0").unionByName(_busy_candidates(_deal_busy(compared.where("cell < 0"))))
     found = materialize(found.join(classes.select(*same, "fk", "fl", "fh", "wide"), same), "line-candidates")
     several = F.bool_or("more") | (F.min("cls_x") != F.max("cls_x"))
     pairs = _nearest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.struct("apart", "cls_x")).alias("x"), several.alias("more"))
@@ -479,13 +501,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     lines. Lines without words stay, as do all other rows, columns and null values; a null text has no lines, and a row with a null key has no place in the
     order: it is left alone and removes nothing. An empty table gives an empty result.
     """
-    gone = materialize(removed_lines(df, key, text).select(F.col("k").alias("k_"), F.col("th").alias("th_"), F.col("removed").alias("removed_")), "removed-lines")
-    rows = df.drop("n_lines", "n_removed").withColumn("h_", F.xxhash64(F.col(text).cast("string")))
-    joined = rows.join(gone, (F.col(key) == F.col("k_")) & (F.col("h_") == F.col("th_")), "left")
+    k, h, t, gone = fresh(df, "k", "h", "t", "removed")
+    found = materialize(removed_lines(df, key, text), "removed-lines").select(F.col("k").alias(k), F.col("th").alias(t), F.col("removed").alias(gone))
+    rows = df.drop("n_lines", "n_removed").withColumn(h, F.xxhash64(F.col(text).cast("string")))
+    joined = rows.join(found, (F.col(key) == F.col(k)) & (F.col(h) == F.col(t)), "left")
     parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("removed_"), i)), "\n")
-    columns = [F.when(F.col("removed_").isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed_"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    columns = [F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
