@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _ACTIVE: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str, clear: Callable[[], None]) -> None:
-    """Tell that ``owner``'s memo is in use now; the memo of any other owner is cleared."""
+    """Tell that ``owner``'s memo is in use now; the memo of any other owner is cleared, and what
+    the process no longer needs goes back to the system."""
     if owner not in _ACTIVE:
         for drop in _ACTIVE.values():
             drop()
         _ACTIVE.clear()
         _ACTIVE[owner] = clear
+        give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+class Memo:
+    """Values by word, bounded by their bytes: when the younger half is full the older half is
+    dropped, so words that keep coming stay."""
+
+    def __init__(self, most_bytes: int):
+        self.most, self.used = most_bytes // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get_all(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, words))
+        if self.old and None in found:
+            get = self.old.get
+            for i, x in enumerate(found):
+                if x is None and (x := get(words[i])) is not None:
+                    found[i] = x
+                    self.put(words[i], x)
+        return found
+
+    def put(self, word: str, value: bytes) -> None:
+        """Keep a value; 190 bytes are what Python itself takes for an entry."""
+        if word not in self.young:
+            self.used += len(word) + len(value) + 190
+            if self.used > self.most:
+                self.old, self.young, self.used = self.young, {}, 0
+            self.young[word] = value
+
+    def clear(self) -> None:
+        self.young, self.old, self.used = {}, {}, 0

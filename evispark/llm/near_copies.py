@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import group_starts, whole_groups
+from .blocks import group_starts, slices, whole_groups
 from .components import connected_components
 from .memory import claim
 from .store import materialize, partitions
@@ -67,8 +67,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-copies", lambda: None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 2):
                 ids, fps, bands, sketch = [], [], [], []
                 for text in part.column(2).to_pylist():
                     h, fp = shingle_set(text, shingle_words)
@@ -86,8 +85,8 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-copies", lambda: None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                found = [shingle_set(t, shingle_words)[0] for t in batch.slice(at, 1000).column(0).to_pylist()]
+            for part in slices(batch, 0):
+                found = [shingle_set(t, shingle_words)[0] for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "body"])
 
     return docs.select("t").mapInArrow(run, "id long, body binary").dropDuplicates(["id"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import group_starts, whole_groups
+from .blocks import group_starts, slices, whole_groups
 from .store import materialize, partitions
 from .tokens import encoder
 
@@ -119,7 +119,7 @@ def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces, end_id)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             rows = []
             for k, uid, lane, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 raw = enc.encode(t.as_py())

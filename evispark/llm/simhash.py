@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import chain, forest, group_starts, whole_groups
+from .blocks import chain, forest, group_starts, slices, whole_groups
 from .components import connected_components
 from .memory import claim
 from .near_copies import near_links, sketches
@@ -82,8 +82,7 @@ def add_fingerprints(df: DataFrame, key: str, text: str, shingle_words: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash", lambda: None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 fps = fingerprints(part.column(1).to_pylist(), shingle_words)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["key", "fp"])
 

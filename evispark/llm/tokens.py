@@ -15,10 +15,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from .memory import claim  # noqa: E402
+from .memory import Memo, claim  # noqa: E402
 
-#: Words a worker remembers. Later words are encoded each time they come.
-MEMO_WORDS = 700_000
+#: Bytes of the words a worker remembers. Others are encoded each time they come.
+MEMO_BYTES = 72 << 20
 ODD_SPACE = re.compile(r" \s")
 WORD_START = re.compile(r" (?=\S)")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -36,7 +36,7 @@ class TextEncoder:
         self.spaces = spaces
         self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_BYTES)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -60,7 +60,7 @@ class TextEncoder:
         return first + b"".join(self._words(words[1:])) + self.end
 
     def _words(self, words: list[str]) -> list[bytes]:
-        got = list(map(self.memo.get, words))
+        got = self.memo.get_all(words)
         if None in got:
             at = [i for i, x in enumerate(got) if x is None]
             new = list(dict.fromkeys(words[i] for i in at))
@@ -68,8 +68,8 @@ class TextEncoder:
             ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(asked, add_special_tokens=False))}
             for i in at:
                 got[i] = ids[words[i]]
-            if len(self.memo) < MEMO_WORDS:
-                self.memo.update(ids)
+            for w, x in ids.items():
+                self.memo.put(w, x)
         return got
 
 
