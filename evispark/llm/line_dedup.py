@@ -49,6 +49,8 @@ SPREAD = 1024
 BUCKET, HELD = 1_000_000, 1_000_000
 #: Bits of the broadcast filter of lines to verify for each, within bounds. It may only let more pass.
 FILTER_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 17, 1 << 28
+#: Lines that a task combines by class before they are shuffled.
+COMBINE = 100_000
 #: Line classes that a task remembers in order to send each once; others are sent again.
 SEEN = 300_000
 ENTRY = "word int, cell long, shape long, cls long, bitmap long"
@@ -136,18 +138,39 @@ def _classes(docs: DataFrame, counters: int) -> DataFrame:
 
 def _firsts(lines: DataFrame) -> DataFrame:
     """Each class (``cls``, ``bitmap``) once: its first line (``fk``, ``fl``, ``fh``), the number ``n``
-    of its lines and ``wide``. Nearly all classes have one line, so lines are sorted once after
-    the shuffle; a class is counted as it streams by, whatever its size."""
+    of its lines and ``wide``. Tasks combine the lines of COMBINE at a time before the shuffle,
+    so a common line leaves few rows, and what is left of a class is added up as it streams by."""
     schema = pa.schema([("cls", pa.int64()), ("bitmap", pa.int64()), ("fk", pa.int64()), ("fl", pa.int32()), ("fh", pa.int64()), ("n", pa.int64()), ("wide", pa.binary())])
-
-    def groups(batch: pa.RecordBatch) -> pa.RecordBatch:
-        starts = group_starts(pa.Table.from_batches([batch]), ["cls", "bitmap"])
-        n = np.diff(np.append(starts, batch.num_rows))
-        wide = batch.column(batch.schema.get_field_index("wide"))
-        some = np.append(np.flatnonzero(wide.is_valid().to_numpy(zero_copy_only=False)), batch.num_rows)
+    order, most = ["cls", "bitmap", "fk", "fl", "fh"], COMBINE
+
+    def groups(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+        starts = group_starts(table, order[:2])
+        ends = np.append(starts[1:], table.num_rows)
+        wide = table.column("wide").combine_chunks()
+        some = np.append(np.flatnonzero(wide.is_valid().to_numpy(zero_copy_only=False)), table.num_rows)
         at = some[np.searchsorted(some, starts)]
-        first = batch.select(["cls", "bitmap", "k", "line", "th"]).take(pa.array(starts))
-        return pa.RecordBatch.from_arrays([*first.columns, pa.array(n), wide.take(pa.array(at, mask=at >= starts + n))], schema=schema)
+        first = table.select(order).take(pa.array(starts)).combine_chunks()
+        columns = [c.combine_chunks() for c in first.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.add.reduceat(table.column("n").to_numpy(), starts)), wide.take(pa.array(np.minimum(at, max(table.num_rows - 1, 0)), mask=at >= ends))], schema=schema)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def combined() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            by = np.lexsort([table.column(c).to_numpy() for c in reversed(order)])
+            return groups(table.take(pa.array(by)))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= most:
+                yield combined()
+                held, n = [], 0
+        if held:
+            yield combined()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict | None = None
@@ -169,8 +192,10 @@ def _firsts(lines: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
-    dealt = lines.repartition(partitions(lines.sparkSession), "cls", "bitmap").sortWithinPartitions("cls", "bitmap", "k", "line", "th")
-    return dealt.mapInArrow(run, "cls long, bitmap long, fk long, fl int, fh long, n long, wide binary")
+    sql = "cls long, bitmap long, fk long, fl int, fh long, n long, wide binary"
+    rows = lines.select("cls", "bitmap", F.col("k").alias("fk"), F.col("line").alias("fl"), F.col("th").alias("fh"), F.lit(1).cast("long").alias("n"), "wide")
+    dealt = rows.mapInArrow(combine, sql).repartition(partitions(lines.sparkSession), "cls", "bitmap").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, sql)
 
 
 def _entries(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
