@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Turn numbers of one rendered piece. Longer dialogues give several pieces, whose texts joined
 #: in order are the whole rendering, so no task ever holds an unbounded dialogue.
 PIECE_TURNS = 512
+#: Stands for the piece of turns without a number while pieces are grouped.
+UNNUMBERED = -(1 << 63)
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -42,17 +44,18 @@ def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str
         F.col(turn).cast("long").alias("n"),
         F.when(name == "", F.lit("unknown")).otherwise(name).alias("who"),
         _plain(F.col(text).cast("string")).alias("said"),
-    ).distinct()
-    own = F.when(F.col("c").isNull(), F.xxhash64(F.coalesce("n", F.lit(-1)), "who", "said")).otherwise(F.lit(0))
-    turns = turns.withColumn("own", own).withColumn("key", F.coalesce("c", "own"))
-    speakers = (
-        turns.where("who != 'system'").select(F.col("key").alias("k"), F.col("own").alias("o"), F.col("who").alias("speaker")).distinct()
     )
-    speakers = speakers.groupBy("k", "o").agg(F.collect_list("speaker").alias("speakers"))
-    pieces = turns.groupBy("c", "key", "own", F.floor(F.col("n") / piece_turns).alias("piece")).agg(
-        F.array_sort(F.collect_list(F.struct("n", "who", "said"))).alias("turns")
+    own = F.when(F.col("c").isNull(), F.xxhash64(F.coalesce("n", F.lit(-1)), "who", "said")).otherwise(F.lit(0))
+    turns = turns.select("*", F.col("c").isNull().alias("alone"), own.alias("own"), F.coalesce(F.floor(F.col("n") / piece_turns), F.lit(UNNUMBERED)).alias("at"))
+    turns = turns.withColumn("key", F.coalesce("c", "own"))
+    dialogue = ["key", "own", "alone"]
+    # the text is shuffled once, by the keys that the join uses too; speakers come to every piece as small rows
+    speakers = turns.where("who != 'system'").select(*dialogue, F.col("who").alias("speaker")).distinct()
+    roles = turns.select(*dialogue, "at").distinct().join(speakers, dialogue)
+    pieces = turns.groupBy(*dialogue, "at").agg(F.array_sort(F.collect_set(F.struct("n", "who", "said"))).alias("turns"))
+    rotated = pieces.join(roles, [*dialogue, "at"]).select(
+        F.when(~F.col("alone"), F.col("key")).alias("c"), F.nullif("at", F.lit(UNNUMBERED)).alias("piece"), "turns", "speaker"
     )
-    rotated = pieces.join(speakers, (F.col("key") == F.col("k")) & (F.col("own") == F.col("o"))).select("c", "piece", "turns", F.explode("speakers").alias("speaker"))
 
     def header(t: Column) -> Column:
         return F.when(t["who"] == F.col("speaker"), F.lit(f"{START}assistant\n")).when(t["who"] == "system", F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), t["who"], F.lit("\n")))
