@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .blocks import chain, forest, group_starts, whole_groups
 from .components import connected_components
 from .store import materialize, partitions
-from .vectors import matrix, unit, usable
+from .vectors import cosines, matrix, unit, usable
 
 #: A pair at cosine 0.98 shares 20 signs of one table with probability 0.27, and those of one
 #: table of 24 at least with probability 0.9994.
@@ -78,11 +78,15 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             node, own, copies = (table.column(c).to_numpy() for c in ("node", "own", "n"))
             tables, i, j = (table.column(c).to_numpy() for c in ("t", "i", "j"))
             signs = matrix(table.column("signs")).astype(np.int32)
-            x = unit(matrix(table.column("v")))
+            raw = matrix(table.column("v"))
+            x = unit(raw)
             counts = np.zeros(table.num_rows, np.int64)
             found_a, found_b = [], []
             for a, b in zip(starts, starts[1:]):
-                near = x[a:b] @ x[a:b].T >= threshold
+                product = x[a:b] @ x[a:b].T
+                near = product >= threshold
+                p, q = np.nonzero(np.abs(product - threshold) < 1e-9)  # summed in one order, whatever the block
+                near[p, q] = cosines(raw[a:b][p], raw[a:b][q]) >= threshold
                 np.fill_diagonal(near, False)
                 if i[a] != j[a]:
                     near &= own[a:b, None] != own[None, a:b]
