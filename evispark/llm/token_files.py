@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +108,8 @@ def pack_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, width:
             break
         except ValueError:
             continue
+    else:
+        raise ValueError("no seed gives the keys distinct hashes")
     slots = np.zeros(len(keys), SLOTS)
     at = perfect.slots(hashes)
     slots["fingerprint"][at] = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -170,14 +173,16 @@ def write_store(df: DataFrame, key: str, text: str, path: str, tokenizer: str, s
     Null texts count as empty: each document has at least its end id. Null keys come first;
     rows with equal keys are ordered by their text's hash, and any number of them is dealt
     over many tasks. An empty table makes a store without shards. ``width`` is the bytes of an
-    id. Other columns are not read.
+    id, 2 or 4; an id that does not fit is refused. Other columns are not read.
     """
     spark = df.sparkSession
     fs, local = pafs.FileSystem.from_uri(path)
     fs.create_dir(local, recursive=True)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("r"))
     rows = rows.repartitionByRange(partitions(spark), "k", "h", "r").sortWithinPartitions("k", "h", "r").select("k", "t")
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind, largest = {2: ("<u2", 2**16 - 1), 4: ("<u4", 2**32 - 1)}[width]
+    if end_id > largest:
+        raise ValueError(f"the end id does not fit {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, spaces, end_id), TaskContext.get().partitionId()
@@ -201,6 +206,8 @@ def write_store(df: DataFrame, key: str, text: str, path: str, tokenizer: str, s
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = np.frombuffer(enc.encode(t.as_py()), "<u4")
+                if len(raw) and int(raw.max()) > largest:
+                    raise ValueError(f"id {raw.max()} does not fit {width} bytes")
                 keys.append(k)
                 ids.append(raw.astype(kind).tobytes())
                 sizes.append(len(raw))
@@ -243,21 +250,27 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
     return dealt.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
+def _order(key: int | None) -> tuple[int, int]:
+    """Keys as they are sorted: null first."""
+    return (0, 0) if key is None else (1, key)
+
+
 class TokenStore:
     """Keyed access from one process: ``get(key)`` reads an index and one slice of a payload."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
         rows = spark.read.parquet(f"{path}/manifest").orderBy("shard").select("shard", "first_key", "last_key").collect()
-        self.shards = [tuple(r) for r in rows]
+        self.shards = [(r.shard, _order(r.first_key), _order(r.last_key)) for r in rows]
+        self.last = [last for _, _, last in self.shards]
         self.indexes: dict[str, ShardIndex] = {}
 
     def get(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
         """Ids of the document, None if there is none with this key. ``occurrence`` counts
         documents with the same key within a shard."""
-        for name, first, last in self.shards:
-            if (first is not None) if key is None else (last is None or (first is not None and first > key) or last < key):
-                continue
+        for name, first, _ in self.shards[bisect_left(self.last, _order(key)) :]:
+            if first > _order(key):
+                return None
             if name not in self.indexes:
                 self.indexes[name] = ShardIndex(read_file(f"{self.path}/{name}.mph"))
             index = self.indexes[name]
