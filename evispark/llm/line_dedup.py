@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import fresh, group_starts, slices, whole_groups
 from .memory import claim
-from .store import materialize, partitions, release
+from .store import bound_batches, materialize, partitions, release
 from .words import Lines, counter, mix
 
 #: Lines with fewer distinct words, which is those without any, are left alone.
@@ -492,6 +492,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``k`` (the key), ``th`` (hash of the text) and ``removed`` (line numbers from 0) of the
     documents that lose lines."""
     spark = df.sparkSession
+    bound_batches(spark)
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
     counters = _power(COUNTERS * df.count(), LEAST_COUNTERS, MOST_COUNTERS)
     scanned = materialize(_classes(docs, counters), "lines")

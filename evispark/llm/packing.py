@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import group_starts, slices, whole_groups
-from .store import materialize, partitions
+from .store import bound_batches, materialize, partitions
 from .tokens import encoder
 
 #: Length classes of a sequence.
@@ -158,6 +158,7 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "d
     documents of their own. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     unit = length // UNITS
     part = F.shiftright("uid", 33).alias("part")
     docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length), "packing-docs")

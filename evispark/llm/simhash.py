@@ -22,7 +22,7 @@ from .blocks import chain, forest, group_starts, slices, whole_groups
 from .components import connected_components
 from .memory import claim
 from .near_copies import near_links, sketches
-from .store import materialize, partitions
+from .store import bound_batches, materialize, partitions
 
 SEED = 42
 #: Rows of one bucket that a task compares at once; larger buckets are split into blocks.
@@ -170,6 +170,7 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     Repeated keys keep one row each. An empty table gives an empty result. Other columns of
     ``df`` are not read.
     """
+    bound_batches(df.sparkSession)
     docs = materialize(add_fingerprints(df, key, text, shingle_words), "fingerprints")
     nodes = materialize(docs.where("key is not null").groupBy("fp").agg(F.min("key").alias("low")), "nodes")
     found = connected_components(fingerprint_edges(nodes.select("fp"), radius))
@@ -193,6 +194,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     band (near_copies). Texts without words are one group. Rows with a null key are all kept;
     rows that repeat a kept key and text are kept with it.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
     drawn = materialize(sketches(rows, shingle_words), "sketches")
     one = drawn.groupBy("id").agg(F.min("key").alias("low"), F.min(F.struct("key", "th")).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, partitions
+from .store import bound_batches, new_path, partitions
 from .tokens import encoder
 
 MAGIC = b"EVTOK\x01"
@@ -176,6 +176,7 @@ def write_store(df: DataFrame, key: str, text: str, path: str, tokenizer: str, s
     id, 2 or 4; an id that does not fit is refused. Other columns are not read.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     fs, local = pafs.FileSystem.from_uri(path)
     fs.create_dir(local, recursive=True)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("r"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import slices
 from .memory import claim
-from .store import materialize
+from .store import bound_batches, materialize
 
 #: Most labelled rows that a model is fitted on, and most distinct terms of all of them (four bytes
 #: each on the driver): those with the smallest hash of their id.
@@ -216,6 +216,7 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
     """``key``, ``held_out``, ``score`` and ``predicted`` of every row; a null or empty text
     scores the model's bias. With ``keep``, the columns of ``docs`` of the rows that are not
     toxic instead (the model decides from the text alone)."""
+    bound_batches(docs.sparkSession)
     columns = docs.columns
     name = xxhash.xxh64_hexdigest(model.slots.tobytes())
     at = {int(s): i for i, s in enumerate(model.slots)}
