@@ -69,3 +69,15 @@ def compare_age(birth: Column, death: Column, cutoff: Column, reference: Column)
 def census_earliest_birth(census_year: Column, age: Column) -> Column:
     """Earliest birth for an age reported on 1 April of a census year."""
     return F.make_date(census_year - age - 1, F.lit(4), F.lit(2))
+
+
+def birth_year_age(year: Column, cutoff: str) -> Column:
+    """Age key of the oldest that someone born in a year can be by ``cutoff``."""
+    age = attained_age(F.make_date(year, F.lit(1), F.lit(1)), F.lit(cutoff).cast("date"))
+    return age_key(age["years"], age["days"])
+
+
+def birth_disposition(year: Column, approximate: Column, cutoff: str, reference: int) -> Column:
+    """What a stated birth year means for a comparison with the age key ``reference``: an approximate
+    year is muted, a late one excludes, any other needs a death or a census."""
+    return F.when(year.isNull(), F.lit(None)).when(F.coalesce(approximate, F.lit(False)), "muted_approximate").when(birth_year_age(year, cutoff) < reference, "exclude_by_birth_year").otherwise("needs_death_or_census")

@@ -85,9 +85,13 @@ def strip_pointer(value: Column) -> Column:
     return F.regexp_replace(value, "^@(.*)@$", "$1")
 
 
+#: Fillers that stand in for an answer.
+PLACEHOLDERS = ["", "tbd", "todo", "n/a", "na", "?", "-"]
+
+
 def is_placeholder(text: Column) -> Column:
     """Null, blank or one of the fixed fillers."""
-    return text.isNull() | F.lower(F.trim(text)).isin("", "tbd", "todo", "n/a", "none", "unknown", "pending")
+    return text.isNull() | F.lower(F.trim(text)).isin(PLACEHOLDERS)
 
 
 def unsafe_cell(text: Column) -> Column:
@@ -100,6 +104,42 @@ def first_valid(default: str, allowed: list[str], *candidates: Column) -> Column
     return F.coalesce(*[F.when(c.isin(allowed), c) for c in candidates], F.lit(default))
 
 
+def last_truthy(default: str, allowed: list[str], *candidates: Column) -> Column:
+    """First candidate in the vocabulary, else the last that is not empty even if it is in no
+    vocabulary, else the default."""
+    valid = [F.when(c.isin(allowed), c) for c in candidates]
+    return F.coalesce(*valid, *[F.nullif(c, F.lit("")) for c in reversed(candidates)], F.lit(default))
+
+
+def notes_list(value: Column) -> Column:
+    """Notes as a list: JSON lists without their blank entries, any other text that is not blank as one
+    note, nothing as an empty list."""
+    listed = F.filter(F.from_json(value, "array<string>"), lambda n: F.trim(n) != "")
+    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", F.array().cast("array<string>")).when(F.ltrim(value).startswith("["), F.coalesce(listed, F.array(value))).otherwise(F.array(value))
+
+
+def zip_key(path: Column) -> Column:
+    """Comparable form of a path in a ZIP: slashes forward, lower case, one slash at its end; a blank
+    path stays blank."""
+    bare = F.regexp_replace(F.lower(F.replace(F.trim(F.coalesce(path, F.lit(""))), F.lit("\\"), F.lit("/"))), "^/+|/+$", "")
+    return F.when(bare == "", F.lit("")).otherwise(F.concat(bare, F.lit("/")))
+
+
+#: MIME types by extension, for extensions of the archive.
+MIME = {
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".tiff": "image/tiff", ".webp": "image/webp",
+    ".pdf": "application/pdf", ".txt": "text/plain", ".md": "text/markdown", ".doc": "application/msword",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".html": "text/html", ".htm": "text/html", ".zip": "application/zip", ".json": "application/json", ".csv": "text/csv",
+}
+
+
+def mime_guess(path: Column) -> Column:
+    """MIME type by the extension of a filename, null if it is not known."""
+    table = F.create_map(*[x for k, v in MIME.items() for x in (F.lit(k), F.lit(v))])
+    return F.try_element_at(table, F.regexp_extract(F.lower(path), r"(\.[a-z0-9]+)$", 1))
+
+
 def fact(date: Column, place: Column) -> Column:
     return F.nullif(F.concat_ws(", ", blank_to_null(date), blank_to_null(place)), F.lit(""))
 

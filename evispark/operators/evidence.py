@@ -28,28 +28,42 @@ def identity_merge(df: DataFrame, key: str, order: str, exact: list[str], aliase
 def shared_origin_groups(df: DataFrame, key: str, origins: list[Column]) -> DataFrame:
     """``key`` and ``group_id``: smallest key reachable over rows that share an origin value.
 
-    Origins have one namespace; null or blank ones join nothing. Labels spread by the smallest
-    key per origin until none changes; every round is written to the checkpoint folder.
+    Origins have one namespace; null or blank ones join nothing. Each key hooks onto the smallest
+    key that shares an origin with it, keys are renamed to what they hang on, and origins left
+    with one key are dropped. Only keys smaller than all neighbours stay, so at least half of the
+    keys go each round, whatever the shape of the groups; a round is written to the checkpoint
+    folder.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "local")
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp()}")
     base = df.select(F.col(key).alias("k"), F.array(*origins).alias("o"))
     pairs = base.select("k", F.explode("o").alias("o")).where(F.length(F.trim("o")) > 0).distinct().checkpoint()
-    # an origin of one key joins nothing
-    shared = pairs.groupBy("o").agg(F.count("*").alias("n")).where("n > 1").select("o")
-    pairs = pairs.join(shared, "o").select("k", "o").checkpoint()
-    label = pairs.select("k").distinct().withColumn("g", F.col("k"))
+    maps: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        low = pairs.join(label, "k").groupBy("o").agg(F.min("g").alias("g"))
-        new = pairs.join(low, "o").groupBy("k").agg(F.min("g").alias("h"))
-        step = label.join(new, "k").select("k", F.least("g", "h").alias("g"), (F.col("h") < F.col("g")).alias("moved")).checkpoint()
-        label = step.select("k", "g")
-        if step.where("moved").isEmpty():
+        low = pairs.groupBy("o").agg(F.min("k").alias("low"), F.count("*").alias("n")).where("n > 1").select("o", "low")
+        pairs = pairs.join(low, "o").checkpoint()
+        if pairs.isEmpty():
             break
+        parent = pairs.groupBy("k").agg(F.min("low").alias("p")).checkpoint()
+        while True:  # to the end of each chain, whose length halves
+            up = parent.select(F.col("k").alias("q"), F.col("p").alias("up"))
+            step = parent.join(up, parent["p"] == up["q"]).select("k", F.col("up").alias("p"), (F.col("up") != F.col("p")).alias("moved")).checkpoint()
+            parent = step.select("k", "p")
+            if step.where("moved").isEmpty():
+                break
+        maps.append(parent)
+        pairs = pairs.select("k", "o").join(parent, "k").select(F.col("p").alias("k"), "o").distinct().checkpoint()
     else:
         raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
-    return base.select("k").distinct().join(label, "k", "left").select(F.col("k").alias(key), F.coalesce("g", "k").alias("group_id"))
+    label = base.select("k").distinct().withColumn("g", F.col("k"))
+    for parent in maps:
+        up = parent.select(F.col("k").alias("q"), "p")
+        label = label.join(up, label["g"] == up["q"], "left").select("k", F.coalesce("p", "g").alias("g")).checkpoint()
+    return label.select(F.col("k").alias(key), F.col("g").alias("group_id"))
 
 
 def relation_counts(edges: DataFrame, claim: str, relation: str) -> DataFrame:

@@ -27,13 +27,17 @@ def token_subset(left: DataFrame, left_id: str, left_text: Column, right: DataFr
     """Rows of ``left`` whose text holds all tokens of rows of ``right``.
 
     Returns ``left_id``, ``n_matches``, ``matched`` (the right id if there is exactly one) and
-    ``outcome`` (unmatched, probable, ambiguous). Containment is an equi-join on tokens with a
-    count, not a nested loop. A right text without tokens matches nothing.
+    ``outcome`` (unmatched, probable, ambiguous). Each right row is probed by the one of its tokens
+    that the fewest left rows hold, and only those rows are tested for the others, so a common
+    token never brings all rows together. A right text without tokens matches nothing.
     """
-    l = left.select(F.col(left_id), F.explode(tokens(left_text)).alias("token"))
+    l = left.select(F.col(left_id), tokens(left_text).alias("lt"))
     r = right.select(F.col(right_id), tokens(right_text).alias("ts")).where(F.size("ts") > 0)
-    r = r.select(right_id, F.size("ts").alias("need"), F.explode("ts").alias("token"))
-    hits = l.join(r, "token").groupBy(left_id, right_id, "need").agg(F.count("*").alias("have")).where("have = need")
+    held = l.select(F.explode("lt").alias("token")).groupBy("token").agg(F.count("*").alias("held"))
+    asked = r.select(right_id, F.explode("ts").alias("token")).join(held, "token")  # a token that no left row holds matches nothing
+    probe = asked.groupBy(right_id).agg(F.min_by("token", F.struct("held", "token")).alias("token"), F.count("*").alias("n"))
+    r = r.join(probe, right_id).where(F.size("ts") == F.col("n")).select(right_id, "ts", "token")
+    hits = l.select(left_id, "lt", F.explode("lt").alias("token")).join(r, "token").where(F.size(F.array_except("ts", "lt")) == 0)
     found = hits.groupBy(left_id).agg(F.count("*").alias("n_matches"), F.min(right_id).alias("matched"))
     n = F.coalesce("n_matches", F.lit(0))
     return left.select(left_id).join(found, left_id, "left").select(

@@ -61,7 +61,8 @@ def run_batch(queries: DataFrame, adapters: dict[str, Adapter], checkpoint: str,
         return state
     live = [p for p, a in adapters.items() if a.enabled and a.terms_url]
     done = [q for q, r in state.items() if r["status"] in DONE or (r["status"] == "manual_followup" and r["provider"] not in live)]
-    pending = queries.where(~queries["query_id"].isin(done)) if done else queries
+    finished = queries.sparkSession.createDataFrame([(q,) for q in done], "query_id string")
+    pending = queries.join(finished, "query_id", "left_anti")
     last: dict[str, float] = {}
     for row in pending.orderBy("priority", "source_priority", "query_id").limit(limit).collect():
         q = row.asDict()

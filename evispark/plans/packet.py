@@ -38,7 +38,8 @@ def packet(person_id: str, people: DataFrame, families: DataFrame, links: DataFr
     for kind in ("birth", "death"):
         out = out.unionByName(section(p, "timeline", F.col(f"{kind}_date"), F.concat(F.lit(f"{kind}: "), fact(F.col(f"{kind}_date"), F.col(f"{kind}_place")))))
     me = p.select(F.col("person_id").alias("me"))
-    as_spouse = families.join(me, (F.col("me") == F.col("husband_id")) | (F.col("me") == F.col("wife_id")))
+    spouses = F.array_distinct(F.array_compact(F.array("husband_id", "wife_id")))
+    as_spouse = families.withColumn("spouse", F.explode(spouses)).join(me, F.col("me") == F.col("spouse"))
     as_child = families.withColumn("child", F.explode("child_ids")).join(me, F.col("me") == F.col("child"))
     out = out.unionByName(section(as_spouse, "timeline", F.col("marriage_date"), F.concat(F.lit("marriage: "), F.col("marriage_date"))))
     out = out.unionByName(section(as_spouse, "relationships", F.col("family_id"), F.concat(F.lit("spouse in "), F.col("family_id"))))
