@@ -111,13 +111,13 @@ def award_all_excluded(t):
     return rows.select("o_orderkey", F.coalesce("c", F.lit(0)).alias("n_members"), (F.coalesce("all_out", F.lit(False)) & (F.col("o_orderstatus") != "O")).alias("excluded"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'manual' WHEN b.item_id IS NOT NULL THEN 'sidecar' WHEN c.c_custkey IS NOT NULL THEN 'filename' ELSE 'needs_review' END AS method,
-  CASE WHEN l.quality IS NOT NULL THEN 'q' || l.quality WHEN b.item_id IS NOT NULL THEN 'b' || b.item_id WHEN c.c_custkey IS NOT NULL THEN 'c' || c.c_custkey END AS person
-  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id LEFT JOIN customer c ON c.c_custkey = d.doc_id AND c.c_custkey % 3 = 0""")
-def link_precedence(t):
+@query("""SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'manual' WHEN b.item_id IS NOT NULL THEN 'sidecar' WHEN s.s_suppkey IS NOT NULL THEN 'filename' ELSE 'needs_review' END AS method,
+  CASE WHEN l.quality IS NOT NULL THEN 'q' || l.quality WHEN b.item_id IS NOT NULL THEN 'b' || b.item_id WHEN s.s_suppkey IS NOT NULL THEN 's' || s.s_suppkey END AS person
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id LEFT JOIN supplier s ON s.s_suppkey = d.doc_id""")
+def link_tiers(t):
     manual = t("labels").where("quality is not null").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("person"))
     side = t("benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("person"))
-    name = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("person"))
+    name = t("supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("person"))
     return linking.precedence(t("documents").select("doc_id"), "doc_id", [("manual", manual), ("sidecar", side), ("filename", name)], "person")
 
 
@@ -141,13 +141,6 @@ def first_observation(t):
     return picks.first_seen(t("events"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT c_custkey, c_mktsegment, count(*) AS n_hits FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 = 0 GROUP BY ALL")
-def whitelist_hits(t):
-    wl = t("customer").where("c_custkey % 3 = 0").select("c_custkey", "c_mktsegment")
-    seen = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_hits"))
-    return wl.join(seen, "c_custkey")
-
-
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def whitelist_missing(t):
     seen = t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
