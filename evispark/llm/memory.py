@@ -31,31 +31,17 @@ def give_back() -> None:
 
 
 class Memo:
-    """Values by word, bounded by their bytes: when the younger half is full the older half is
-    dropped, so words that keep coming stay."""
+    """Values by word, the first that come until their bytes reach a bound."""
 
     def __init__(self, most_bytes: int):
-        self.most, self.used = most_bytes // 2, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.most, self.used = most_bytes, 0
+        self.words: dict[str, bytes] = {}
 
     def get_all(self, words: list[str]) -> list[bytes | None]:
-        found = list(map(self.young.get, words))
-        if self.old and None in found:
-            get = self.old.get
-            for i, x in enumerate(found):
-                if x is None and (x := get(words[i])) is not None:
-                    found[i] = x
-                    self.put(words[i], x)
-        return found
-
-    def put(self, word: str, value: bytes) -> None:
-        """Keep a value; 190 bytes are what Python itself takes for an entry."""
-        if word not in self.young:
-            self.used += len(word) + len(value) + 190
-            if self.used > self.most:
-                self.old, self.young, self.used = self.young, {}, 0
-            self.young[word] = value
-
-    def clear(self) -> None:
-        self.young, self.old, self.used = {}, {}, 0
+        return list(map(self.words.get, words))
+
+    def add(self, values: dict[str, bytes]) -> None:
+        """Keep values; 190 bytes are what Python itself takes for an entry."""
+        if self.used < self.most:
+            self.words.update(values)
+            self.used += sum(map(len, values)) + sum(map(len, values.values())) + 190 * len(values)

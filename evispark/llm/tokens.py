@@ -18,7 +18,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from .memory import Memo, claim  # noqa: E402
 
 #: Bytes of the words a worker remembers. Others are encoded each time they come.
-MEMO_BYTES = 72 << 20
+MEMO_BYTES = 160 << 20
 ODD_SPACE = re.compile(r" \s")
 WORD_START = re.compile(r" (?=\S)")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -68,8 +68,7 @@ class TextEncoder:
             ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(asked, add_special_tokens=False))}
             for i in at:
                 got[i] = ids[words[i]]
-            for w, x in ids.items():
-                self.memo.put(w, x)
+            self.memo.add(ids)
         return got
 
 
