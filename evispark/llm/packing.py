@@ -27,8 +27,8 @@ from .tokens import encoder
 #: Length classes of a sequence.
 UNITS = 128
 #: Documents are dealt to 1024 lanes; the ids of the first LANES are kept, since any of them may
-#: be asked to fill gaps.
-LANES = 96
+#: be asked to fill gaps. Where gaps ask for more, texts are encoded again with more lanes kept.
+ALL_LANES, LANES = 1024, 96
 #: Tokens of the two strips that one group of rows covers.
 CELL = 65_536
 MAX_COLUMNS = 3000
@@ -110,9 +110,9 @@ def plan_patterns(demand: dict[int, int], capacity: int = UNITS) -> list[tuple[d
     return plan
 
 
-def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, end_id: int, length: int) -> DataFrame:
+def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, end_id: int, length: int, kept: int) -> DataFrame:
     """A row per document: its token count, checksums of its full cuts and of its rest, and,
-    in the first lanes, the rest's ids."""
+    in the first ``kept`` lanes, the rest's ids."""
     unit = length // UNITS
     fields = [("k", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("cuts", pa.list_(pa.int64())), ("rest", pa.int64()), ("crc", pa.int64()), ("cls", pa.int32()), ("lane", pa.int32()), ("ids", pa.binary())]
     schema = pa.schema(fields)
@@ -128,11 +128,11 @@ def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, e
                 rest = raw[4 * full * length :]
                 cuts = [zlib.crc32(raw[4 * c * length : 4 * (c + 1) * length]) for c in range(full)]
                 r = len(rest) // 4
-                rows.append((k, uid, n, cuts, r, zlib.crc32(rest), -(-r // unit), lane, rest if lane < LANES else None))
+                rows.append((k, uid, n, cuts, r, zlib.crc32(rest), -(-r // unit), lane, rest if lane < kept else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], schema=schema)
 
     docs = df.select(F.col(key).cast("long").alias("k"), F.monotonically_increasing_id().alias("uid"), F.col(text).cast("string").alias("t"))
-    docs = docs.select("k", "uid", F.pmod(F.xxhash64("uid"), F.lit(1024)).cast("int").alias("lane"), "t")
+    docs = docs.select("k", "uid", F.pmod(F.xxhash64("uid"), F.lit(ALL_LANES)).cast("int").alias("lane"), "t")
     return docs.mapInArrow(run, "k long, uid long, n long, cuts array<long>, rest long, crc long, cls int, lane int, ids binary")
 
 
@@ -161,13 +161,18 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "d
     bound_batches(spark)
     unit = length // UNITS
     part = F.shiftright("uid", 33).alias("part")
-    docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length), "packing-docs")
     some = F.coalesce("rest", F.lit(0)) > 0  # kept from the Parquet reader, which was seen to stall on this filter once
+    kept = LANES
+    while True:
+        docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length, kept), "packing-docs")
+        histogram = docs.where(some).groupBy("cls", F.least("lane", F.lit(kept)).alias("lane")).agg(F.count("*").alias("c"), F.sum("rest").alias("t")).collect()
+        tokens = sum(r.t for r in histogram)
+        gaps = sum(r.c * r.cls * unit - r.t for r in histogram) + 0.004 * tokens
+        lanes = min(ALL_LANES, ceil(ALL_LANES * 1.02 * gaps / (tokens + gaps))) if tokens else 0
+        if lanes <= kept:
+            break
+        kept = lanes
     light = docs.select("k", "uid", part, "n", "rest", "crc", "cls", "lane")
-    histogram = docs.where(some).groupBy("cls", F.least("lane", F.lit(LANES)).alias("lane")).agg(F.count("*").alias("c"), F.sum("rest").alias("t")).collect()
-    tokens = sum(r.t for r in histogram)
-    gaps = sum(r.c * r.cls * unit - r.t for r in histogram) + 0.004 * tokens
-    lanes = min(LANES, ceil(1024 * 1.02 * gaps / (tokens + gaps))) if tokens else 0
     demand: dict[int, int] = {}
     for r in histogram:
         if r.lane >= lanes:

@@ -82,3 +82,10 @@ def test_knapsack_and_plan():
         assert sum(p.get(c, 0) * t for p, t in plan) >= n
     assert all(sum(c * k for c, k in p.items()) <= 100 for p, _ in plan)
     assert plan_patterns({}) == []
+
+
+def test_short_documents(spark):
+    """Classes waste a large share of short texts, which more lanes than usual make good."""
+    rows = [(i, " ".join(["word"] * (i * 7 % 30))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert check_pieces(rows, pack(df, PATH, False, 2, length=4096).collect(), 4096) < 0.03
