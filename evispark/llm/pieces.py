@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .memory import claim
 
-#: Chunks a worker remembers. Later chunks are encoded each time they come.
-MEMO_CHUNKS = 700_000
+#: Chunks a worker remembers, and the letters of the longest of them. Others are encoded each
+#: time they come.
+MEMO_CHUNKS, MEMO_LETTERS = 700_000, 64
 SPACE = "▁"
 CHUNKS = re.compile(" +[^ ]+| +$")
 
@@ -53,9 +54,6 @@ class PieceEncoder:
         for t, i in self.ids.items():
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        surfaces = {i: bytes([b]) for b, i in self.bytes.items()} | {i: t.replace(SPACE, " ").encode() for t, i in self.ids.items()}
-        self.surface = [surfaces.get(i, b"") for i in range(len(self.texts))]
-        self.plain = np.array([i in surfaces or i in (sp.bos_id(), sp.eos_id()) for i in range(len(self.texts))])
         self.begin, self.finish = array("I", [sp.bos_id()]).tobytes(), array("I", [sp.eos_id()]).tobytes()
         self.parts: dict[int, tuple[int, int] | None | bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -150,7 +148,7 @@ class PieceEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         found = array("I", self.encode_marked((" " + chunk).replace(" ", SPACE))).tobytes()
-        if len(self.memo) < MEMO_CHUNKS:
+        if len(self.memo) < MEMO_CHUNKS and len(chunk) <= MEMO_LETTERS:
             self.memo[chunk] = found
         return found
 
@@ -175,18 +173,8 @@ class PieceEncoder:
         return self.begin + b"".join(got) + self.finish
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of ids. Bytes that form no text, and ids without a surface of their own, are
-        left to the library."""
-        if len(ids) and not self.plain[ids].all():
-            return self.library.decode(ids.tolist())
-        surface = self.surface
-        raw = b"".join([surface[i] for i in ids.tolist()])
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            return self.library.decode(ids.tolist())
-        first = next((i for i in ids[:2].tolist() if surface[i]), None)
-        return text[1:] if first is not None and surface[first][:1] == b" " and self.texts[first].startswith(SPACE) else text
+        """The library's text of ids."""
+        return self.library.decode(ids.tolist())
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
