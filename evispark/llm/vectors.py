@@ -26,7 +26,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.n
         return np.zeros((0, width or 0))
     most = max(int(sizes.max()), width or 0)
     if (sizes == most).all():
-        return flat.reshape(-1, most)
+        return flat.reshape(len(sizes), most)
     out = np.zeros((len(sizes), most))
     out[np.arange(most) < sizes[:, None]] = flat
     return out
