@@ -69,7 +69,7 @@ def test_threshold_is_exact(spark):
     base = [f"t{i}" for i in range(9)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:8], "x"])), (3, " ".join([*base, "y", "z"])), (4, " ".join([*base, "y", "z", "q"])), (5, " ".join(base[:4])), (6, " ".join(base[:4]))]
     kept = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert kept == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+    assert kept == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1}
 
 
 def test_long_text_and_empty_table(spark):

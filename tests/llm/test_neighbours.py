@@ -77,14 +77,10 @@ def test_many_ties_go_to_the_smallest_keys(spark):
     assert [i for _, i in got[30]] == [0, 1, 2, 3, 4]
 
 
-def test_work_and_recall_at_the_checked_size(spark):
-    """Comparisons of a query stay under 0.45 of brute force on vectors without any structure,
-    which is the worst case, at a recall of 0.9."""
-    table = "/root/testdata/check_l/embeddings.parquet"
-    rows = spark.read.parquet(table).select("vec_id", "embedding").toArrow()
-    x = np.array([v if v is not None and len(v) == 64 else [0.0] * 64 for v in rows.column(1).to_pylist()])
-    x = np.unique(x[np.abs(x).sum(1) > 0], axis=0)
-    x = x[np.random.default_rng(0).permutation(len(x))] / 1.0
+def test_work_and_recall_without_structure():
+    """Comparisons of a query stay under 0.45 of brute force on 51,282 Gaussian vectors of 64
+    dimensions, which is the worst case, at a recall of 0.9."""
+    x = np.random.default_rng(0).normal(size=(51_282, 64)).astype(np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     many = n_lists(len(x))
     lists = build_lists(x[: 16 * many], many)
