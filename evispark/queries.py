@@ -479,4 +479,4 @@ def queue_replay(t):
     return queue.replay(log, 9990).drop("failure")
 
 
-from . import queries_checks, queries_more  # noqa: E402, F401  register their queries in the same tables
+from . import queries_checks, queries_more, queries_records  # noqa: E402, F401  register their queries in the same tables
