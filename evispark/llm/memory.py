@@ -31,17 +31,29 @@ def give_back() -> None:
 
 
 class Memo:
-    """Values by word, the first that come until their bytes reach a bound."""
+    """Values by word, kept from a word's second appearance on until their bytes reach a bound.
 
-    def __init__(self, most_bytes: int):
+    Most distinct words of a corpus come once; they leave a byte in a table of ``marks`` and
+    nothing else. Words that share a mark are kept at their first appearance.
+    """
+
+    def __init__(self, most_bytes: int, marks: int = 1 << 22):
         self.most, self.used = most_bytes, 0
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, object] = {}
+        self.seen = bytearray(marks)
 
-    def get_all(self, words: list[str]) -> list[bytes | None]:
+    def get_all(self, words: list[str]) -> list:
         return list(map(self.words.get, words))
 
     def add(self, values: dict[str, bytes]) -> None:
         """Keep values; 190 bytes are what Python itself takes for an entry."""
-        if self.used < self.most:
-            self.words.update(values)
-            self.used += sum(map(len, values)) + sum(map(len, values.values())) + 190 * len(values)
+        if self.used >= self.most:
+            return
+        seen, mask = self.seen, len(self.seen) - 1
+        for word, value in values.items():
+            at = hash(word) & mask
+            if seen[at]:
+                self.words[word] = value
+                self.used += len(word) + 4 * len(value) + 190
+            else:
+                seen[at] = 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import slices
-from .memory import claim
+from .memory import Memo, claim
 from .store import bound_batches, materialize
 
 #: Most labelled rows that a model is fitted on, and most distinct terms of all of them (four bytes
@@ -35,7 +35,8 @@ LEAST_DOCS = 3
 PAIR_WORDS, LEAST_Z = 1024, 5.0
 FACTORS = 8
 EPOCHS, LEAST_STEPS = 12, 600
-MEMO_WORDS = 300_000
+#: Bytes of the words whose features a worker remembers.
+MEMO_BYTES = 32 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -226,11 +227,10 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
         for t in texts:
             features: set[int] = set()
             for chunk in set((t.as_py() or "").lower().split()):
-                got = memo.get(chunk)
+                got = memo.words.get(chunk)
                 if got is None:
                     got = tuple(at[s] for s in slots(chunk) if s in at)
-                    if len(memo) < MEMO_WORDS:
-                        memo[chunk] = got
+                    memo.add({chunk: got})
                 if got:
                     features.update(got)
             out.append(float(1 / (1 + np.exp(-np.clip(model.raw(sorted(features)), -30, 30)))))
@@ -253,15 +253,15 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string"), held_out(F.col(key))).mapInArrow(run, f"`{key}` long, held_out boolean, score double, predicted int")
 
 
-_MEMOS: dict[str, dict] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
-def _memo(name: str) -> dict:
+def _memo(name: str) -> Memo:
     """Features of the words seen by this worker under the model whose features have this hash."""
     claim("toxicity", _MEMOS.clear)
     if name not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[name] = {"": ()}
+        _MEMOS[name] = Memo(MEMO_BYTES, 1 << 20)
     return _MEMOS[name]
 
 
