@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, html, text, web
 from .operators import evidence, linking, picks, policy, ranking
+from .operators.levels import chunk_parents
 from .plans import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,10 +432,9 @@ LEVEL_SQL = "l AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'us
 
 @query(f"WITH {LEVEL_SQL} SELECT conv_id, turn, CAST(level AS BIGINT) AS level, (SELECT max(p.turn) FROM l p WHERE p.conv_id = l.conv_id AND p.turn < l.turn AND p.level < l.level) AS parent FROM l")
 def record_tree(t):
-    from .sources.gedcom import parents
-
     level = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    rows = parents(t("conversations").select("conv_id", "turn", level.alias("level")), ["conv_id"], "turn", "level", 2)
+    rows = t("conversations").select("conv_id", "turn", F.col("turn").cast("long").alias("n"), level.alias("level"), F.lit(0).alias("chunk"))
+    rows = chunk_parents(rows.repartition("conv_id").sortWithinPartitions("conv_id", "n"), "conv_id", "chunk", "n", "level")
     return rows.select("conv_id", "turn", F.col("level").cast("long").alias("level"), "parent")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators.levels import chunk_parents
 from .plans import packets
 from .queries import query
 
@@ -84,3 +85,16 @@ def packet_lines(t):
 def packet_sources(t):
     people, _, links, manifest = _packet_tables(t)
     return packets.packet_sources(people, links, manifest, "expert_review_packet").select("person_id", "relative_path", "artifact_id", "privacy_label", "source_confidence")
+
+
+# The whole table is one tree: levels are taken from the texts, turns of all conversations follow each other.
+TREE_SQL = f"""rows AS (SELECT conv_id * 4096 + turn AS n, CASE WHEN turn = 0 AND conv_id % 5 = 0 THEN 0 ELSE 1 + length(text) % 8 END AS level FROM conversations),
+  below AS (SELECT n, level, {", ".join(f"max(CASE WHEN level < {k} THEN n END) OVER w AS b{k}" for k in range(1, 9))} FROM rows WINDOW w AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {TREE_SQL} SELECT n, CAST(level AS INTEGER) AS level, CASE level {" ".join(f"WHEN {k} THEN b{k}" for k in range(1, 9))} END AS parent, CASE level WHEN 0 THEN n ELSE b1 END AS root FROM below""")
+def tree_parents(t):
+    n = F.col("conv_id").cast("long") * 4096 + F.col("turn")
+    level = F.when((F.col("turn") == 0) & (F.col("conv_id") % 5 == 0), 0).otherwise(1 + F.length("text") % 8).cast("int")
+    rows = t("conversations").select(F.lit(0).alias("tree"), F.expr("conv_id div 16").alias("chunk"), n.alias("n"), level.alias("level"))
+    return chunk_parents(rows.repartition("chunk").sortWithinPartitions("chunk", "n"), "tree", "chunk", "n", "level").select("n", "level", "parent", "root")
