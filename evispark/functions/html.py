@@ -1,85 +1,112 @@
-"""Arrow UDFs for HTML and free text, where built-in functions cannot follow the grammar."""
+"""HTML pages and statements of birth.
+
+A page is parsed once, into a flat stream of events; title, text and addresses are read off it.
+Statements of birth are found with column functions; Python only folds accents.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Meta names of a page's source, and further marks of it in order.
 SOURCE_META = ("og:url", "twitter:url", "original-url", "source-url")
+SOURCE_MARKS = [r"(?i)<!--\s*saved from url=\(\d+\)(https?://[^ ]+)\s*-->", r'(?i)"url"\s*:\s*"(https?://[^"]+)"', r"""(?i)source_url\s*[:=]\s*["'](https?://[^"']+)["']"""]
+#: A statement of birth, words of relatives and of approximate dates, the mark of a
+#: biography, and how far each reaches, in characters.
+BIRTH = r"(?di)\b(?:was born|born)\b(?:(?!\b(?:18|19|20)\d\d\b).){0,60}((?:18|19|20)\d\d)\b(?!s)"
+RELATIVES = r"(?i)\b(son|daughter|mother|father|grandmother|grandfather)\b"
+APPROXIMATE = r"(?i)\b(about|around|probably|circa)\b"
+LEAD_MARK, LEAD, BEFORE, EXCERPT = " Bio ", 500, 90, 140
+
+OPEN, CLOSE, TEXT = range(3)
+Event = tuple[int, str, "dict[str, str] | str | None"]
 
 
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title: list[str] = []
-        self.text: list[str] = []
-        self.urls: set[str] = set()
-        self.source: str | None = None
-        self.hidden = 0
-        self.in_title = False
+class _Stream(HTMLParser):
+    """Events of a page: (OPEN, tag, attributes), (CLOSE, tag, None) and (TEXT, '', text)."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.events: list[Event] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag in ("script", "style"):
-            self.hidden += 1
-        self.in_title |= tag == "title"
-        named = tag == "meta" and (a.get("property") or a.get("name", "")).lower() in SOURCE_META
-        found = a.get("content") if named else a.get("href") if tag == "link" and "canonical" in a.get("rel", "").lower().split() else None
-        if found and self.source is None:
-            self.source = found.strip()
-        self.urls.update(v for k, v in a.items() if k in ("href", "src") and re.match("https?://", v))
+        self.events.append((OPEN, tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        self.in_title &= tag != "title"
+        self.events.append((CLOSE, tag, None))
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.text.append(data)
-            self.urls.update(u.rstrip(".,;)") for u in re.findall(r"https?://[^\s<>\"']+", data))
+        self.events.append((TEXT, "", data))
+
 
+def events(html: str) -> list[Event]:
+    stream = _Stream()
+    stream.feed(html)
+    stream.close()
+    return stream.events
 
-def _parse(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    return page
 
+def inside(stream: Iterable[Event], tags: tuple[str, ...], wanted: bool) -> Iterator[str]:
+    """Texts that stand inside (or outside) elements of the given tags."""
+    depth = 0
+    for kind, tag, value in stream:
+        if kind == TEXT:
+            if (depth > 0) == wanted:
+                yield value
+        elif tag in tags:
+            depth = max(depth + (1 if kind == OPEN else -1), 0)
 
-def _squeeze(parts: list[str]) -> str:
+
+def squeezed(parts: Iterable[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-@F.arrow_udf(T.StringType())
-def page_title(html: pa.Array) -> pa.Array:
-    """Title with white space collapsed; null if there is none."""
-    return pa.array([_squeeze(_parse(h).title) or None if h else None for h in html.to_pylist()], pa.string())
+def facts(html: str) -> dict:
+    """Title, visible text with it, the distinct canonical and og:url addresses, and the first source
+    that the page's head names."""
+    stream = events(html)
+    heads = [(tag, a) for kind, tag, a in stream if kind == OPEN and tag in ("link", "meta")]
+    declared = [a.get("href") or a.get("content", "") for tag, a in heads if (a.get("rel") == "canonical" if tag == "link" else a.get("property") == "og:url")]
+    named = [a.get("href") if tag == "link" else a.get("content") for tag, a in heads if (a.get("rel", "").lower() == "canonical" if tag == "link" else (a.get("property") or a.get("name", "")).lower() in SOURCE_META)]
+    return {
+        "title": squeezed(inside(stream, ("title",), True)) or None,
+        "text": squeezed(inside(stream, ("script", "style"), False)),
+        "urls": sorted({u for u in declared if u.startswith(("http://", "https://"))}),
+        "source": next((u for u in named if u), None),
+    }
 
 
-@F.arrow_udf(T.StringType())
-def page_source_url(html: pa.Array) -> pa.Array:
-    """First source or canonical URL that the page names."""
-    return pa.array([_parse(h).source for h in html.to_pylist()], pa.string())
+_FACTS = pa.struct([("title", pa.string()), ("text", pa.string()), ("urls", pa.list_(pa.string())), ("source", pa.string())])
 
 
-@F.arrow_udf(T.StringType())
-def visible_text(html: pa.Array) -> pa.Array:
-    """Text outside scripts, styles and the title, white space collapsed."""
-    return pa.array([None if h is None else _squeeze(_parse(h).text) for h in html.to_pylist()], pa.string())
+@F.arrow_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "text")] + [T.StructField("urls", T.ArrayType(T.StringType())), T.StructField("source", T.StringType())]))
+def page_facts(html: pa.Array) -> pa.Array:
+    """struct(title, text, urls, source) of a page, from one parse; null for null."""
+    return pa.array([None if h is None else facts(h) for h in html.to_pylist()], _FACTS)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def url_hints(html: pa.Array) -> pa.Array:
-    """Distinct http(s) URLs in links and text, sorted."""
-    return pa.array([sorted(_parse(h).urls) for h in html.to_pylist()], pa.list_(pa.string()))
+def page_title(html: Column) -> Column:
+    """Title with white space collapsed; null if there is none."""
+    return page_facts(html)["title"]
+
+
+def page_text(html: Column) -> Column:
+    """struct(text, urls): visible text, title included, and the page's own addresses, sorted."""
+    found = page_facts(html)
+    return F.when(found.isNotNull(), F.struct(found["text"].alias("text"), found["urls"].alias("urls")))
+
+
+def page_source_url(html: Column) -> Column:
+    """Source that the head names, else the first mark of a saved page; null if there is none."""
+    marks = [F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")) for pattern in SOURCE_MARKS]
+    return F.coalesce(page_facts(html)["source"], *marks)
 
 
 def fold(text: str) -> str:
@@ -92,102 +119,61 @@ def fold_accents(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else fold(t) for t in text.to_pylist()], pa.string())
 
 
-BORN = re.compile(r"\bborn\b[^.]{0,60}?\b(1[5-9]\d{2}|20\d{2})\b(?!s)")
-RELATIVE = re.compile(r"\b(mother|father|wife|husband|son|daughter|brother|sister|parents?|children)\b")
-
-
-def subject_birth_year(text: str | None, name: str | None, award_year: int | None) -> int | None:
-    """Year of the first birth statement about the subject.
-
-    A statement after a relative's mention in its sentence (90 characters back at most), a
-    decade, or the award year itself is skipped; the surname must stand near by or in the
-    opening of the text.
-    """
-    low, surname = fold(text or ""), (fold(name or "").split() or [""])[-1]
-    for m in BORN.finditer(low):
-        near = re.split(r"[.!?]", low[max(0, m.start() - 90) : m.start()])[-1]
-        year = int(m[1])
-        named = bool(surname) and (surname in near or surname in low[:500])
-        if year != award_year and not RELATIVE.search(near) and named:
-            return year
-    return None
-
-
-@F.arrow_udf(T.IntegerType())
-def subject_birth(text: pa.Array, name: pa.Array, award_year: pa.Array) -> pa.Array:
-    rows = zip(text.to_pylist(), name.to_pylist(), award_year.to_pylist())
-    return pa.array([subject_birth_year(*r) for r in rows], pa.int32())
-
-
-class _Declared(HTMLParser):
-    """Text of a page with its title, and the URLs that it declares to be its own."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.urls: set[str] = set()
-        self.skipping = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skipping += tag in ("script", "style")
-        a = dict(attrs)
-        own = (tag == "link" and a.get("rel") == "canonical") or (tag == "meta" and a.get("property") == "og:url")
-        url = (a.get("href") or a.get("content") or "") if own else ""
-        if re.match("https?://", url):
-            self.urls.add(url)
-
-    def handle_endtag(self, tag: str) -> None:
-        self.skipping = max(0, self.skipping - (tag in ("script", "style")))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def fold_all(texts: pa.Array) -> pa.Array:
+    return pa.array([None if row is None else [fold(t) for t in row] for row in texts.to_pylist()], pa.list_(pa.string()))
 
-    def handle_data(self, data: str) -> None:
-        if not self.skipping:
-            self.parts.append(data)
 
+def birth_candidates(text: Column) -> Column:
+    """array<struct(start, near, year)>: statements of a birth year in order, with the place of the
+    first character and the statement with up to BEFORE characters ahead of it."""
+    plain = F.translate(text, "\x01\x02", "  ")
+    split = F.struct(plain.alias("plain"), F.split(F.regexp_replace(plain, BIRTH, "\x01$0\x02"), "\x01").alias("pieces"))
 
-@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType()))]))
-def page_text(html: pa.Array) -> pa.Array:
-    """Visible text, title included, and the distinct canonical and og:url URLs, sorted; each page is
-    parsed once. Null for null."""
+    def candidate(s: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(s["sizes"], 1, i), F.lit(0), lambda a, n: a + n)
+        said = F.substring_index(F.get(s["pieces"], i), "\x02", 1)
+        first = F.greatest(start - BEFORE, F.lit(0))
+        near = F.substring(s["plain"], first + 1, start - first + F.length(said))
+        return F.struct(start.alias("start"), F.trim(F.regexp_replace(near, r"\s+", " ")).alias("near"), F.right(said, F.lit(4)).cast("int").alias("year"))
 
-    def read(body: str) -> dict:
-        page = _Declared()
-        page.feed(body)
-        page.close()
-        return {"text": _squeeze(page.parts), "urls": sorted(page.urls)}
+    def candidates(s: Column) -> Column:
+        sizes = F.transform(s["pieces"], lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+        sized = F.struct(s["plain"].alias("plain"), s["pieces"].alias("pieces"), sizes.alias("sizes"))
+        return _once(sized, lambda z: F.transform(F.sequence(F.lit(1), F.size(z["pieces"]) - 1), lambda i: candidate(z, i)))
 
-    kind = pa.struct([("text", pa.string()), ("urls", pa.list_(pa.string()))])
-    return pa.array([None if h is None else read(h) for h in html.to_pylist()], kind)
+    none = F.when(text.isNotNull(), F.array().cast("array<struct<start:int,near:string,year:int>>"))
+    return F.when(text.rlike(BIRTH), _once(split, candidates)).otherwise(none)
 
 
-# Words of a birth statement, of relatives and of approximate dates; the mark of a
-# biography; and how far each reaches, in characters.
-BIRTH = re.compile(r"\b(?:was born|born)\b(?:(?!\b(?:18|19|20)\d\d\b).){0,60}((?:18|19|20)\d\d)\b(?!s)", re.I)
-RELATED = re.compile(r"\b(son|daughter|mother|father|grandmother|grandfather)\b", re.I)
-APPROXIMATE = re.compile(r"\b(about|around|probably|circa)\b", re.I)
-LEAD_MARK, LEAD, BEFORE = " Bio ", 500, 90
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-@F.arrow_udf(T.StructType([T.StructField("birth_year", T.IntegerType()), T.StructField("approximate", T.BooleanType()), T.StructField("excerpt", T.StringType())]))
-def birth_statement(text: pa.Array, name: pa.Array, award_year: pa.Array) -> pa.Array:
-    """First statement of the subject's birth year; null if there is none.
+def birth_statement(text: Column | str, name: Column | str, award_year: Column | str) -> Column:
+    """struct(birth_year, approximate, excerpt): the first statement of the subject's birth year; null
+    if there is none.
 
-    A statement is the subject's if no relative stands before it in its window and the surname is
-    in the window or the statement is in the biography's lead. The award year counts only where
-    the text says that the subject was born in it; decades do not count.
+    A statement is the subject's if no relative is named before it in its window and the surname
+    stands in the window or the statement in the biography's lead. The award year counts only where
+    the text says "born in" it; decades do not count.
     """
-
-    def own(text: str, surname: str, award: int | None):
-        lead = text.find(LEAD_MARK)
-        for m in BIRTH.finditer(text):
-            near = " ".join(text[max(0, m.start() - BEFORE) : m.end()].split())
-            ahead = near[: near.lower().rindex("born")]
-            year = int(m[1])
-            in_lead = 0 <= lead <= m.start() <= lead + LEAD
-            theirs = not surname or in_lead or surname in fold(near)
-            if theirs and not RELATED.search(ahead) and (year != award or f"born in {year}" in near.lower()):
-                return {"birth_year": year, "approximate": bool(APPROXIMATE.search(near)), "excerpt": near[-140:]}
-        return None
-
-    kind = pa.struct([("birth_year", pa.int32()), ("approximate", pa.bool_()), ("excerpt", pa.string())])
-    rows = zip(text.to_pylist(), name.to_pylist(), award_year.to_pylist())
-    return pa.array([None if t is None else own(t, (re.findall("[a-z]+", fold(n or "")) or [""])[-1], a) for t, n, a in rows], kind)
+    text, name, award = (F.col(c) if isinstance(c, str) else c for c in (text, name, award_year))
+    found = birth_candidates(text)
+    surname = F.regexp_extract(fold_accents(F.coalesce(name, F.lit(""))), "([a-z]+)[^a-z]*$", 1)
+    ahead_of = F.regexp_extract_all(text, F.lit(r"(?di)\b(?=was born|born)(?<=(\A[\s\S]{0,%d}|[\s\S]{%d}))" % (BEFORE - 1, BEFORE) + BIRTH.removeprefix("(?di)")), F.lit(1))
+    folded = fold_all(F.zip_with(ahead_of, F.regexp_extract_all(text, F.lit(BIRTH), F.lit(0)), lambda a, m: F.concat(a, m)))  # no lambda in a lambda: Python takes none
+    lead = F.instr(text, LEAD_MARK) - 1
+
+    def own(c: Column) -> Column:
+        near, start = c["c"]["near"], c["c"]["start"]
+        ahead = F.regexp_extract(near, "(?is)^(.*)born", 1)
+        in_lead = (lead >= 0) & start.between(lead, lead + LEAD)
+        awarded = (c["c"]["year"] == award) & ~F.contains(F.lower(near), F.concat(F.lit("born in "), award.cast("string")))
+        return ~ahead.rlike(RELATIVES) & ((c["surname"] == "") | in_lead | F.contains(c["folded"], c["surname"])) & ~F.coalesce(awarded, F.lit(False))
+
+    rows = F.arrays_zip(found.alias("c"), folded.alias("folded"), F.array_repeat(surname, F.size(found)).alias("surname"))  # lambdas hold no Python
+    first = F.get(F.filter(rows, own), F.lit(0))["c"]
+    value = F.struct(first["year"].alias("birth_year"), first["near"].rlike(APPROXIMATE).alias("approximate"), F.right(first["near"], F.lit(EXCERPT)).alias("excerpt"))
+    return F.when(first.isNotNull(), value)

@@ -339,16 +339,6 @@ def html_title(t):
     return t("pages").select("page_id", html.page_title(F.col("html")).alias("title"))
 
 
-@query()
-def html_visible_text(t):
-    return t("pages").select("page_id", html.visible_text(F.col("html")).alias("text"), F.array_join(html.url_hints(F.col("html")), " ").alias("urls"), html.page_source_url(F.col("html")).alias("source_url"))
-
-
-@query()
-def subject_birth_year(t):
-    return t("documents").select("doc_id", html.subject_birth(F.col("text"), F.col("source"), F.lit(1990)).alias("birth_year"))
-
-
 @query("SELECT o_orderkey, year(o_orderdate) BETWEEN 1996 AND 1999 AS overlaps FROM orders")
 def year_overlap(t):
     years = text.years(F.concat(F.lit("paper of "), F.year("o_orderdate").cast("string"), F.lit(".")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import html
 from .operators.levels import chunk_parents
 from .plans import packets
 from .queries import query
@@ -98,3 +99,29 @@ def tree_parents(t):
     level = F.when((F.col("turn") == 0) & (F.col("conv_id") % 5 == 0), 0).otherwise(1 + F.length("text") % 8).cast("int")
     rows = t("conversations").select(F.lit(0).alias("tree"), F.expr("conv_id div 16").alias("chunk"), n.alias("n"), level.alias("level"))
     return chunk_parents(rows.repartition("chunk").sortWithinPartitions("chunk", "n"), "tree", "chunk", "n", "level").select("n", "level", "parent", "root")
+
+
+# Pages of the given kind hold no nested scripts, so that a few replacements give their text.
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>[\s\S]*?</script>', ' ', 'g'), '<style[^>]*>[\s\S]*?</style>', ' ', 'g') AS h, html FROM pages)
+  SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '<!--[\s\S]*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS text FROM p""")
+def page_facts(t):
+    return t("pages").select("page_id", html.page_facts("html").alias("p")).select("page_id", "p.title", "p.text")
+
+
+# Statements of birth stand inside the given texts: k decides who was born, the year comes from the row.
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k, 1850 + CAST(doc_id % 140 AS INTEGER) AS y, n_chars FROM documents WHERE NOT regexp_matches(text, '(?i)born|bio') OR text IS NULL)
+  SELECT doc_id, CASE WHEN k IN (0, 4) OR (k = 3 AND n_chars % 2 = 0) THEN y END AS birth_year, CASE WHEN k IN (0, 4) OR (k = 3 AND n_chars % 2 = 0) THEN k = 4 END AS approximate FROM d""")
+def birth_in_text(t):
+    k, year = F.col("doc_id") % 6, (1850 + F.col("doc_id") % 140).cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit(". Ann Álpha was born in "), year))
+        .when(k == 1, F.concat(F.lit(". Alpha's mother was born in "), year))
+        .when(k == 2, F.concat(F.lit(". Ann Alpha was born in the "), F.substring(year, 1, 3), F.lit("0s")))
+        .when(k == 3, F.concat(F.when(F.col("n_chars") % 2 == 0, " Bio ").otherwise(" Life "), F.repeat(F.lit("word "), 40), F.lit("was born in "), year))
+        .when(k == 4, F.concat(F.lit(". Alpha was born circa "), year))
+        .otherwise(F.concat(F.lit(". Bob Beta was born in "), year))
+    )
+    rows = t("documents").where("text is null or not rlike(text, '(?i)born|bio')")
+    told = F.concat(F.coalesce("text", F.lit("")), said, F.lit(". "), F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", html.birth_statement(told, F.lit("Ann Alpha"), F.lit(2012)).alias("b")).select("doc_id", "b.birth_year", "b.approximate")

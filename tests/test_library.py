@@ -246,10 +246,10 @@ def test_text_and_web(spark):
     assert column(spark, ["https://x.org/a", "https://u@x.org", "http://x.org", "https://x.org/?q", "no url", None], "string", web.clean_url) == [True, False, False, False, False, False]
     assert column(spark, ["https://x.org/a?b=1", "https://x.org/?token=1", "http://127.0.0.1/", "http://host/", "ftp://x.org"], "string", web.public_url) == [True, False, False, False, False]
     assert column(spark, ["It proves kinship.", "It cannot prove kinship.", None], "string", web.prohibited_claim) == [True, False, False]
-    assert html.subject_birth_year("Her mother was born in 1900. Ann Álpha was born in 1931.", "Ann Alpha", None) == 1931
-    assert html.subject_birth_year("Alpha, born in the 1930s", "Ann Alpha", None) is None
+    told = spark.createDataFrame([("Her mother was born in 1900. " + "x " * 50 + "Ann Álpha was born in 1931.", "Ann Alpha", None), ("Alpha, born in the 1930s", "Ann Alpha", None)], "t string, n string, y int")
+    assert [r[0] and r[0].birth_year for r in told.select(html.birth_statement("t", "n", "y")).collect()] == [1931, None]
     page = spark.createDataFrame([("<p>a<script>x</script> b</p><a href='https://q.org/1'>c</a>",)], "h string")
-    assert page.select(html.visible_text("h"), html.url_hints("h")).first()[:] == ("a b c", ["https://q.org/1"])
+    assert page.select(html.page_text(F.col("h"))["text"]).first()[0] == "a b c"
 
 
 def test_longest_prefix_and_queue(spark):

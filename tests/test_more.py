@@ -98,7 +98,7 @@ def test_context_ties_and_unprefixed(spark):
 
 def test_page_and_birth_edges(spark):
     df = spark.createDataFrame([(None,), ("",)], "h string")
-    assert [r[0] for r in df.select(html.page_text("h")).collect()][0] is None
+    assert [r[0] for r in df.select(html.page_text(F.col("h"))).collect()][0] is None
     said = spark.createDataFrame([(None, "A B", None), ("was born in 1990 and honored", "", 1990), ("B, born 1990 ", "A B", 1990)], "t string, n string, y int")
     got = [r[0] for r in said.select(html.birth_statement("t", "n", "y")).collect()]
     assert got[0] is None and got[1].birth_year == 1990 and got[2] is None
