@@ -6,19 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that distinct values are cut into; a table of them is one row.
+RANGES = 256
+
+
+def sums_above(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add ``<s>_above`` for each of ``sums``: its sum over the rows of larger ``value`` (a number, date
+    or time; distinct within ``by``).
+
+    Values are cut into ranges at approximate quantiles. Rows of a range are summed by a window of
+    their own; what lies in higher ranges comes from one row that holds each range's total. Without
+    ``by`` no task sees all values.
+    """
+    if by:
+        above = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("*", *(F.coalesce(F.sum(s).over(above), F.lit(0)).alias(f"{s}_above") for s in sums))
+    edges = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("edges_"))
+    edges = edges.select(F.array_sort(F.array_distinct("edges_")).alias("edges_"))
+    rows = counts.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("edges_", lambda e: e <= F.col(value)))).drop("edges_")  # one row of RANGES numbers
+    totals = rows.groupBy("range_").agg(*(F.sum(s).alias(s) for s in sums)).agg(F.collect_list(F.struct("range_", *sums)).alias("totals_"))  # at most RANGES entries
+    higher = lambda s: F.aggregate(F.filter("totals_", lambda x: x["range_"] > F.col("range_")), F.lit(0).cast("long"), lambda a, x: a + x[s])
+    within = Window.partitionBy("range_").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.crossJoin(F.broadcast(totals)).select("*", *((F.coalesce(F.sum(s).over(within), F.lit(0)) + higher(s)).alias(f"{s}_above") for s in sums))
+    return out.drop("range_", "totals_")
+
+
 def rank_envelope(df: DataFrame, lower: str, upper: str, exclusive: str | None = None) -> DataFrame:
     """Add ``rank_min`` and ``rank_max``.
 
     Another row is surely ahead if its lower bound is above one's upper bound (or equal to an
     exclusive one), and possibly ahead if its upper bound is null or above one's lower bound.
-    Bounds are counted by distinct value and summed from above over those counts, which are
-    joined back: no row meets all others. A row does not count itself.
+    Bounds are counted by distinct value and summed from above over those counts by ranges, and
+    joined back: no row meets all others, and no task all values. A row does not count itself.
     """
     ex = F.coalesce(F.col(exclusive), F.lit(False)) if exclusive else F.lit(False)
-    above = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = df.select(F.col(lower).alias("v"), F.lit(1).alias("lo"), F.lit(0).alias("up")).unionAll(df.select(F.col(upper), F.lit(0), F.lit(1)))
     counts = values.where("v is not null").groupBy("v").agg(F.sum("lo").alias("lo"), F.sum("up").alias("up"))
-    sums = counts.select("v", (F.sum("lo").over(above) - F.col("lo")).alias("lo_above"), F.col("lo").alias("lo_at"), (F.sum("up").over(above) - F.col("up")).alias("up_above"))
+    sums = sums_above(counts, "v", ["lo", "up"]).withColumnRenamed("lo", "lo_at")
     unbounded = df.agg(F.count_if(F.col(upper).isNull()).alias("n_unbounded"))
     by_upper = sums.select(F.col("v").alias(upper), F.col("lo_above").alias("u_above"), F.col("lo_at").alias("u_at"))
     by_lower = sums.select(F.col("v").alias(lower), F.col("up_above").alias("l_above"))
@@ -31,12 +55,11 @@ def rank_envelope(df: DataFrame, lower: str, upper: str, exclusive: str | None =
 
 
 def competition_rank(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Add ``rank``: 1 + number of rows above; ties share. Counted by distinct value, so only the
-    distinct values are sorted in one place."""
+    """Add ``rank``: 1 + number of rows above; ties share. Counted by distinct value, so that only
+    the distinct values of a group are sorted together; without groups they are summed by ranges."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) + 1).alias("rank"))
+    counts = sums_above(df.groupBy(*by, value).agg(F.count("*").alias("n_")), value, ["n_"], by)
+    ranks = counts.select(*by, value, (F.col("n__above") + 1).alias("rank"))
     return df.join(ranks, [*by, value])
 
 

@@ -8,6 +8,7 @@ from .functions import html
 from .operators.levels import chunk_parents
 from .plans import packets
 from .queries import query
+from .sources import archives
 
 
 def _text(c):
@@ -125,3 +126,16 @@ def birth_in_text(t):
     rows = t("documents").where("text is null or not rlike(text, '(?i)born|bio')")
     told = F.concat(F.coalesce("text", F.lit("")), said, F.lit(". "), F.coalesce("text", F.lit("")))
     return rows.select("doc_id", html.birth_statement(told, F.lit("Ann Alpha"), F.lit(2012)).alias("b")).select("doc_id", "b.birth_year", "b.approximate")
+
+
+# Files lie by language below the manifest's folder, beside it, at the path itself or in a neighbouring folder.
+@query("""WITH f AS (SELECT DISTINCT CASE lang WHEN 'en' THEN '/r/out/' WHEN 'fr' THEN '/r/' WHEN 'de' THEN '' ELSE '/r/s' || doc_id % 3 || '/' END || source || '/' || n_chars || '.txt' AS path FROM documents),
+  w AS (SELECT doc_id, source || '/' || n_chars || '.txt' AS rel FROM documents),
+  c AS (SELECT doc_id, 0 AS tier, path FROM w JOIN f ON path = '/r/out/' || rel UNION ALL SELECT doc_id, 1, path FROM w JOIN f ON path = '/r/' || rel UNION ALL SELECT doc_id, 2, path FROM w JOIN f ON path = rel
+    UNION ALL SELECT doc_id, 3, path FROM w JOIN f ON path LIKE '/r/%' AND regexp_replace(path, '^/r/[^/]*/', '') = rel)
+  SELECT doc_id, arg_min(path, (tier, path)) AS local_path, min(tier) AS tier FROM w LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
+def nearest_places(t):
+    docs = t("documents").withColumn("relative_path", F.concat("source", F.lit("/"), _text("n_chars"), F.lit(".txt")))
+    place = F.when(F.col("lang") == "en", "/r/out/").when(F.col("lang") == "fr", "/r/").when(F.col("lang") == "de", "").otherwise(F.concat(F.lit("/r/s"), (F.col("doc_id") % 3).cast("string"), F.lit("/")))
+    wanted = docs.select("doc_id", F.lit("/r/out/manifest.json").alias("manifest_path"), "relative_path")
+    return archives.nearest_places(wanted, docs.select(F.concat(place, "relative_path").alias("path")), siblings=True).select("doc_id", "local_path", "tier")
