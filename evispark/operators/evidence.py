@@ -17,11 +17,11 @@ def identity_merge(df: DataFrame, key: str, order: str, exact: list[str], aliase
     A null in the first row is neither a conflict nor filled in.
     """
     firsts = F.min_by(F.struct(*exact), order).alias("_f")
-    kinds = [F.collect_set(c).alias(f"_s_{c}") for c in exact]
+    kinds = [(F.min(c) != F.max(c)).alias(f"_s_{c}") for c in exact]  # nulls aside
     merged = df.groupBy(key).agg(firsts, *kinds, F.array_sort(F.collect_set(aliases)).alias("aliases"), F.count("*").alias("n_rows"))
     conflict = F.lit(False)
     for c in exact:
-        conflict = conflict | (F.col(f"_f.{c}").isNotNull() & (F.size(f"_s_{c}") > 1))
+        conflict = conflict | (F.col(f"_f.{c}").isNotNull() & F.coalesce(F.col(f"_s_{c}"), F.lit(False)))
     return merged.select(key, *[F.col(f"_f.{c}").alias(c) for c in exact], conflict.alias("conflict"), "aliases", "n_rows")
 
 
@@ -109,6 +109,19 @@ def dangling(child: DataFrame, child_key: str, parent: DataFrame, parent_key: st
     return rows.join(keys, F.col("_c") == F.col("_p"), "left_anti").select(F.col("_c").cast("string").alias("record_id"), F.lit(code).alias("code"), F.lit("blocker").alias("severity"))
 
 
+def differing_fields(df: DataFrame, key: str, register: str, fields: list[str]) -> DataFrame:
+    """``key``, ``n_registers`` and ``fields``: the names, in the given order, of the fields in which the
+    records of a key differ, for keys that several registers declare. A null differs from any value.
+
+    Each field's state is its smallest and largest value and its number of values, whatever the
+    number of records.
+    """
+    same = [((F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))) | (F.count(c) == 0) for c in fields]
+    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(register).alias("n_registers"), *(F.coalesce(s, F.lit(False)).alias(f"same_{i}") for i, s in enumerate(same)))
+    names = F.array_compact(F.array(*(F.when(~F.col(f"same_{i}"), F.lit(c)) for i, c in enumerate(fields))))
+    return out.where("n_registers > 1").select(key, "n_registers", names.alias("fields"))
+
+
 def declaring_registers(declared: DataFrame, key: str, register: str) -> DataFrame:
     """Registers that declare each id, and whether it is cross-listed (in two registers or more)."""
     out = declared.groupBy(key).agg(F.array_sort(F.collect_set(register)).alias("_r"), F.count("*").alias("n_records"))

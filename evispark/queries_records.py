@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import html
+from .operators import evidence, intervals, parity, ranking, terms
 from .operators.levels import chunk_parents
 from .plans import packets
 from .queries import query
@@ -139,3 +140,58 @@ def nearest_places(t):
     place = F.when(F.col("lang") == "en", "/r/out/").when(F.col("lang") == "fr", "/r/").when(F.col("lang") == "de", "").otherwise(F.concat(F.lit("/r/s"), (F.col("doc_id") % 3).cast("string"), F.lit("/")))
     wanted = docs.select("doc_id", F.lit("/r/out/manifest.json").alias("manifest_path"), "relative_path")
     return archives.nearest_places(wanted, docs.select(F.concat(place, "relative_path").alias("path")), siblings=True).select("doc_id", "local_path", "tier")
+
+
+# The workbook holds dates as serial numbers and whole numbers with a fraction; some of its cells are changed, rows lack and repeat.
+@query("""WITH w AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS customer, CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM orders)
+  SELECT n AS place, 'day' AS "column", CAST(CAST(day AS DATE) + 1 AS VARCHAR) AS "left", day AS "right" FROM w WHERE n % 997 = 3
+  UNION ALL SELECT n, 'status', '', status FROM w WHERE n % 991 = 5 UNION ALL SELECT n, 'customer', customer || '.5', customer FROM w WHERE n % 983 = 7
+  UNION ALL SELECT n, '<row>', '0', '1' FROM w WHERE n % 4999 = 11 AND n % 983 <> 7 AND n % 991 <> 5 AND n % 997 <> 3 UNION ALL SELECT n, '<row>', '1', '2' FROM w WHERE n % 4993 = 13 AND n % 983 <> 7 AND n % 991 <> 5 AND n % 997 <> 3""")
+def workbook_parity(t):
+    ranked = ranking.competition_rank(t("orders").select("o_orderkey"), "o_orderkey").join(t("orders"), "o_orderkey")
+    total = t("orders").agg(F.count("*").alias("total"))  # one row
+    rows = ranked.crossJoin(F.broadcast(total)).select((F.col("total") - F.col("rank")).alias("n"), F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus", "o_custkey")
+    n, plain = F.col("n"), (F.col("n") % 983 != 7) & (F.col("n") % 991 != 5) & (F.col("n") % 997 != 3)
+    serial = F.date_diff("d", F.lit(parity.SERIAL_DAY)) + F.when(n % 997 == 3, 1).otherwise(0)
+    cells = {
+        "day": (F.lit("number"), F.concat(serial.cast("string"), F.lit(".0")), True), "status": (F.lit("text"), F.when(n % 991 != 5, F.col("o_orderstatus")), False),
+        "customer": (F.lit("number"), F.concat(_text("o_custkey"), F.when(n % 983 == 7, ".5").otherwise(".0")), False), "even": (F.lit("boolean"), (F.col("o_custkey") % 2 == 0).cast("string"), False),
+    }
+    book = rows.where(~plain | (n % 4999 != 11)).select("n", *(parity.cell_text(*cell).alias(name) for name, cell in cells.items()))
+    listed = rows.withColumn("copy", F.explode(F.when(plain & (n % 4993 == 13), F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    listed = listed.select("n", _text("d").alias("day"), F.col("o_orderstatus").alias("status"), _text("o_custkey").alias("customer"), F.initcap((F.col("o_custkey") % 2 == 0).cast("string")).alias("even"))
+    return parity.table_differences(book, listed, "n", list(cells)).withColumnRenamed("n", "place")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS a, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) - 2 END AS b FROM orders),
+  s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 50 <> 7 THEN DATE '1992-01-01' + CAST(s_suppkey * 23 AS INTEGER) END AS c, CASE WHEN s_suppkey % 50 <> 9 THEN DATE '1992-01-01' + CAST(s_suppkey * 23 + s_suppkey % 7 AS INTEGER) END AS d FROM supplier)
+  SELECT o_orderkey, s_suppkey FROM o JOIN s ON (a IS NULL OR d IS NULL OR a <= d) AND (c IS NULL OR b IS NULL OR c <= b) AND (a IS NULL OR b IS NULL OR a <= b)""")
+def interval_overlaps(t):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    orders = t("orders").select("o_orderkey", F.when(k % 11 != 0, day).alias("a"), F.when(k % 13 != 0, F.date_add(day, (k % 40 - 2).cast("int"))).alias("b"))
+    s, first = F.col("s_suppkey"), F.lit("1992-01-01").cast("date")
+    spans = t("supplier").select("s_suppkey", F.when(s % 50 != 7, F.date_add(first, (s * 23).cast("int"))).alias("c"), F.when(s % 50 != 9, F.date_add(first, (s * 23 + s % 7).cast("int"))).alias("d"))
+    return intervals.overlap_join(orders, spans, ("a", "b"), ("c", "d")).select("o_orderkey", "s_suppkey")
+
+
+SYLLABLES = ["sou", "xq", "th", "er", "eau", "an", "re"]
+TERMS = [a + b + c + d for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES for d in SYLLABLES] + [f"Forbidden-{i}" for i in range(2599)]
+_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SYLLABLES))
+
+
+@query(f"""WITH s(i, s) AS (VALUES {_VALUES}), t AS (SELECT ((a.i * 7 + b.i) * 7 + c.i) * 7 + d.i AS i, a.s || b.s || c.s || d.s AS term FROM s a, s b, s c, s d),
+  x AS (SELECT 'd/' || source || '/' || doc_id || '.txt' AS location, lower(text) AS text FROM documents WHERE octet_length(encode(text)) <= 2097152)
+  SELECT location, 'file_content' AS kind, arg_min(term, i) AS term FROM x JOIN t ON contains(text, term) GROUP BY location
+  UNION ALL SELECT 'git remote -v', 'remote', 'Forbidden-' || left(CAST(s_suppkey AS VARCHAR), 1) FROM supplier""")
+def boundary_findings(t):
+    docs = t("documents").select(F.concat(F.lit("d/"), "source", F.lit("/"), _text("doc_id"), F.lit(".txt")).alias("path"), "text")
+    remotes = t("supplier").select(F.concat(F.lit("origin https://FORBIDDEN-"), _text("s_suppkey"), F.lit("-x forbidden-"), _text("s_suppkey"), F.lit(" (push)")).alias("line"))
+    return terms.boundary_findings(docs.select("path"), docs, remotes, TERMS)
+
+
+@query("""WITH r AS (SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS reg, event_type AS title, CASE WHEN value > 5 THEN 'r' END AS role, CASE WHEN user_id % 3 = 0 THEN event_id % 2 END AS url FROM events)
+  SELECT id, count(DISTINCT reg) AS n_registers, concat_ws(',', CASE WHEN count(DISTINCT title) > 1 THEN 'title' END, CASE WHEN count(role) BETWEEN 1 AND count(*) - 1 THEN 'role' END, CASE WHEN count(DISTINCT url) > 1 THEN 'url' END) AS fields FROM r GROUP BY id HAVING count(DISTINCT reg) > 1""")
+def differing_fields(t):
+    register = F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")
+    rows = t("events").select(F.col("user_id").alias("id"), register.alias("register"), F.col("event_type").alias("title"), F.when(F.col("value") > 5, "r").alias("role"), F.when(F.col("user_id") % 3 == 0, F.col("event_id") % 2).alias("url"))
+    return evidence.differing_fields(rows, "id", "register", ["title", "role", "url"]).withColumn("fields", F.array_join("fields", ","))

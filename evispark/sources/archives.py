@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,16 +49,18 @@ class Folder(InputPartition):
 
 class FolderReader(DataSourceReader):
     """Options: ``excluded`` (names, separated by commas), ``depth`` (levels of folders that the driver
-    lists to split the work; each folder below is listed by one task), ``hash`` (false: no digests)."""
+    lists to split the work; each folder below is listed by one task), ``hash`` (false: no digests),
+    ``links`` (false: local symbolic links are passed over)."""
 
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
         self.excluded = frozenset(n for n in options.get("excluded", ",".join(EXCLUDED)).split(",") if n)
         self.depth = int(options.get("depth", 1))
         self.hash = options.get("hash", "true").lower() != "false"
+        self.links = options.get("links", "true").lower() != "false"
 
     def _skips(self, path: str) -> bool:
-        return not self.excluded.isdisjoint(path.split("/"))
+        return not self.excluded.isdisjoint(path.split("/")) or (not self.links and os.path.islink(path))
 
     def partitions(self) -> list[Folder]:
         system, root = open_fs(self.root)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import artifact_id, category, extension
+from ..operators.policy import DEFAULT_CONFIDENCE, DEFAULT_LABEL
 
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv")
 
@@ -34,7 +35,7 @@ def scan_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLU
     return rows.where(~F.arrays_overlap("_p", F.array(*map(F.lit, excluded)))).drop("_p")
 
 
-def manifest(files: DataFrame, label: str = "private_family_only", confidence: str = "unreviewed") -> DataFrame:
+def manifest(files: DataFrame, label: str = DEFAULT_LABEL, confidence: str = DEFAULT_CONFIDENCE) -> DataFrame:
     """One manifest row per scanned file."""
     name = F.element_at(F.split("relative_path", "/"), -1)
     ext = extension(F.col("relative_path"))

@@ -37,17 +37,22 @@ def test_evidence_folder_and_import(spark, tmp_path):
 def test_tracked_paths_and_inventory(spark, tmp_path):
     repo = tmp_path / "repo"
     (repo / "sub").mkdir(parents=True)
-    (repo / "sub" / "a.txt").write_text("a")
+    (repo / "sub" / "a.HTML").write_text("<title>T</title><link rel='canonical' href='https://x.org/'>a")
     (repo / "b.bin").write_text("b")
-    assert [r.path for r in stores.tracked_paths(spark, str(repo)).collect()] == ["b.bin", "sub/a.txt"]
+    assert [r.path for r in stores.tracked_paths(spark, str(repo)).collect()] == ["b.bin", "sub/a.HTML"]
     subprocess.run(["git", "init", "-q"], cwd=repo, check=True)
     subprocess.run(["git", "add", "b.bin"], cwd=repo, check=True)
     assert [r.path for r in stores.tracked_paths(spark, str(repo)).collect()] == ["b.bin"]
-    (tmp_path / "secret.txt").write_text("s")
-    (repo / "link.txt").symlink_to(tmp_path / "secret.txt")
+    (tmp_path / "secret.pdf").write_text("s")
+    (repo / "link.pdf").symlink_to(tmp_path / "secret.pdf")
+    (repo / ".scan.PNG").write_text("png")
+    (repo / "notes.txt").write_text("not a type of the inventory")
     found, receipts = stores.private_inventory(spark, {"r": str(repo), "none": str(tmp_path / "none")})
-    assert [(r.root_id, r.relative_path, r.size_bytes) for r in found.collect()] == [("r", "sub/a.txt", 1)]
-    assert sorted(map(tuple, receipts.collect())) == [("none", False), ("r", True)]
+    rows = {r.relative_path: r for r in found.collect()}
+    assert sorted(rows) == [".scan.PNG", "sub/a.HTML"] and {r.privacy_label for r in rows.values()} == {"do_not_share"}
+    assert (rows["sub/a.HTML"].extracted_text, rows["sub/a.HTML"].source_url_hints, rows[".scan.PNG"].extracted_text) == ("T a", ["https://x.org/"], None)
+    assert rows[".scan.PNG"].artifact_id == rows[".scan.PNG"].sha256[:24] and rows[".scan.PNG"].format == ".png"
+    assert sorted(map(tuple, receipts.collect())) == [("none", "FileNotFoundError"), ("r", "inventoried")]
 
 
 def test_workbook(spark, tmp_path):
