@@ -31,13 +31,15 @@ def give_back() -> None:
 
 
 class Memo:
-    """Values by word, kept from a word's second appearance on until their bytes reach a bound.
+    """Values by word, the first that come until their bytes reach a bound.
 
-    Most distinct words of a corpus come once; they leave a byte in a table of ``marks`` and
-    nothing else. Words that share a mark are kept at their first appearance.
+    With ``marks`` (a power of two), a word is kept from its second appearance on: most distinct
+    words of a corpus come once, and then leave a byte in a table of so many marks and nothing
+    else. That makes more of a small memo, but every word is worked out twice. Words that share a
+    mark are kept at their first appearance.
     """
 
-    def __init__(self, most_bytes: int, marks: int = 1 << 22):
+    def __init__(self, most_bytes: int, marks: int = 0):
         self.most, self.used = most_bytes, 0
         self.words: dict[str, object] = {}
         self.seen = bytearray(marks)
@@ -49,11 +51,15 @@ class Memo:
         """Keep values; 190 bytes are what Python itself takes for an entry."""
         if self.used >= self.most:
             return
-        seen, mask = self.seen, len(self.seen) - 1
-        for word, value in values.items():
-            at = hash(word) & mask
-            if seen[at]:
-                self.words[word] = value
-                self.used += len(word) + 4 * len(value) + 190
-            else:
-                seen[at] = 1
+        if self.seen:
+            seen, mask = self.seen, len(self.seen) - 1
+            kept = {}
+            for word, value in values.items():
+                at = hash(word) & mask
+                if seen[at]:
+                    kept[word] = value
+                else:
+                    seen[at] = 1
+            values = kept
+        self.words.update(values)
+        self.used += sum(map(len, values)) + sum(map(len, values.values())) + 190 * len(values)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import group_starts, slices, whole_groups
 from .store import bound_batches, materialize, partitions
-from .tokens import encoder
+from .tokens import MEMO_BYTES, encoder
 
 #: Length classes of a sequence.
 UNITS = 128
@@ -110,7 +110,7 @@ def plan_patterns(demand: dict[int, int], capacity: int = UNITS) -> list[tuple[d
     return plan
 
 
-def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, end_id: int, length: int, kept: int) -> DataFrame:
+def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, end_id: int, length: int, kept: int, memo_bytes: int) -> DataFrame:
     """A row per document: its token count, checksums of its full cuts and of its rest, and,
     in the first ``kept`` lanes, the rest's ids."""
     unit = length // UNITS
@@ -118,7 +118,7 @@ def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, spaces: bool, e
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaces, end_id)
+        enc = encoder(tokenizer, spaces, end_id, memo_bytes)
         for batch in (part for whole in batches for part in slices(whole, 3)):
             rows = []
             for k, uid, lane, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
@@ -148,7 +148,7 @@ def _running(df: DataFrame, value: str, part: str, order: str, name: str, within
     return inside.join(base, [*group, part]).withColumn(name, F.col("base") + F.col("inside")).drop("base", "inside")
 
 
-def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "doc_id", text: str = "text", length: int = 4096) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "doc_id", text: str = "text", length: int = 4096, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` tokens.
 
     Returns ``key``, ``start`` (ids of the document before the piece), ``length``, ``ids_crc32``,
@@ -164,7 +164,7 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, key: str = "d
     some = F.coalesce("rest", F.lit(0)) > 0  # kept from the Parquet reader, which was seen to stall on this filter once
     kept = LANES
     while True:
-        docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length, kept), "packing-docs")
+        docs = materialize(_encoded(df, key, text, tokenizer, spaces, end_id, length, kept, memo_bytes), "packing-docs")
         histogram = docs.where(some).groupBy("cls", F.least("lane", F.lit(kept)).alias("lane")).agg(F.count("*").alias("c"), F.sum("rest").alias("t")).collect()
         tokens = sum(r.t for r in histogram)
         gaps = sum(r.c * r.cls * unit - r.t for r in histogram) + 0.004 * tokens
@@ -274,8 +274,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """``docs`` packed with the 49k word vocabulary."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), False, 2)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), False, 2, memo_bytes=memo_bytes)

@@ -17,8 +17,11 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from .memory import Memo, claim  # noqa: E402
 
-#: Bytes of the words a worker remembers. Others are encoded each time they come.
-MEMO_BYTES = 72 << 20
+#: Bytes of the words a worker remembers, where its memory is this operator's alone, and where other
+#: operators run before and after it in the same workers. Other words are encoded each time they come.
+MEMO_BYTES, SHARED_MEMO_BYTES = 160 << 20, 72 << 20
+#: Marks of a memo below MEMO_BYTES.
+MARKS = 1 << 22
 ODD_SPACE = re.compile(r" \s")
 WORD_START = re.compile(r" (?=\S)")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -31,12 +34,12 @@ class TextEncoder:
     white space only separates words. ``end_id`` is put after each text.
     """
 
-    def __init__(self, path: str, spaces: bool, end_id: int | None = None):
+    def __init__(self, path: str, spaces: bool, end_id: int | None = None, memo_bytes: int = MEMO_BYTES):
         self.library = Tokenizer.from_file(path)
         self.spaces = spaces
         self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = Memo(MEMO_BYTES)
+        self.memo = Memo(memo_bytes, MARKS if memo_bytes < MEMO_BYTES else 0)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -75,10 +78,11 @@ class TextEncoder:
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, spaces: bool, end_id: int | None = None) -> TextEncoder:
+def encoder(path: str, spaces: bool, end_id: int | None = None, memo_bytes: int = MEMO_BYTES) -> TextEncoder:
     """One encoder per Python worker."""
     claim("tokens", _ENCODERS.clear)
-    found = _ENCODERS.get((path, spaces, end_id))
+    own = (path, spaces, end_id, memo_bytes)
+    found = _ENCODERS.get(own)
     if found is None:
-        found = _ENCODERS[(path, spaces, end_id)] = TextEncoder(path, spaces, end_id)
+        found = _ENCODERS[own] = TextEncoder(*own)
     return found
