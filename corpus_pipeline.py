@@ -16,6 +16,7 @@ from evispark.llm import simhash, toxicity
 from evispark.llm.line_dedup import dedup_lines
 from evispark.llm.packing import pack_documents
 from evispark.llm.store import materialize
+from evispark.llm.tokens import SHARED_MEMO_BYTES
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +33,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of five-word shingles are linked."""
+    """One document of each group of texts that are linked by a Jaccard similarity of 0.8 or more of
+    their five-word shingles."""
     return simhash.near_dedup(docs, shingle_words=5, radius=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, SHARED_MEMO_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
