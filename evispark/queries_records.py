@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import html
 from .operators import evidence, intervals, parity, ranking, terms
 from .operators.levels import chunk_parents
-from .plans import packets
+from .plans import halts, packets
 from .queries import query
 from .sources import archives
 
@@ -195,3 +195,15 @@ def differing_fields(t):
     register = F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")
     rows = t("events").select(F.col("user_id").alias("id"), register.alias("register"), F.col("event_type").alias("title"), F.when(F.col("value") > 5, "r").alias("role"), F.when(F.col("user_id") % 3 == 0, F.col("event_id") % 2).alias("url"))
     return evidence.differing_fields(rows, "id", "register", ["title", "role", "url"]).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""WITH l AS (SELECT user_id % 97 AS run, event_id AS position, CASE WHEN event_type = 'error' THEN 'e' || event_id % 3 END AS kind, event_type = 'view' AND event_id % 29 = 0 AS blocked FROM events),
+  c AS (SELECT *, count(kind) OVER (PARTITION BY run ORDER BY position) AS n, count(kind) OVER (PARTITION BY run, kind ORDER BY position) AS k FROM l),
+  w AS (SELECT run, position, CASE WHEN blocked THEN 'provider_block' WHEN kind IS NOT NULL AND n >= 6 THEN 'three_failed_attempts' WHEN kind IS NOT NULL AND k >= 3 THEN 'three_same_errors' END AS why FROM c),
+  h AS (SELECT run, min(position) AS halt_at, arg_min(why, position) AS reason FROM w WHERE why IS NOT NULL GROUP BY run)
+  SELECT l.run, count(*) AS seen, count(kind) AS failed, any_value(halt_at) AS halt_at, any_value(reason) AS reason FROM l LEFT JOIN h USING (run) WHERE halt_at IS NULL OR position <= halt_at GROUP BY l.run""")
+def queue_halts(t):
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", F.concat(F.lit("e"), (e % 3).cast("string")))
+    log = t("events").select((F.col("user_id") % 97).alias("run"), e.alias("position"), kind.alias("kind"), ((F.col("event_type") == "view") & (e % 29 == 0)).alias("blocked"))
+    return halts.halts(log, 6, 3)
