@@ -35,11 +35,13 @@ ASK_ALWAYS = ["- Verify apparent date stamp details against source scans.", "- R
 NO_CITATIONS = "- No citation candidates are available for this profile."
 CITED = "- `%s`: family-identified as source/media; apparent date stamp pending scan verification; SHA-256 `%s`."
 AUDIT = [
-    "- Generated from local AAVE JSON metadata only.", "- Source files are not copied into packets in v0.6.",
+    "- Generated from local %s JSON metadata only.", "- Source files are not copied into packets in v0.6.",
     "- No network calls, crawling, WARC replay, login automation, or access-control bypassing.",
     "- No medical, genetic-deterministic, institutional endorsement, or validation claims.",
     "- PDF output is not generated automatically; convert Markdown manually after review if needed.",
 ]
+#: Name of the program that the audit notes give as the source of the metadata.
+PRODUCT = "archive"
 CITATION_NOTE = "Citation-ready notes require human review before publication."
 
 PEOPLE = {"person_id": "string", "gedcom_id": "string", "display_name": "string", "given_name": "string", "surname": "string", "birth_date": "string", "birth_place": "string", "death_date": "string", "death_place": "string", "notes": "array<string>", "privacy_label": "string", "is_potentially_living": "boolean"}
@@ -91,7 +93,7 @@ def linked_artifacts(people: DataFrame, links: DataFrame, manifest: DataFrame, p
     return rows.withColumns({"label": either("privacy_label"), "confidence": either("source_confidence")})
 
 
-def packet_lines(people: DataFrame, families: DataFrame, links: DataFrame, manifest: DataFrame, profile: str = "private_full", citation_note: str = CITATION_NOTE) -> DataFrame:
+def packet_lines(people: DataFrame, families: DataFrame, links: DataFrame, manifest: DataFrame, profile: str = "private_full", citation_note: str = CITATION_NOTE, product: str = PRODUCT) -> DataFrame:
     """(person_id, section, part, key, n, line): every line of every packet, in the order of the
     place columns; lines that tie in all of them are equal up to their text.
 
@@ -118,7 +120,7 @@ def packet_lines(people: DataFrame, families: DataFrame, links: DataFrame, manif
         7: [f"- Packet profile: `{profile}`", F.format_string("- Potentially living: `%s`", life)],
         8: [],
         9: [citation_note, ""],
-        10: [*AUDIT, f"- Profile policy applied: `{profile}`."],
+        10: [AUDIT[0] % product, *AUDIT[1:], f"- Profile policy applied: `{profile}`."],
     }
     for s in range(1, len(SECTIONS)):
         fixed += [_line(s, 0, text, n=i) for i, text in enumerate([f"## {SECTIONS[s]}", "", *opening.get(s, [])])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import html
+from .functions import canonical, html
 from .operators import evidence, intervals, parity, ranking, terms
 from .operators.levels import chunk_parents
 from .plans import halts, packets
@@ -54,7 +54,7 @@ lines AS (
   UNION ALL SELECT pid, unnest([6, 6, 6]), unnest([0, 1, 1]), '', unnest([2, 0, 1]), unnest(['- Person privacy label: `private_family_only`', '- Source confidence labels in packet: ' || confidences, '{packets.KEPT_LABELS}']) FROM whole
   UNION ALL SELECT pid, 7, unnest([0, 0, 1, 1]), '', unnest([2, 3, 0, 1]), unnest(['- Packet profile: `expert_review_packet`', '- Potentially living: `' || living || '`', '- Artifact privacy labels in packet: ' || labels, '{packets.REVIEW}']) FROM whole
   UNION ALL SELECT pid, 8, 1, '', unnest([0, 1, 3, 4]), unnest([CASE WHEN bare THEN '{packets.ASK_LINKS}' END, CASE WHEN living THEN '{packets.ASK_LIVING}' END, '{packets.ASK_ALWAYS[0]}', '{packets.ASK_ALWAYS[1]}']) FROM whole
-  UNION ALL SELECT pid, 10, 0, '', unnest(range(2, 8)), unnest([{", ".join(f"'{x}'" for x in packets.AUDIT)}, '- Profile policy applied: `expert_review_packet`.']) FROM p)
+  UNION ALL SELECT pid, 10, 0, '', unnest(range(2, 8)), unnest([{", ".join(f"'{x}'" for x in [packets.AUDIT[0] % packets.PRODUCT, *packets.AUDIT[1:]])}, '- Profile policy applied: `expert_review_packet`.']) FROM p)
 """
 
 
@@ -207,3 +207,18 @@ def queue_halts(t):
     kind = F.when(F.col("event_type") == "error", F.concat(F.lit("e"), (e % 3).cast("string")))
     log = t("events").select((F.col("user_id") % 97).alias("run"), e.alias("position"), kind.alias("kind"), ((F.col("event_type") == "view") & (e % 29 == 0)).alias("blocked"))
     return halts.halts(log, 6, 3)
+
+
+@query("""WITH r AS (SELECT c_custkey, '{"balance":' || CASE WHEN c_acctbal < 0 THEN 'null' ELSE '"' || CAST(c_acctbal AS DECIMAL(12, 2)) || '"' END || ',"id":' || c_custkey || ',"orders":[' || coalesce(string_agg('{"key":' || o_orderkey || ',"priority":"' || o_orderpriority || '"}', ',' ORDER BY o_orderkey), '') || '],"segment":{"name":"' || c_mktsegment || '","é":true}}' AS body
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey, c_acctbal, c_mktsegment)
+  SELECT c_custkey, sha256(body) AS sha256, sha256(concat('RESEARCH-RECEIPT-v1', chr(0), md5(CAST(c_custkey AS VARCHAR)), body)) AS commitment FROM r""")
+def receipt_commitments(t):
+    large = t("orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority")))).alias("orders"))
+    rows = t("customer").join(large, "c_custkey", "left")
+    kind = "array<struct<key:bigint,priority:string>>"
+    body = F.struct(
+        F.struct(F.lit(True).alias("é"), F.col("c_mktsegment").alias("name")).alias("segment"), F.coalesce(F.col("orders").cast(kind), F.array().cast(kind)).alias("orders"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("balance"), F.col("c_custkey").alias("id"),
+    )
+    nonce = F.encode(F.md5(_text("c_custkey")), "UTF-8")
+    return rows.select("c_custkey", canonical.sha256(body).alias("sha256"), canonical.commitment(body, nonce).alias("commitment"))
