@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import canonical, html
-from .operators import evidence, intervals, parity, ranking, terms
+from .functions import canonical, html, text
+from .operators import awards, evidence, intervals, parity, policy, publish, ranking, terms
 from .operators.levels import chunk_parents
-from .plans import halts, packets
+from .plans import executor, halts, packets
 from .queries import query
-from .sources import archives
+from .sources import archives, gedcom
 
 
 def _text(c):
@@ -222,3 +222,81 @@ def receipt_commitments(t):
     )
     nonce = F.encode(F.md5(_text("c_custkey")), "UTF-8")
     return rows.select("c_custkey", canonical.sha256(body).alias("sha256"), canonical.commitment(body, nonce).alias("commitment"))
+
+
+def _tree(t):
+    """GEDCOM nodes of all customers, four files of many chunks."""
+    born = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.col("o_orderdate").cast("date")).alias("b"), F.max(F.col("o_orderdate").cast("date")).alias("d"))
+    rows = t("customer").join(born, "c_custkey", "left").join(t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    k, living = _text("c_custkey"), F.col("c_acctbal") < 0
+    line = lambda level, tag, value=F.lit(""), pointer=F.lit(None).cast("string"): F.struct(F.lit(level).alias("level"), F.lit(tag).alias("tag"), value.alias("value"), pointer.alias("pointer"))
+    lines = F.array(
+        line(0, "INDI", pointer=F.concat(F.lit("I"), k)), line(1, "NAME", F.concat("c_mktsegment", F.lit("  "), k, F.lit(" /"), "n_name", F.lit("/"))), line(1, "BIRT"), line(2, "DATE", F.coalesce(_text("b"), F.lit("unknown"))),
+        line(2, "PLAC", F.col("n_name")), line(1, "NOTE", F.col("c_name")), line(2, "CONC", F.lit("joined")), line(2, "CONT", k), line(1, "FAMS", F.concat(F.lit("@F"), _text("c_nationkey"), F.lit("@"))),
+        line(1, "SOUR", F.concat(F.lit("@S"), (F.col("c_custkey") % 7).cast("string"), F.lit("@"))), line(1, "DEAT"), F.when(living, line(2, "PLAC", F.lit("somewhere"))).otherwise(line(2, "DATE", F.coalesce(_text("d"), F.lit("unknown")))),
+    )
+    nodes = rows.select((F.col("c_custkey") % 4).cast("string").alias("file"), F.expr("c_custkey div 64").alias("chunk"), F.col("c_custkey").cast("long").alias("k"), F.posexplode(lines).alias("i", "l"))
+    nodes = nodes.select("file", "chunk", (F.col("k") * 64 + F.col("i")).alias("n"), "l.*").repartition("file", "chunk").sortWithinPartitions("file", "chunk", "n")
+    return chunk_parents(nodes, "file", "chunk", "n", "level").withColumnRenamed("root", "rec").drop("chunk")
+
+
+@query("""WITH b AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS b, max(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY 1)
+  SELECT 'I' || c_custkey AS person_id, lower(c_mktsegment) || '-' || c_custkey || '-' || regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') || '-i' || c_custkey AS slug, c_mktsegment || '  ' || c_custkey AS given_name, n_name AS surname, c_mktsegment || ' ' || c_custkey || ' ' || n_name AS display_name,
+  coalesce(CAST(b AS VARCHAR), 'unknown') AS birth_date, n_name AS birth_place, CASE WHEN c_acctbal >= 0 THEN coalesce(CAST(d AS VARCHAR), 'unknown') END AS death_date, CASE WHEN c_acctbal < 0 THEN 'somewhere' END AS death_place, c_acctbal < 0 AS is_potentially_living,
+  'F' || c_nationkey AS fams, c_name || ' joined' || chr(10) || c_custkey AS notes, 'S' || c_custkey % 7 AS source_refs FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN b ON o_custkey = c_custkey""")
+def tree_persons(t):
+    found = gedcom.persons(_tree(t))
+    lists = {c: F.array_join(c, "|") for c in ("fams", "notes", "source_refs")}
+    return found.withColumns(lists).drop("sex", "famc")
+
+
+@query("""WITH f AS (SELECT o_orderkey, 'I' || o_custkey AS h, 'I' || (o_custkey + 1) AS w, 'I' || o_orderkey % 1000 AS c FROM orders WHERE o_totalprice > 250000), p AS (SELECT 'I' || c_custkey AS id FROM customer),
+  r AS (SELECT c AS person_id, 'parent' AS relation, h AS other_id FROM f UNION SELECT c, 'parent', w FROM f UNION SELECT h, 'child', c FROM f UNION SELECT w, 'child', c FROM f UNION SELECT h, 'spouse', w FROM f UNION SELECT w, 'spouse', h FROM f)
+  SELECT * FROM r WHERE person_id IN (SELECT id FROM p)""")
+def tree_relationships(t):
+    one = lambda c: F.concat(F.lit("I"), c.cast("string"))
+    fams = t("orders").where("o_totalprice > 250000").select(_text("o_orderkey").alias("family_id"), one(F.col("o_custkey")).alias("husband_id"), one(F.col("o_custkey") + 1).alias("wife_id"), F.array(one(F.col("o_orderkey") % 1000)).alias("child_ids"))
+    return gedcom.relationships(t("customer").select(one(F.col("c_custkey")).alias("person_id")), fams)
+
+
+@query("""SELECT page_id, regexp_matches(lower(url), 'raw_dna|raw-dna|ancestrydna|genotype') OR regexp_matches(lower(html), 'raw_dna|raw-dna|ancestrydna|genotype|the ther') AS raw FROM (SELECT page_id, url, html FROM pages)""")
+def raw_dna_marks(t):
+    marked = F.regexp_replace(F.lower("html"), "the ther", "Raw-DNA")  # a phrase of the given pages stands for the mark
+    return t("pages").select("page_id", policy.is_raw_dna(F.col("url"), marked).alias("raw"))
+
+
+@query("""WITH m AS (SELECT source || '/' || lang || '/' || doc_id AS relative_path, CASE WHEN lang = 'en' THEN 'A-' || doc_id END AS artifact_id, CASE WHEN lang = 'fr' THEN ' ' ELSE doc_id || '.txt' END AS filename, CASE WHEN quality = 1 THEN 'public_ok' WHEN quality = 0 THEN 'public_summary_only' ELSE 'private_family_only' END AS label FROM documents LEFT JOIN labels USING (doc_id))
+  SELECT relative_path, coalesce(artifact_id, CASE WHEN trim(filename) <> '' THEN filename END, relative_path) AS title, label IN ('public_ok', 'public_summary_only') AS on_site FROM m""")
+def published_titles(t):
+    label = F.when(F.col("quality") == 1, "public_ok").when(F.col("quality") == 0, "public_summary_only").otherwise("private_family_only")
+    name = F.when(F.col("lang") == "fr", " ").otherwise(F.concat(_text("doc_id"), F.lit(".txt")))
+    rows = t("documents").join(t("labels"), "doc_id", "left").select(F.concat_ws("/", "source", "lang", _text("doc_id")).alias("relative_path"), F.when(F.col("lang") == "en", F.concat(F.lit("A-"), _text("doc_id"))).alias("artifact_id"), name.alias("filename"), label.alias("privacy_label"), F.lit("text").alias("file_category"), F.lit("h").alias("sha256"), F.lit("confirmed").alias("source_confidence"))
+    site = publish.static_site_rows(rows).select("relative_path", F.lit(True).alias("s"))
+    items = publish.bibliography_items(rows).select("relative_path", "payload.title")
+    return items.join(site, "relative_path", "left").select("relative_path", "title", F.coalesce("s", F.lit(False)).alias("on_site"))
+
+
+@query("""WITH n AS (SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE substr(text, 1, 30) END AS raw, source, lang FROM documents),
+  m AS (SELECT doc_id, raw, replace(replace(replace(raw, '/', ' '), chr(10), ' '), '@', ' ') AS g, source, lang FROM n)
+  SELECT doc_id, nullif(trim(g), '') AS given_name, source AS surname, CASE WHEN doc_id % 2 = 0 THEN 'I' || doc_id ELSE '@I' || doc_id END AS pointer FROM m""")
+def name_parts(t):
+    plain = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 30), "/\n@", "   ")
+    name = text.parse_name(F.concat(plain, F.lit("/"), "source", F.lit("/")))
+    mark = F.concat(F.lit("@I"), _text("doc_id"), F.when(F.col("doc_id") % 2 == 0, "@").otherwise(""))
+    return t("documents").select("doc_id", name["given"].alias("given_name"), name["surname"].alias("surname"), text.strip_pointer(mark).alias("pointer"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s = 'F' THEN u WHEN s = 'P' AND y IS NOT NULL AND u IS NULL THEN y * 1000 ELSE 0 END AS lower, CASE WHEN s = 'F' THEN u WHEN s = 'P' AND u IS NULL AND y IS NOT NULL THEN y * 1000 + 1000 WHEN s = 'P' THEN u END AS upper, s = 'P' AND u IS NULL AND y IS NOT NULL AS exclusive
+  FROM (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_totalprice AS BIGINT) END AS u, CASE WHEN o_orderkey % 2 = 0 THEN 40 + o_orderkey % 60 END AS y FROM (SELECT o_orderkey, o_orderstatus, floor(o_totalprice) AS o_totalprice FROM orders))""")
+def age_envelopes(t):
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(s == "F", "exact_above").when(s == "P", "bounded_below").otherwise("possible_above")
+    upper, years = F.when(k % 3 != 0, F.floor("o_totalprice")), F.when(k % 2 == 0, 40 + k % 60)
+    return t("orders").select("o_orderkey", awards.age_envelope(status, upper, years).alias("e")).select("o_orderkey", "e.*")
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, coalesce(y, 0), c_nationkey, c_custkey) AS r FROM (SELECT c_custkey, c_mktsegment, c_nationkey, CASE WHEN c_acctbal > 0 THEN 1900 + c_custkey % 50 END AS y FROM customer))
+  SELECT c_custkey AS person_id, provider, provider || ': ' || c_mktsegment AS query FROM p, (VALUES (0, 'a'), (1, 'b')) AS v(i, provider) WHERE r <= 500 AND (r - 1) * 2 + i < 777""")
+def closure_batch(t):
+    people = t("customer").select(F.col("c_custkey").alias("person_id"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_acctbal") > 0, 1900 + F.col("c_custkey") % 50).alias("birth_year"), F.col("c_nationkey").alias("award_year"))
+    return executor.closure_batch(people, [("a", "a: {name}"), ("b", "b: {name}")], ["BUILDING"], 500, 777)
