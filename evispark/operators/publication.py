@@ -90,11 +90,65 @@ def manifest_findings(df: DataFrame, key: str, payload: str, allowed: list[str])
 
 
 def program_status(found: DataFrame, ranks: DataFrame) -> DataFrame:
-    """One row: errors, blockers and hypotheses of rank A; ready only without either and with a rank A."""
+    """One row: errors, blockers and hypotheses of rank A; ready for review only without either and
+    with a rank A, else blocked."""
     totals = found.agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "blocker").alias("n_blockers"))
     first = ranks.agg(F.count_if(F.col("rank") == "A").alias("n_rank_a"))
     rows = totals.crossJoin(first)  # one row each
-    return rows.withColumn("status", F.when(F.col("n_errors") > 0, "invalid").when((F.col("n_blockers") > 0) | (F.col("n_rank_a") == 0), "blocked").otherwise("ready"))
+    held = (F.col("n_errors") > 0) | (F.col("n_blockers") > 0) | (F.col("n_rank_a") == 0)
+    return rows.withColumn("status", F.when(held, "blocked").otherwise("ready_for_independent_review"))
+
+
+#: Problems of a review in the order of the checks.
+REVIEW_PROBLEMS = [
+    "subject_attribution_not_reviewed", "no_hash_bound_source", "evidence_file_unavailable_or_outside_data", "evidence_file_hash_mismatch",
+    "evidence_record_missing", "review_dates_differ_from_evidence_record", "review_age_differs_from_evidence_record", "review_hash_differs_from_retrieval_receipt",
+    "cache_path_outside_local_vault", "cached_source_hash_mismatch", "review_excerpt_missing_from_source",
+]
+
+
+def verify_reviews(reviews: DataFrame, profiles: DataFrame, evidence: DataFrame, records: DataFrame, caches: DataFrame) -> DataFrame:
+    """``reviews`` with ``problems``, against evidence files, their records and cached sources.
+
+    ``profiles``: profile_url, profile_sha256, cache_path. ``evidence``: path, sha256, lf_sha256 (of the
+    text with line feeds). ``records``: path, source_id, birth_date, death_date, death_not_after,
+    completed_age_years, ordinal. ``caches``: path, sha256, text. Each file is hashed and parsed once,
+    by its own reader, and reviews meet it by joins. Of a file's problems the first alone is named, in
+    the order of REVIEW_PROBLEMS; the cache's are named together. An absent cache is no problem. Empty
+    texts count as null; paths with ``..`` lie outside. Repeated keys: the first record by
+    ``ordinal``, else the largest row.
+    """
+    blank = lambda name: F.nullif(F.trim(F.col(name)), F.lit(""))
+    inside = lambda path, folder: path.startswith(f"{folder}/") & ~path.rlike(r"(^|/)\.\.(/|$)")
+    one = lambda df, keys, prefix, *rest: df.groupBy(*(F.col(k).alias(f"{prefix}{k}") for k in keys)).agg(F.max(F.struct(*rest)).alias(prefix.strip("_")))
+    p = one(profiles, ["profile_url"], "p_", "profile_sha256", "cache_path")
+    e = one(evidence, ["path"], "e_", "sha256", "lf_sha256")
+    c = one(caches, ["path"], "c_", "sha256", "text")
+    r = records.groupBy(F.col("path").alias("r_path"), F.col("source_id").alias("r_id")).agg(F.min_by(F.struct("birth_date", "death_date", "death_not_after", "completed_age_years"), "ordinal").alias("r"))
+    file = blank("evidence_file")
+    rows = reviews.join(p, F.col("profile_url") == F.col("p_profile_url"), "left").join(e, file == F.col("e_path"), "left")
+    rows = rows.join(r, (file == F.col("r_path")) & (F.col("evidence_source_id") == F.col("r_id")), "left").join(c, F.col("p.cache_path") == F.col("c_path"), "left")
+    expected, cache = blank("source_sha256"), F.nullif(F.col("p.cache_path"), F.lit(""))
+    digest = F.when(F.col("evidence_hash_normalization") == "lf_text", F.col("e.lf_sha256")).otherwise(F.col("e.sha256"))
+    other = lambda mine, theirs: F.coalesce(blank(mine).isNotNull() & ~F.col(mine).eqNullSafe(F.col(f"r.{theirs}")), F.lit(False))
+    dates = other("birth", "birth_date") | other("death", "death_date") | other("death_not_after", "death_not_after")
+    of_file = (
+        F.when(F.col("e_path").isNull() | ~inside(file, "data"), F.lit(REVIEW_PROBLEMS[2])).when(~digest.eqNullSafe(F.col("evidence_sha256")), F.lit(REVIEW_PROBLEMS[3]))
+        .when(F.col("r_id").isNull(), F.lit(REVIEW_PROBLEMS[4])).when(dates, F.lit(REVIEW_PROBLEMS[5]))
+        .when(F.col("completed_age_years").isNotNull() & ~F.col("completed_age_years").eqNullSafe(F.col("r.completed_age_years")), F.lit(REVIEW_PROBLEMS[6]))
+    )
+    cached = cache.isNotNull() & expected.isNotNull()
+    read = cached & inside(cache, "local-vault") & F.col("c_path").isNotNull()
+    found = [
+        F.when(~F.coalesce("subject_reviewed", F.lit(False)) | blank("rationale").isNull(), F.lit(REVIEW_PROBLEMS[0])),
+        F.when(expected.isNull() & (file.isNull() | blank("evidence_sha256").isNull()), F.lit(REVIEW_PROBLEMS[1])),
+        F.when(file.isNotNull(), of_file),
+        F.when(expected.isNotNull() & ~expected.eqNullSafe(F.col("p.profile_sha256")), F.lit(REVIEW_PROBLEMS[7])),
+        F.when(cached & ~inside(cache, "local-vault"), F.lit(REVIEW_PROBLEMS[8])),
+        F.when(read & ~F.col("c.sha256").eqNullSafe(expected), F.lit(REVIEW_PROBLEMS[9])),
+        F.when(read & blank("excerpt").isNotNull() & ~F.contains(F.coalesce("c.text", F.lit("")), F.col("excerpt")), F.lit(REVIEW_PROBLEMS[10])),
+    ]
+    return rows.select(*(F.col(x) for x in reviews.columns), F.array_compact(F.array(*found)).alias("problems"))
 
 
 def review_problems(reviews: DataFrame, profiles: DataFrame, ledger: DataFrame, key: str = "review_id") -> DataFrame:

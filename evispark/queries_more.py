@@ -136,7 +136,7 @@ def genotype_unobserved(t):
 
 
 @query("""SELECT count(*) FILTER (o_orderstatus = 'F') AS n_errors, count(*) FILTER (o_orderstatus = 'P') AS n_blockers, (SELECT count(*) FROM nation WHERE n_regionkey = 0) AS n_rank_a,
-  CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'invalid' ELSE 'blocked' END AS status FROM orders""")
+  CASE WHEN count(*) FILTER (o_orderstatus IN ('F', 'P')) > 0 OR (SELECT count(*) FROM nation WHERE n_regionkey = 0) = 0 THEN 'blocked' ELSE 'ready_for_independent_review' END AS status FROM orders""")
 def program_status(t):
     found = t("orders").select(F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "blocker").otherwise("review").alias("severity"))
     return publication.program_status(found, t("nation").select(F.when(F.col("n_regionkey") == 0, "A").otherwise("B").alias("rank")))
