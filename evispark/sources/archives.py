@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 #: Folder names that a scan leaves out.
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv")
 BLOCK = 1 << 20
-FILE = "path string, relative_path string, size_bytes long, modified timestamp, sha256 string"
+FILE = "path string, relative_path string, size_bytes long, modified timestamp, sha256 string, content binary"
 MEMBER = "zip_path string, member_path string, size_bytes long, compressed_size_bytes long, crc32 string, sha256 string"
 
 
@@ -50,7 +50,8 @@ class Folder(InputPartition):
 class FolderReader(DataSourceReader):
     """Options: ``excluded`` (names, separated by commas), ``depth`` (levels of folders that the driver
     lists to split the work; each folder below is listed by one task), ``hash`` (false: no digests),
-    ``links`` (false: local symbolic links are passed over)."""
+    ``links`` (false: local symbolic links are passed over), ``content`` (bytes: files up to this size
+    come with their content; 0, the default: none does)."""
 
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
@@ -58,6 +59,7 @@ class FolderReader(DataSourceReader):
         self.depth = int(options.get("depth", 1))
         self.hash = options.get("hash", "true").lower() != "false"
         self.links = options.get("links", "true").lower() != "false"
+        self.content = int(options.get("content", 0))
 
     def _skips(self, path: str) -> bool:
         return not self.excluded.isdisjoint(path.split("/")) or (not self.links and os.path.islink(path))
@@ -89,7 +91,11 @@ class FolderReader(DataSourceReader):
                     if self.hash:
                         with system.open_input_file(info.path) as stream:
                             digest = _digest(stream)
-                    yield info.path, info.path[len(root.rstrip("/")) + 1 :], info.size, info.mtime, digest
+                    content = None
+                    if info.size <= self.content:
+                        with system.open_input_file(info.path) as stream:
+                            content = stream.read()
+                    yield info.path, info.path[len(root.rstrip("/")) + 1 :], info.size, info.mtime, digest, content
 
 
 class FolderSource(DataSource):

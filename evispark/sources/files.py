@@ -36,7 +36,8 @@ def scan_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLU
 
 
 def manifest(files: DataFrame, label: str = DEFAULT_LABEL, confidence: str = DEFAULT_CONFIDENCE) -> DataFrame:
-    """One manifest row per scanned file."""
+    """One manifest row per scanned file, of ``scan_files`` or of the ``archive_folder`` source."""
+    digest = F.col("sha256") if "sha256" in files.columns else F.sha2("content", 256)
     name = F.element_at(F.split("relative_path", "/"), -1)
     ext = extension(F.col("relative_path"))
     return files.select(
@@ -45,7 +46,7 @@ def manifest(files: DataFrame, label: str = DEFAULT_LABEL, confidence: str = DEF
         ext.alias("extension"),
         category(ext).alias("file_category"),
         "size_bytes",
-        F.sha2("content", 256).alias("sha256"),
+        digest.alias("sha256"),
         F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("modified_time_iso"),
         artifact_id(name).alias("artifact_id"),
         F.lit(label).alias("privacy_label"),

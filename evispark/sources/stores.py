@@ -86,6 +86,13 @@ def tracked_paths(spark: SparkSession, repository: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
 
 
+def git_remotes(spark: SparkSession, repository: str) -> DataFrame:
+    """Lines of the configured remotes; none outside a repository."""
+    found = subprocess.run(["git", "remote", "-v"], cwd=repository, capture_output=True, text=True, check=False)
+    lines = [(x.strip(),) for x in found.stdout.splitlines() if x.strip()] if found.returncode == 0 else []
+    return spark.createDataFrame(lines, "line string")
+
+
 #: Parts of workbooks that a release may not hold.
 UNSAFE_MEMBERS = ["xl/media/", "embeddings/", "vbaproject", "externallinks/", "customxml/"]
 CELLS = "path string, sheet string, row int, col int, value string, kind string"
