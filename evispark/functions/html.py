@@ -125,8 +125,10 @@ def fold_all(texts: pa.Array) -> pa.Array:
 
 
 def birth_candidates(text: Column) -> Column:
-    """array<struct(start, near, year)>: statements of a birth year in order, with the place of the
-    first character and the statement with up to BEFORE characters ahead of it."""
+    """array<struct(start, near, whole, year)>: statements of a birth year in order, with the place of
+    the first character and the statement with up to BEFORE characters ahead of it; ``whole`` is the
+    same without the rest of a word that the window's start cuts."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     plain = F.translate(text, "\x01\x02", "  ")
     split = F.struct(plain.alias("plain"), F.split(F.regexp_replace(plain, BIRTH, "\x01$0\x02"), "\x01").alias("pieces"))
 
@@ -135,14 +137,16 @@ def birth_candidates(text: Column) -> Column:
         said = F.substring_index(F.get(s["pieces"], i), "\x02", 1)
         first = F.greatest(start - BEFORE, F.lit(0))
         near = F.substring(s["plain"], first + 1, start - first + F.length(said))
-        return F.struct(start.alias("start"), F.trim(F.regexp_replace(near, r"\s+", " ")).alias("near"), F.right(said, F.lit(4)).cast("int").alias("year"))
+        cut = (first > 0) & F.substring(s["plain"], first, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}")  # the window begins inside a word
+        whole = F.when(cut, F.regexp_replace(near, r"^[\p{L}\p{N}_]+", "")).otherwise(near)
+        return F.struct(start.alias("start"), squeeze(near).alias("near"), squeeze(whole).alias("whole"), F.right(said, F.lit(4)).cast("int").alias("year"))
 
     def candidates(s: Column) -> Column:
         sizes = F.transform(s["pieces"], lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
         sized = F.struct(s["plain"].alias("plain"), s["pieces"].alias("pieces"), sizes.alias("sizes"))
         return _once(sized, lambda z: F.transform(F.sequence(F.lit(1), F.size(z["pieces"]) - 1), lambda i: candidate(z, i)))
 
-    none = F.when(text.isNotNull(), F.array().cast("array<struct<start:int,near:string,year:int>>"))
+    none = F.when(text.isNotNull(), F.array().cast("array<struct<start:int,near:string,whole:string,year:int>>"))
     return F.when(text.rlike(BIRTH), _once(split, candidates)).otherwise(none)
 
 
@@ -155,8 +159,8 @@ def birth_statement(text: Column | str, name: Column | str, award_year: Column |
     """struct(birth_year, approximate, excerpt): the first statement of the subject's birth year; null
     if there is none.
 
-    A statement is the subject's if no relative is named before it in its window and the surname
-    stands in the window or the statement in the biography's lead. The award year counts only where
+    A statement is the subject's if no relative is named before it in its window (a word that the
+    window cuts names none) and the surname stands in the window or the statement in the biography's lead. The award year counts only where
     the text says "born in" it; decades do not count.
     """
     text, name, award = (F.col(c) if isinstance(c, str) else c for c in (text, name, award_year))
@@ -168,12 +172,12 @@ def birth_statement(text: Column | str, name: Column | str, award_year: Column |
 
     def own(c: Column) -> Column:
         near, start = c["c"]["near"], c["c"]["start"]
-        ahead = F.regexp_extract(near, "(?is)^(.*)born", 1)
+        ahead = F.regexp_extract(c["c"]["whole"], "(?is)^(.*)born", 1)
         in_lead = (lead >= 0) & start.between(lead, lead + LEAD)
         awarded = (c["c"]["year"] == award) & ~F.contains(F.lower(near), F.concat(F.lit("born in "), award.cast("string")))
         return ~ahead.rlike(RELATIVES) & ((c["surname"] == "") | in_lead | F.contains(c["folded"], c["surname"])) & ~F.coalesce(awarded, F.lit(False))
 
     rows = F.arrays_zip(found.alias("c"), folded.alias("folded"), F.array_repeat(surname, F.size(found)).alias("surname"))  # lambdas hold no Python
     first = F.get(F.filter(rows, own), F.lit(0))["c"]
-    value = F.struct(first["year"].alias("birth_year"), first["near"].rlike(APPROXIMATE).alias("approximate"), F.right(first["near"], F.lit(EXCERPT)).alias("excerpt"))
+    value = F.struct(first["year"].alias("birth_year"), first["whole"].rlike(APPROXIMATE).alias("approximate"), F.right(first["near"], F.lit(EXCERPT)).alias("excerpt"))
     return F.when(first.isNotNull(), value)

@@ -62,3 +62,11 @@ def test_places_of_candidates(spark):
     found = list(re.finditer(html.BIRTH.replace("(?di)", "(?i)"), text))
     assert [(c.start, c.year) for c in got] == [(m.start(), int(m[1])) for m in found]
     assert [c.near for c in got] == [" ".join(text[max(0, m.start() - 90) : m.end()].split()) for m in found]
+
+
+@pytest.mark.parametrize("lead, word, want", [("e", "son ", (1901, False)), (" ", "son ", None), ("r", "about ", (1901, False)), (" ", "about ", (1901, True)), ("é", "son ", (1901, False))])
+def test_a_word_that_the_window_cuts_is_none(spark, lead, word, want):
+    text = "x" * 50 + lead + word + "y" * (html.BEFORE - len(word) - len(" Alpha ")) + " Alpha born 1901"
+    row = spark.createDataFrame([(text,)], "t string").select(html.birth_statement(F.col("t"), F.lit("Ann Alpha"), F.lit(None).cast("int")).alias("b"), html.birth_candidates(F.col("t"))[0].alias("c")).first()
+    assert row.c.near == text[row.c.start - html.BEFORE :] and row.c.near.startswith(word)
+    assert (row.b and (row.b.birth_year, row.b.approximate)) == want
