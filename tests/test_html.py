@@ -70,3 +70,11 @@ def test_a_word_that_the_window_cuts_is_none(spark, lead, word, want):
     row = spark.createDataFrame([(text,)], "t string").select(html.birth_statement(F.col("t"), F.lit("Ann Alpha"), F.lit(None).cast("int")).alias("b"), html.birth_candidates(F.col("t"))[0].alias("c")).first()
     assert row.c.near == text[row.c.start - html.BEFORE :] and row.c.near.startswith(word)
     assert (row.b and (row.b.birth_year, row.b.approximate)) == want
+
+
+def test_only_whole_references_of_the_list(spark):
+    page = "<title>A &amp; B &amp;lt; &quot;c&quot; and&amp</title><p>x&lt;y &copy z</p>"
+    h = F.col("h")
+    row = spark.createDataFrame([(page,)], "h string").select(html.page_title(html.only_references(h, ["amp"])).alias("a"), html.page_text(html.only_references(h, ["quot", "amp", "lt"]))["text"].alias("t"), html.page_title(h).alias("all")).first()
+    assert row.a == "A & B &lt; &quot;c&quot; and&amp" and row.all == 'A & B &lt; "c" and&'
+    assert row.t == 'A & B &lt; "c" and&amp x<y &copy z'
