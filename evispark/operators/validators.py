@@ -79,38 +79,43 @@ def claim_graph(claims: DataFrame, envelopes: DataFrame) -> tuple[DataFrame, Dat
 
 def receipt_errors(df: DataFrame, payload: str, producer: str, schema_version: str, contract: str) -> DataFrame:
     """Public receipts (JSON text in ``payload``) with ``errors``. The schema is closed, and values
-    must have the exact JSON type: a count given as true is no count."""
-    v = F.try_parse_json(payload)
+    must have the exact JSON type: a count given as true is no count.
+
+    A payload is parsed once and its fields are taken out once, in projections of their own that all
+    rules refer to."""
+    names = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    fields = lambda c, listed: F.try_variant_get(c, "$", f"struct<{','.join(f'{n}:variant' for n in listed)}>")
+    parsed = df.select("*", F.try_parse_json(payload).alias("v_"), names(F.col(payload)).alias("keys_"), names(F.get_json_object(payload, "$.contains")).alias("flags_"))
+    parsed = parsed.withColumn("f_", fields(F.col("v_"), RECEIPT_FIELDS))
+    parsed = parsed.withColumns({"contains_": fields(F.col("f_.contains"), CONTENT_FLAGS), "codes_": F.try_variant_get("f_.cannot_support", "$", "array<string>")})
+    keys, flags, codes = F.col("keys_"), F.col("flags_"), F.col("codes_")
 
     def typed(field: str, kind: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) == kind
+        return F.schema_of_variant(field) == kind
 
     def text(field: str) -> Column:
-        return F.when(typed(field, "STRING"), F.try_variant_get(v, f"$.{field}", "string"))
+        return F.when(typed(f"f_.{field}", "STRING"), F.try_variant_get(f"f_.{field}", "$", "string"))
 
-    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
-    flags = F.coalesce(F.json_object_keys(F.get_json_object(payload, "$.contains")), F.array().cast("array<string>"))
-    codes = F.try_variant_get(v, "$.cannot_support", "array<string>")
-    count = F.try_variant_get(v, "$.public_projection_item_count", "long")
+    count = F.try_variant_get("f_.public_projection_item_count", "$", "long")
     exact = [("schema_version", schema_version), ("boundary_contract", contract), ("producer", producer), ("privacy_tier", "P0"), ("privacy_label", "public_ok"), ("consent_scope", "public_release")]
-    rules = [("json", v.isNotNull()), ("fields:missing", F.size(F.array_except(F.array(*map(F.lit, RECEIPT_FIELDS)), keys)) == 0), ("fields:unknown", _within(keys, RECEIPT_FIELDS))]
+    rules = [("json", F.col("v_").isNotNull()), ("fields:missing", F.size(F.array_except(F.array(*map(F.lit, RECEIPT_FIELDS)), keys)) == 0), ("fields:unknown", _within(keys, RECEIPT_FIELDS))]
     rules += [(f"{n}:value", text(n) == want) for n, want in exact]
-    rules += [(f"{n}:value", typed(n, "BOOLEAN") & F.try_variant_get(v, f"$.{n}", "boolean")) for n in ("human_reviewed", "private_content_withheld")]
+    rules += [(f"{n}:value", typed(f"f_.{n}", "BOOLEAN") & F.try_variant_get(f"f_.{n}", "$", "boolean")) for n in ("human_reviewed", "private_content_withheld")]
     rules += [
         ("receipt_id:pattern", text("receipt_id").rlike("^[A-Za-z0-9][A-Za-z0-9._-]{2,127}$")),
         ("source_schema:pattern", text("source_schema").rlike("^[A-Za-z0-9][A-Za-z0-9._/-]{2,127}$")),
         ("projection_kind:vocabulary", text("projection_kind").isin(PROJECTIONS)),
         ("public_projection_sha256:digest", text("public_projection_sha256").rlike(DIGEST)),
-        ("public_projection_item_count:range", typed("public_projection_item_count", "BIGINT") & count.between(0, 1_000_000)),
+        ("public_projection_item_count:range", typed("f_.public_projection_item_count", "BIGINT") & count.between(0, 1_000_000)),
         ("contains:fields", F.array_sort(flags) == F.array(*map(F.lit, sorted(CONTENT_FLAGS)))),
     ]
-    rules += [(f"contains.{n}", typed(f"contains.{n}", "BOOLEAN") & ~F.try_variant_get(v, f"$.contains.{n}", "boolean")) for n in CONTENT_FLAGS]
+    rules += [(f"contains.{n}", typed(f"contains_.{n}", "BOOLEAN") & ~F.try_variant_get(f"contains_.{n}", "$", "boolean")) for n in CONTENT_FLAGS]
     rules += [
         ("cannot_support:list", (F.size(codes) > 0) & (F.size(F.array_distinct(codes)) == F.size(codes))),
         ("cannot_support:vocabulary", _within(codes, CANNOT_SUPPORT)),
         ("cannot_support:required", F.size(F.array_except(F.array(*map(F.lit, MUST_NOT_SUPPORT)), codes)) == 0),
     ]
-    return df.withColumn("errors", rule_errors(rules))
+    return parsed.select(*(F.col(c) for c in df.columns), rule_errors(rules).alias("errors"))
 
 
 def source_findings(sources: DataFrame, register: str = "register") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions import html, text
-from evispark.operators import evidence, genome, keyed, linking
+from evispark.operators import evidence, genome, keyed, linking, validators
 from evispark.sources import stores
 
 
@@ -108,3 +108,9 @@ def test_page_and_birth_edges(spark):
     got = [r[0] for r in said.select(html.birth_statement("t", "n", "y")).collect()]
     assert got[0] is None and got[1].birth_year == 1990 and got[2] is None
     assert [r[0] for r in spark.createDataFrame([("[1",), (None,), ('["", "a"]',)], "n string").select(text.notes_list(F.col("n"))).collect()] == [["[1"], [], ["a"]]
+
+
+def test_receipts_are_parsed_once(spark):
+    df = validators.receipt_errors(spark.createDataFrame([("{}",)], "payload string"), "payload", "p", "s.v1", "b.v1")
+    assert df.columns == ["payload", "errors"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
