@@ -15,8 +15,9 @@ def sums_above(counts: DataFrame, value: str, sums: list[str], by: list[str] | N
     or time; distinct within ``by``).
 
     Values are cut into ranges at approximate quantiles. Rows of a range are summed by a window of
-    their own; what lies in higher ranges comes from one row that holds each range's total. Without
-    ``by`` no task sees all values.
+    their own; what lies in higher ranges comes from a broadcast row per range, joined only after that
+    window, so that rows are shuffled with their own columns alone. Without ``by`` no task sees all
+    values.
     """
     if by:
         above = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
@@ -25,10 +26,11 @@ def sums_above(counts: DataFrame, value: str, sums: list[str], by: list[str] | N
     edges = edges.select(F.array_sort(F.array_distinct("edges_")).alias("edges_"))
     rows = counts.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("edges_", lambda e: e <= F.col(value)))).drop("edges_")  # one row of RANGES numbers
     totals = rows.groupBy("range_").agg(*(F.sum(s).alias(s) for s in sums)).agg(F.collect_list(F.struct("range_", *sums)).alias("totals_"))  # at most RANGES entries
-    higher = lambda s: F.aggregate(F.filter("totals_", lambda x: x["range_"] > F.col("range_")), F.lit(0).cast("long"), lambda a, x: a + x[s])
+    higher = lambda s: F.aggregate(F.filter("totals_", lambda x: x["range_"] > F.col("x.range_")), F.lit(0).cast("long"), lambda a, x: a + x[s])
+    ranges = totals.select("totals_", F.explode("totals_").alias("x")).select("x.range_", *(higher(s).alias(f"{s}_higher_") for s in sums))
     within = Window.partitionBy("range_").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.crossJoin(F.broadcast(totals)).select("*", *((F.coalesce(F.sum(s).over(within), F.lit(0)) + higher(s)).alias(f"{s}_above") for s in sums))
-    return out.drop("range_", "totals_")
+    out = rows.select("*", *(F.coalesce(F.sum(s).over(within), F.lit(0)).alias(f"{s}_within_") for s in sums)).join(F.broadcast(ranges), "range_")  # a row per range
+    return out.select(*counts.columns, *((F.col(f"{s}_within_") + F.col(f"{s}_higher_")).alias(f"{s}_above") for s in sums))
 
 
 def rank_envelope(df: DataFrame, lower: str, upper: str, exclusive: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ranks by ranges of values."""
 
+import itertools
 import random
 
 from evispark.operators import ranking
@@ -34,3 +35,11 @@ def test_unbounded_ties_and_one_value(spark):
     df = spark.createDataFrame([(7,), (7,), (3,)], "v int")
     assert sorted((r.v, r.rank) for r in ranking.competition_rank(df, "v").collect()) == [(3, 3), (7, 1), (7, 1)]
     assert ranking.competition_rank(df.limit(0), "v").collect() == []
+
+
+def test_range_totals_are_not_shuffled_with_rows(spark):
+    lines = ranking.sums_above(spark.createDataFrame([(1, 1)], "v long, n long"), "v", ["n"])._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = next(i for i, line in enumerate(lines) if "Window [" in line)
+    depth = lines[first].index("Window [")
+    below = list(itertools.takewhile(lambda line: line and len(line) - len(line.lstrip(" :+-")) > depth, lines[first + 1 :]))
+    assert below and not any("totals_" in line for line in below)
