@@ -33,13 +33,17 @@ def explicit_links(records: DataFrame, people: DataFrame, order: str, own_path:
 
     A record has ``relative_path``, ``local_path``, ``artifact_id``, ``person_id``, ``person_slug``
     and ``gedcom_id``; one without a path has ``own_path``, its sidecar's. Records of unknown
-    persons are left out before the last is taken.
+    persons are left out before the last is taken. The last place of each key is found first and its
+    record fetched by a join: links in an aggregate would make each task sort all its records. Of
+    records with the same key and place the largest link counts.
     """
     person = F.coalesce(blank_to_null(F.col("person_id")), blank_to_null(F.col("person_slug")))
     rows = resolve_people(records, person, F.col("gedcom_id"), people).where("found is not null")
     path = F.coalesce(blank_to_null(F.col("relative_path")), blank_to_null(F.col("local_path")), own_path if own_path is not None else F.lit(None).cast("string"))
     keyed = rows.select(F.explode(artifact_keys(path, F.col("artifact_id"))).alias("key"), F.struct("found.person_id", "found.gedcom_id", "privacy_label", "source_confidence", "notes").alias("link"), order)
-    return keyed.groupBy("key").agg(F.max_by("link", order).alias("link")).select("key", "link.*")
+    last = keyed.groupBy("key").agg(F.max(order).alias("last_")).withColumnRenamed("key", "key_")  # of numbers: hashed, not sorted
+    kept = keyed.join(last, (F.col("key") == F.col("key_")) & (F.col(order) == F.col("last_")))
+    return kept.groupBy("key").agg(F.max("link").alias("link")).select("key", "link.*")
 
 
 def with_link(manifest: DataFrame, links: DataFrame, name: str) -> DataFrame:

@@ -114,3 +114,11 @@ def test_receipts_are_parsed_once(spark):
     df = validators.receipt_errors(spark.createDataFrame([("{}",)], "payload string"), "payload", "p", "s.v1", "b.v1")
     assert df.columns == ["payload", "errors"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_last_links_are_fetched_by_place(spark):
+    schema = "relative_path string, local_path string, artifact_id string, person_id string, person_slug string, gedcom_id string, privacy_label string, source_confidence string, notes string, ord long"
+    records = spark.createDataFrame([("a", None, "X", "p", None, None, label, "c", "n", i) for i, label in ((1, "one"), (2, "two"), (2, "ten"))], schema)
+    found = keyed.explicit_links(records, spark.createDataFrame([("p", "g")], "person_id string, gedcom_id string"), "ord")
+    assert sorted((r.key, r.privacy_label) for r in found.collect()) == [("artifact:X", "two"), ("path:a", "two")]
+    assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()
