@@ -33,6 +33,48 @@ def test_overlaps_equal_a_loop(spark):
     assert intervals.overlap_join(x.limit(0), y, ("a", "b"), ("c", "d")).count() == 0
 
 
+def _shuffled_rows(df):
+    """Rows that the exchanges of a query wrote, from the metrics of its plan once it has run."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_overlaps_shuffle_few_rows(spark):
+    day = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("id") * 7 % 2400).cast("int"))
+    left = spark.range(20_000).select(F.col("id").alias("i"), F.when(F.col("id") % 11 != 0, day).alias("a"), F.when(F.col("id") % 13 != 0, F.date_add(day, 30)).alias("b"))
+    right = spark.range(300).select(F.col("id").alias("j"), F.when(F.col("id") % 50 != 7, day).alias("c"), F.when(F.col("id") % 50 != 9, F.date_add(day, 3)).alias("d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = intervals.overlap_join(left, right, ("a", "b"), ("c", "d"))
+        pairs = {(r.i, r.j) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert _shuffled_rows(got) < 12 * 20_300  # a start in a block of each level alone would make 22 a row
+    x, y = left.collect(), right.collect()
+    assert pairs == {(r.i, s.j) for r in x for s in y if (r.a is None or s.d is None or r.a <= s.d) and (s.c is None or r.b is None or s.c <= r.b)}
+
+
+@pytest.mark.parametrize(("sizes", "run", "pieces"), [((1, 2), 1, 3), ((2, 16), 2, 64), ((64, 4096), 16, 1)])
+def test_overlaps_in_any_blocks(spark, monkeypatch, sizes, run, pieces):
+    for name, value in (("SIZES", sizes), ("RUN", run), ("PIECES", pieces)):
+        monkeypatch.setattr(intervals, name, value)
+    rng = random.Random(4)
+    day = lambda: rng.choice([None, *(dt.date(1900, 1, 1) + dt.timedelta(k) for k in (rng.randrange(5), rng.randrange(60)))])
+    for n, m in ((200, 9), (9, 200), (0, 3)):
+        left, right = [(i % 150, day(), day()) for i in range(n)], [(i % 150, day(), day()) for i in range(m)]
+        meets = lambda p, q: p is None or q is None or p <= q
+        want = sorted((i, j) for i, a, b in left for j, c, d in right if meets(a, b) and meets(c, d) and meets(a, d) and meets(c, b))
+        got = intervals.overlap_join(spark.createDataFrame(left, "day int, a date, b date"), spark.createDataFrame(right, "first int, c date, d date"), ("a", "b"), ("c", "d"))
+        assert sorted(map(lambda r: (r.day, r.first_), got.withColumnRenamed("first", "first_").collect())) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("abAB-é"), max_size=30), st.lists(st.text(st.sampled_from("abB-é"), max_size=4), max_size=12))
 def test_first_term_in_list_order(text, listed):
