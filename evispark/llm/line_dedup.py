@@ -51,6 +51,8 @@ BUCKET, HELD = 1_000_000, 1_000_000
 FILTER_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 17, 1 << 28
 #: Lines that a task combines by class before they are shuffled.
 COMBINE = 100_000
+#: Words of the sets that a task keeps while it verifies the pairs of a cell.
+SET_WORDS = 200_000
 #: Line classes that a task remembers in order to send each once; others are sent again.
 SEEN = 300_000
 ENTRY = "word int, cell long, shape long, cls long, bitmap long"
@@ -431,6 +433,36 @@ def _verify_led(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "cls long, bitmap long, more boolean, dead boolean")
 
 
+def _matched(table: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows of which an earlier one is a match, among ``pairs``. A row's set is made once, while
+    the sets held stay within SET_WORDS words."""
+    order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
+    rank = np.empty(table.num_rows, np.int64)
+    rank[order] = np.arange(table.num_rows)
+    body, dead = table.column("body"), np.zeros(table.num_rows, bool)
+    sets: dict[int, set[str]] = {}
+    held = 0
+
+    def words(i: int) -> set[str]:
+        nonlocal held
+        found = sets.get(i)
+        if found is None:
+            found = _words_of(body[i].as_py())
+            if held > SET_WORDS:
+                sets.clear()
+                held = 0
+            sets[i] = found
+            held += len(found)
+        return found
+
+    for a, b in pairs:
+        later, earlier = np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b)
+        for y, x in zip(later.tolist(), earlier.tolist()):
+            if not dead[y]:
+                dead[y] = _similar(words(y), words(x))
+    return dead
+
+
 def _verify(rows: DataFrame) -> DataFrame:
     """Classes (``cls``, ``bitmap``) of which a class with an earlier first line is a match: the
     pairs of each cell that pass the filters, until a match is found."""
@@ -439,23 +471,13 @@ def _verify(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, 4096):
             table, pairs = _compare_table(table)
-            n = table.num_rows
-            order = np.lexsort([table.column(c).to_numpy() for c in ("bitmap", "cls", "fh", "fl", "fk")])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
-            body, dead = table.column("body"), np.zeros(n, bool)
-            for a, b in pairs:
-                later, earlier = np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b)
-                for y, x in zip(later.tolist(), earlier.tolist()):
-                    if not dead[y]:
-                        dead[y] = _similar(_words_of(body[y].as_py()), _words_of(body[x].as_py()))
-            yield from table.select(["cls", "bitmap"]).filter(pa.array(dead)).to_batches()
+            yield from table.select(["cls", "bitmap"]).filter(pa.array(_matched(table, pairs))).to_batches()
 
     dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "cls long, bitmap long")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Classes that an earlier class matches: the nearest candidate of each, its leader, or,
     where that fails though there were more, any of the cells in ``found``.
 
@@ -467,7 +489,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: Data
     members = pairs.join(sizes, lead).select(*same, *lead, salt.alias("salt"), F.lit(True).alias("member"), "more")
     leaders = sizes.select(F.col("cls_x").alias("cls"), F.col("bitmap_x").alias("bitmap"), *lead, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(False).alias("more"))
     roles = materialize(members.unionByName(leaders), "line-roles")
-    tested = materialize(_verify_led(roles.join(_sets_of(docs, classes, roles.select(*same)), same)), "line-matches")
+    tested = materialize(_verify_led(roles.join(_sets_of(docs, found, roles.select(*same)), same)), "line-matches")
     release(docs.sparkSession)
     dead = tested.where("dead").select(*same, "dead")
     open_ = tested.where("more and not dead").select(*same)
@@ -475,14 +497,14 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, pairs: Data
         return dead
     cells = found.join(open_, same, "left_semi").select("word", "cell").distinct()
     rows = materialize(found.join(cells, ["word", "cell"], "left_semi"), "line-rest")
-    rest = _verify(rows.join(_sets_of(docs, classes, rows.select(*same)), same))
+    rest = _verify(rows.join(_sets_of(docs, found, rows.select(*same)), same))
     return dead.unionByName(rest.select(*same, F.lit(True).alias("dead"))).distinct()
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
-    """Word sets of the classes ``named``, each once."""
+def _sets_of(docs: DataFrame, found: DataFrame, named: DataFrame) -> DataFrame:
+    """Word sets of the classes ``named``, which are in ``found``, each once."""
     same = ["cls", "bitmap"]
-    named = materialize(named.distinct().join(classes, same).select(*same, "fk", "fl", "fh"), "lines-to-verify")
+    named = materialize(found.select(*same, "fk").distinct().join(named.distinct(), same, "left_semi"), "lines-to-verify")
     n = named.count()
     of_docs = _filter(named.select(F.xxhash64("fk").alias("cls")), n)
     return _word_sets(docs, of_docs, _filter(named.select("cls"), n)).dropDuplicates(same)
@@ -505,16 +527,16 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     compared = materialize(_candidates(_entries(docs, level, buckets)), "line-candidates")
     release(spark)
     found = compared.where("cell >= 0").unionByName(_busy_candidates(_deal_busy(compared.where("cell < 0"))))
-    found = materialize(found.join(classes.select(*same, "fk", "fl", "fh", "wide"), same), "line-candidates")
+    found = materialize(found.hint("shuffle_hash").join(classes.select(*same, "fk", "fl", "fh", "wide"), same), "line-candidates")
     several = F.bool_or("more") | (F.min("cls_x") != F.max("cls_x"))
     pairs = _nearest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.struct("apart", "cls_x")).alias("x"), several.alias("more"))
     pairs = materialize(pairs.select(*same, "x.*", "more"), "line-pairs")
     release(spark)
-    dead = _verified(docs, classes, found, pairs)
+    dead = _verified(docs, found, pairs)
 
-    gone = materialize(classes.join(dead, same, "left").where("n > 1 or dead").select(F.col("cls").alias("c_"), F.col("bitmap").alias("b_"), "fk", "fl", "fh", F.coalesce("dead", F.lit(False)).alias("dead")), "gone-lines")
+    gone = materialize(classes.join(dead.hint("shuffle_hash"), same, "left").where("n > 1 or dead").select(F.col("cls").alias("c_"), F.col("bitmap").alias("b_"), "fk", "fl", "fh", F.coalesce("dead", F.lit(False)).alias("dead")), "gone-lines")
     later = F.col("dead") | (F.struct("k", "line", "th") > F.struct(F.col("fk").alias("k"), F.col("fl").alias("line"), F.col("fh").alias("th")))
-    out = lines.join(gone, (F.col("cls") == F.col("c_")) & (F.col("bitmap") == F.col("b_"))).where(later)
+    out = lines.join(gone.hint("shuffle_hash"), (F.col("cls") == F.col("c_")) & (F.col("bitmap") == F.col("b_"))).where(later)
     return out.groupBy("k", "th").agg(F.collect_set("line").alias("removed"))
 
 
@@ -530,11 +552,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     k, h, t, gone = fresh(df, "k", "h", "t", "removed")
     found = materialize(removed_lines(df, key, text), "removed-lines").select(F.col("k").alias(k), F.col("th").alias(t), F.col("removed").alias(gone))
     rows = df.drop("n_lines", "n_removed").withColumn(h, F.xxhash64(F.col(text).cast("string")))
-    joined = rows.join(found, (F.col(key) == F.col(k)) & (F.col(h) == F.col(t)), "left")
+    joined = rows.join(found.hint("shuffle_hash"), (F.col(key) == F.col(k)) & (F.col(h) == F.col(t)), "left")
     parts = F.split(F.col(text), "\n")
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     columns = [F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

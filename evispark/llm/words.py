@@ -10,11 +10,15 @@ import numpy as np
 
 PAD = 8
 _WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
-_SPACE = np.array([chr(i).isspace() if i < 128 else False for i in range(256)])
-_LEAD = np.isin(np.arange(256), [w[0] for w in _WIDE])
 _TWO = np.array([int.from_bytes(w, "big") for w in _WIDE if len(w) == 2])
 _THREE = np.array([int.from_bytes(w, "big") for w in _WIDE if len(w) == 3])
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Lower case of characters of two bytes in UTF-8, or 0 where it has another length or hangs on its
+#: neighbours (capital sigma); characters of three bytes that have a lower case; from LEAST_UNCASED
+#: on none has.
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 and 0x80 <= ord(c.lower()) < 0x800 and c != "\u03a3" else 0 for c in map(chr, range(0x800))], np.uint16)
+_CASED = np.array([c.lower() != c for c in map(chr, range(0x10000))])
+LEAST_UNCASED = 0x1F000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,9 +29,35 @@ def mix(h: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(33))
 
 
+def lower_utf8(text: str) -> bytes:
+    """``text.lower()`` in UTF-8. Only characters of one and two bytes are changed as arrays; a text
+    with others to change goes to ``str.lower``."""
+    raw = text.encode("utf-8", "surrogatepass").lower()  # A-Z
+    if text.isascii():
+        return raw
+    b = np.frombuffer(bytearray(raw), np.uint8)
+    at = np.flatnonzero(b >= 0xC2)
+    lead = b[at]
+    two, more = at[lead < 0xE0], at[lead >= 0xE0]
+    code = (b[two].astype(np.uint16) & 0x1F) << 6 | b[two + 1] & 0x3F
+    low = _LOWER[code]
+    if len(more):
+        wide = b[more] >= 0xF0
+        three, four = more[~wide], more[wide]
+        whole = _CASED[(b[three].astype(np.int32) & 0xF) << 12 | (b[three + 1].astype(np.int32) & 0x3F) << 6 | b[three + 2] & 0x3F].any()
+        whole |= (((b[four].astype(np.int32) & 7) << 18 | (b[four + 1].astype(np.int32) & 0x3F) << 12) < LEAST_UNCASED).any()
+    else:
+        whole = False
+    if whole or not low.all():
+        return text.lower().encode("utf-8", "surrogatepass")
+    new = np.flatnonzero(low != code)
+    b[two[new]], b[two[new] + 1] = 0xC0 | low[new] >> 6, 0x80 | low[new] & 0x3F
+    return b.tobytes()
+
+
 def _spaces(b: np.ndarray) -> np.ndarray:
-    space = _SPACE[b]
-    at = np.flatnonzero(_LEAD[b])
+    space = (b - np.uint8(9) < 5) | (b - np.uint8(28) < 5)  # 9 to 13 and 28 to 32; less than 0 wraps
+    at = np.flatnonzero((b == 0xC2) | (b - np.uint8(0xE1) < 3))  # first bytes of _WIDE
     if len(at):
         two = b[at].astype(np.int64) << 8 | b[at + 1]
         for width, hit in ((2, np.isin(two, _TWO)), (3, np.isin(two << 8 | b[at + 2], _THREE))):
@@ -63,7 +93,7 @@ class Lines:
 
     def __init__(self, texts: list[str | None]):
         full = [i for i, t in enumerate(texts) if t]
-        self.raw = raw = ("\n" + "\n".join(texts[i] for i in full) + "\n").lower().encode("utf-8", "surrogatepass") + b" " * PAD
+        self.raw = raw = lower_utf8("\n" + "\n".join([texts[i] for i in full]) + "\n") + b" " * PAD
         many = np.array([texts[i].count("\n") + 1 for i in full], np.int64)
         start, size = word_bounds(raw)
         self.breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)

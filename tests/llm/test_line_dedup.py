@@ -1,9 +1,12 @@
 import random
+import zlib
 
+import pyarrow as pa
 import pytest
 
 from evispark.llm import line_dedup
 from evispark.llm.line_dedup import MIN_WORDS, dedup_lines, op10_line_dedup
+from evispark.llm.words import LEAST_UNCASED, lower_utf8
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +93,29 @@ def test_short_lines(spark):
     rows = [(1, "All rights reserved.\n\na b c d"), (2, "all RIGHTS  reserved.\n\nd c b a e"), (3, "x\n \na b c\nno no no no no yes"), (4, "X\n\na b\nyes no"), (5, "a b c x\na b c d e f")]
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("", 2), 3: (rows[2][1], 0), 4: ("\na b", 2), 5: ("a b c x", 1)}
+
+
+@pytest.mark.parametrize(("most", "made"), [(200_000, 40), (0, 781)])
+def test_verification_makes_each_set_once(monkeypatch, most, made):
+    n, calls = 40, []
+    sets = [{f"w{i}-{k}" for k in range(10)} for i in range(n - 1)] + [{f"w0-{k}" for k in range(10)}]
+    bodies = [zlib.compress("\n".join(sorted(s)).encode()) for s in sets]
+    table = pa.table({"bitmap": [0] * n, "cls": range(n), "fh": [0] * n, "fl": [0] * n, "fk": range(n), "body": bodies})
+    pairs = [line_dedup.np.array(p).T for p in [[(i, i + step) for i in range(n - step)] for step in range(1, n)]]
+    real = line_dedup._words_of
+    monkeypatch.setattr(line_dedup, "SET_WORDS", most)
+    monkeypatch.setattr(line_dedup, "_words_of", lambda body: calls.append(1) or real(body))
+    assert line_dedup._matched(table, iter(pairs)).nonzero()[0].tolist() == [n - 1]
+    assert len(calls) == made if most else len(calls) >= made
+
+
+def test_lower_case_is_that_of_python():
+    chars = [chr(i) for i in range(LEAST_UNCASED) if not 0xD800 <= i < 0xE000]
+    assert all(chr(i).lower() == chr(i) for i in range(LEAST_UNCASED, 0x110000))
+    for text in ("", "ABC z", "\u00c9T\u00c9 \u0416", "\u039f\u03a3 \u03a3a", "\u0130x", "\U0001f600 A", *map("".join, zip(chars, chars[1:], "A" * len(chars)))):
+        assert lower_utf8(text) == text.lower().encode("utf-8", "surrogatepass")
+    rng = random.Random(6)
+    for top in (0x80, 0x250, 0x590, 0x2100, LEAST_UNCASED + 99):
+        for _ in range(50):
+            text = "".join(chr(c) for c in (rng.randrange(top) for _ in range(60)))
+            assert lower_utf8(text) == text.lower().encode("utf-8", "surrogatepass")
