@@ -30,10 +30,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def lower_utf8(text: str) -> bytes:
-    """``text.lower()`` in UTF-8. Only characters of one and two bytes are changed as arrays; a text
-    with others to change goes to ``str.lower``."""
-    raw = text.encode("utf-8", "surrogatepass").lower()  # A-Z
-    if text.isascii():
+    """``text.lower()`` in UTF-8."""
+    return lower_bytes(text.encode("utf-8", "surrogatepass"))
+
+
+def lower_bytes(text: bytes) -> bytes:
+    """A text's lower case, both in UTF-8. Only characters of one and two bytes are changed as arrays;
+    a text with others to change goes to ``str.lower``."""
+    raw = text.lower()  # A-Z
+    if raw.isascii():
         return raw
     b = np.frombuffer(bytearray(raw), np.uint8)
     at = np.flatnonzero(b >= 0xC2)
@@ -49,7 +54,7 @@ def lower_utf8(text: str) -> bytes:
     else:
         whole = False
     if whole or not low.all():
-        return text.lower().encode("utf-8", "surrogatepass")
+        return text.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
     new = np.flatnonzero(low != code)
     b[two[new]], b[two[new] + 1] = 0xC0 | low[new] >> 6, 0x80 | low[new] & 0x3F
     return b.tobytes()
@@ -87,14 +92,15 @@ def word_hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Word sets of all lines of some texts that have words, as flat arrays: ``row`` and ``line``
+    """Word sets of all lines of some texts (UTF-8) that have words, as flat arrays: ``row`` and ``line``
     of each line, its ``size`` (distinct words) and ``start`` in ``words`` (their hashes), and its
-    class (``cls``, an order-free hash, and ``bitmap``, the parity of its words' last six bits)."""
+    class (``cls``, an order-free hash, and ``bitmap``, the parity of its words' last six bits).
+    With ``level`` a line's words come rarest first by the level of their counters, then by hash."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[bytes | None], level: np.ndarray | None = None):
         full = [i for i, t in enumerate(texts) if t]
-        self.raw = raw = lower_utf8("\n" + "\n".join([texts[i] for i in full]) + "\n") + b" " * PAD
-        many = np.array([texts[i].count("\n") + 1 for i in full], np.int64)
+        self.raw = raw = lower_bytes(b"\n" + b"\n".join([texts[i] for i in full]) + b"\n") + b" " * PAD
+        many = np.array([texts[i].count(b"\n") + 1 for i in full], np.int64)
         start, size = word_bounds(raw)
         self.breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
         n_words = np.diff(np.searchsorted(start, self.breaks)) if len(full) else np.zeros(0, np.int64)
@@ -104,7 +110,8 @@ class Lines:
         self.line = (np.arange(len(n_words)) - np.repeat(first, many))[self.kept].astype(np.int32)
         owner = np.repeat(np.arange(len(self.kept)), n_words[self.kept])
         words = word_hashes(raw, start, size) if len(start) else np.zeros(0, np.uint64)
-        words = words[self._by_line(owner, words)]
+        rank = words if level is None else level[counter(words, len(level))].astype(np.uint64) << np.uint64(56) | words >> np.uint64(8)
+        words = words[self._by_line(owner, rank)]
         again = np.zeros(len(words), bool)
         again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
         self.words, self.owner = words[~again], owner[~again]
@@ -154,20 +161,14 @@ class Lines:
                     seen.add(c)
         return out
 
-    def prefixes(self, level: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, word, place) of the prefix words of the chosen lines, rarest first by the
-        ``level`` of their counters, then by hash."""
-        pick = np.flatnonzero(chosen[self.owner])
-        owner, words = self.owner[pick], self.words[pick]
-        rarity = level[counter(words, len(level))].astype(np.uint64) << np.uint64(56) | words >> np.uint64(8)
-        order = self._by_line(owner, rarity)
-        words = words[order]
-        first = np.zeros(len(self.kept), np.int64)
-        first[chosen] = np.cumsum(self.size[chosen]) - self.size[chosen]
-        place = np.arange(len(owner)) - first[owner]
-        size = self.size[owner]
-        inside = place < size - (4 * size + 4) // 5 + 1
-        return owner[inside], words[inside], place[inside]
+    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, word, place, word before or 0) of the prefix words of the chosen lines, whose words
+        were ordered by ``level``."""
+        place = np.arange(len(self.owner)) - self.start[self.owner]
+        most = np.where(chosen, self.size - (4 * self.size + 4) // 5 + 1, 0)
+        at = np.flatnonzero(place < most[self.owner])
+        place = place[at]
+        return self.owner[at], self.words[at], place, np.where(place > 0, self.words[at - 1], np.uint64(0))
 
 
 def counter(words: np.ndarray, counters: int) -> np.ndarray:

@@ -119,3 +119,35 @@ def test_lower_case_is_that_of_python():
         for _ in range(50):
             text = "".join(chr(c) for c in (rng.randrange(top) for _ in range(60)))
             assert lower_utf8(text) == text.lower().encode("utf-8", "surrogatepass")
+
+
+def _entries_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").selectExpr("k", "xxhash64(t) AS th", "t").repartition(2)
+    counters = line_dedup.LEAST_COUNTERS
+    lines = line_dedup._classes(docs, counters, 5)
+    level, _ = line_dedup._sum_counters(lines.where("counts is not null").selectExpr("line AS s", "counts"), counters)
+    return line_dedup._entries(docs, level, 7)
+
+
+def test_words_of_one_line_have_no_entries(spark):
+    entries = _entries_of(spark, [" ".join([*(f"own{i}x{j}" for j in range(10)), "both"]) for i in range(20)])
+    assert sum(len(r.data) for r in entries.collect()) == 0
+    entries = _entries_of(spark, ["a b c d", "d c b a e"])  # prefixes of one word and of two, e first
+    assert sum(len(r.data) for r in entries.collect()) == 2 * line_dedup.PACKED.itemsize
+
+
+def test_copies_meet_at_few_words(spark):
+    words = [f"w{j}" for j in range(60)]
+    rows = [" ".join([*words, *(f"x{i}y{j}" for j in range(2))]) for i in range(6)]
+    found = line_dedup._candidates(_entries_of(spark, rows)).collect()
+    assert len(found) == len({r.cls for r in found}) == 6  # one word each, not every word of the prefix
+    assert dedup_lines(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).where("n_removed = 1").count() == 5
+
+
+def test_classes_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMBINE", 3)
+    texts = ["a b\nc d e f\na b", "B A\nx", "x\nx\nf e d c", "q"]
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(texts)], "k long, t string").selectExpr("k", "xxhash64(t) AS th", "t").repartition(3)
+    blocks = line_dedup._classes(docs, line_dedup.LEAST_COUNTERS, 2).where("block is not null").selectExpr("line AS bucket", "block")
+    got = sorted((r.fk, r.fl, r.n, len(r.wide)) for r in line_dedup._firsts(blocks).collect())
+    assert got == [(6, 0, 1, 32), (7, 0, 3, 32), (7, 2, 2, 32), (8, 0, 3, 32)]
