@@ -543,7 +543,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     buckets = max(4 * partitions(spark), total // (4 * BUCKET))  # about a quarter of the words are in prefixes
     compared = materialize(_candidates(_entries(docs, level, buckets)), "line-candidates")
     release(spark)
-    found = compared.where("cell >= 0").unionByName(_busy_candidates(_deal_busy(compared.where("cell < 0"))))
+    busy = _busy_candidates(_deal_busy(compared.where("cell < 0")))
+    release(spark)  # only now do the entries go
+    found = compared.where("cell >= 0").unionByName(busy)
     found = materialize(found.hint("shuffle_hash").join(classes.select(*same, "fk", "fl", "fh", "wide"), same), "line-candidates")
     several = F.bool_or("more") | (F.min("cls_x") != F.max("cls_x"))
     pairs = _nearest(found).groupBy(*same).agg(F.min_by(F.struct("cls_x", "bitmap_x"), F.when(F.col("cls_x").isNotNull(), F.struct("apart", "cls_x"))).alias("x"), several.alias("more"))
