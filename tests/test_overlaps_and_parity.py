@@ -61,6 +61,21 @@ def test_overlaps_shuffle_few_rows(spark):
     assert pairs == {(r.i, s.j) for r in x for s in y if (r.a is None or s.d is None or r.a <= s.d) and (s.c is None or r.b is None or s.c <= r.b)}
 
 
+def test_pairs_are_written_in_few_bytes(spark, tmp_path):
+    first = F.lit("1992-01-01").cast("date")
+    left = spark.range(2000).select(F.col("id").alias("i"), F.date_add(first, (F.col("id") % 2400).cast("int")).alias("a"), F.lit(None).cast("date").alias("b"))
+    right = spark.range(3000).select(F.col("id").alias("j"), F.date_add(first, (F.col("id") * 23).cast("int")).alias("c"), F.date_add(first, (F.col("id") * 23 + 3).cast("int")).alias("d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        intervals.overlap_join(left, right, ("a", "b"), ("c", "d"), keep=["i", "j"]).write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pairs = sum(23 * j + 3 >= i % 2400 for i in range(2000) for j in range(3000))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == pairs
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs / 2  # rows in no order that repeats take over a byte
+
+
 @pytest.mark.parametrize(("sizes", "run", "pieces"), [((1, 2), 1, 3), ((2, 16), 2, 64), ((64, 4096), 16, 1)])
 def test_overlaps_in_any_blocks(spark, monkeypatch, sizes, run, pieces):
     for name, value in (("SIZES", sizes), ("RUN", run), ("PIECES", pieces)):
