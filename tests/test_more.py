@@ -2,14 +2,17 @@
 
 import io
 import json
+import math
 import subprocess
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions import html, text
 from evispark.operators import evidence, genome, keyed, linking, validators
+from evispark.queries import QUERIES
 from evispark.sources import stores
 
 
@@ -122,3 +125,19 @@ def test_last_links_are_fetched_by_place(spark):
     found = keyed.explicit_links(records, spark.createDataFrame([("p", "g")], "person_id string, gedcom_id string"), "ord")
     assert sorted((r.key, r.privacy_label) for r in found.collect()) == [("artifact:X", "two"), ("path:a", "two")]
     assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_products_in_the_order_of_the_file_however_it_is_split(spark, tmp_path):
+    lines = pq.read_table("/root/testdata/sf0.01/lineitem.parquet", columns=["l_orderkey", "l_discount", "l_tax"])
+    pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=2000)
+    want: dict = {}
+    for key, discount, tax in zip(*(c.to_pylist() for c in lines.columns)):
+        high, low = want.get(key, (1.0, 1.0))
+        want[key] = high * (1 - discount), low * (1 - discount - tax / 2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = QUERIES["interval_product"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.l_orderkey: (r.high, r.low) for r in got} == {k: tuple(math.floor(1e6 * x + 0.5) for x in v) for k, v in want.items()} and len(got) == len(want)
